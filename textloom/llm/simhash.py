@@ -83,8 +83,8 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def slices(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bit planes [64, blocks] of fingerprints padded to blocks of 64, as [blocks, 64]."""
     bits = np.unpackbits(fps.view(np.uint8).reshape(len(fps), 64, 8), axis=2, bitorder="little")
-    planes = np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little").reshape(len(fps), 64, 8)
-    return np.ascontiguousarray(planes.view(np.uint64)[:, :, 0].T)
+    planes = np.ascontiguousarray(np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little"))
+    return np.ascontiguousarray(planes.view(np.uint64).reshape(len(fps), 64).T)
 
 
 def within(planes: np.ndarray, block: np.ndarray, query: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
