@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, simhash
+from textloom.llm import bpe, ppm, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": bpe.op2_bpe,
+    "op5_ppm": ppm.op5_ppm,
     "op7_simhash": simhash.op7_simhash,
 }
 
