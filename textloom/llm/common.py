@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,3 +71,41 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 def raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """Texts as UTF-8; null is the empty text."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
+
+
+class Index(dict):
+    """Numbers new keys on."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+class Lookup:
+    """Places of 64-bit keys in a table with open addressing; -1 for keys that it lacks."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        self.mask = np.uint64((1 << max(4, int(4 * len(keys)).bit_length())) - 1)
+        self.table = np.full(int(self.mask) + 1, -1, np.int32)
+        left, step = np.arange(len(keys)), 0
+        while len(left):
+            slot = (keys[left] + np.uint64(step)) & self.mask
+            free = self.table[slot] < 0
+            self.table[slot[free]] = left[free]
+            left, step = left[self.table[slot] != left], step + 1
+        self.steps = step
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(len(keys), -1, np.int64)
+        left = np.arange(len(keys))
+        for step in range(self.steps):
+            got = self.table[(keys[left] + np.uint64(step)) & self.mask]
+            used = got >= 0
+            left, got = left[used], got[used]
+            same = self.keys[got] == keys[left]
+            out[left[same]] = got[same]
+            left = left[~same]
+            if not len(left):
+                break
+        return out

@@ -125,46 +125,16 @@ def node_counts(words: list[bytes], counts: np.ndarray, least: float) -> Iterato
         yield tuple(x[keep] for x in out)
 
 
-class Lookup:
-    """Places of 64-bit keys in a table with open addressing; -1 for keys that it lacks."""
-
-    def __init__(self, keys: np.ndarray) -> None:
-        self.keys = keys
-        self.mask = np.uint64((1 << max(4, int(4 * len(keys)).bit_length())) - 1)
-        self.table = np.full(int(self.mask) + 1, -1, np.int32)
-        left, step = np.arange(len(keys)), 0
-        while len(left):
-            slot = (keys[left] + np.uint64(step)) & self.mask
-            free = self.table[slot] < 0
-            self.table[slot[free]] = left[free]
-            left, step = left[self.table[slot] != left], step + 1
-        self.steps = step
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        out = np.full(len(keys), -1, np.int64)
-        left = np.arange(len(keys))
-        for step in range(self.steps):
-            got = self.table[(keys[left] + np.uint64(step)) & self.mask]
-            used = got >= 0
-            left, got = left[used], got[used]
-            same = self.keys[got] == keys[left]
-            out[left[same]] = got[same]
-            left = left[~same]
-            if not len(left):
-                break
-        return out
-
-
 class Model:
     """The pruned trie and the frequent tokens, ready to score tokens."""
 
     def __init__(self, nodes: tuple[np.ndarray, ...], frequent: dict[bytes, int], n_tokens: int, n_types: int) -> None:
         node, ctx, low, own, count = nodes
         self.n_tokens, self.n_types, self.frequent = n_tokens, n_types, frequent
-        self.node = Lookup(node)
+        self.node = common.Lookup(node)
         self.count = np.append(count.astype(np.float64), 0)  # at -1: none
         contexts, of = np.unique(ctx, return_inverse=True)
-        self.context = Lookup(contexts)
+        self.context = common.Lookup(contexts)
         per = lambda w: np.bincount(of, w, len(contexts)) if len(of) else np.zeros(0)
         self.seen, self.kinds, self.taken = per(count.astype(np.float64)), per(None if not len(of) else np.ones(len(of))), per(self.count[self.node(low)])
         whole = np.zeros(len(contexts))
@@ -248,14 +218,6 @@ def trained(counts: DataFrame) -> Model:
     return Model((*(x.view(np.uint64) for x in arrays[:4]), arrays[4]), frequent, n_tokens, n_types)
 
 
-class _Index(dict):
-    """Numbers new keys on."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 def seen_before(keys: np.ndarray) -> np.ndarray:
     """How often each key stands before its own place."""
     order = np.argsort(keys, kind="stable")
@@ -299,7 +261,7 @@ def scored(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col:
         common_words = len(numbers)
         for batch in batches:
             for b in common.pieces(batch, text_col, 12 << 20):
-                index = _Index(numbers)
+                index = common.Index(numbers)
                 rows = [np.fromiter(map(index.__getitem__, t), np.int64, len(t)) for t in map(tokens, common.raw_texts(b, text_col))]
                 rare_words = list(index)[common_words:]
                 full_base = np.concatenate((base, np.zeros(len(rare_words))))

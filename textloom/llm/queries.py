@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, ppm, simhash
+from textloom.llm import bpe, lang_id, ppm, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": bpe.op2_bpe,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_quality": quality.op4_quality,
     "op5_ppm": ppm.op5_ppm,
     "op7_simhash": simhash.op7_simhash,
+    "op8_lang_id": lang_id.op8_lang_id,
 }
 
 ORACLE: dict[str, str] = {}
