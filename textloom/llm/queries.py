@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe, lang_id, ppm, quality, simhash, toxicity
+from textloom.llm import bpe, lang_id, ppm, quality, sharding, simhash, sketch, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": bpe.op2_bpe,
@@ -15,6 +15,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ppm": ppm.op5_ppm,
     "op7_simhash": simhash.op7_simhash,
     "op8_lang_id": lang_id.op8_lang_id,
+    "op9_fingerprints": sketch.op9_fingerprints,
+    "op10_sharding": sharding.op10_sharding,
 }
 
 ORACLE: dict[str, str] = {}
