@@ -109,3 +109,17 @@ class Lookup:
             if not len(left):
                 break
         return out
+
+
+def kept(df: DataFrame, start: Callable[[], object], keep: Callable[[object, list[str]], np.ndarray], text_col: str = "text") -> DataFrame:
+    """The rows of df whose texts keep() marks, all columns as they are; start() makes what a task carries along. No shuffle."""
+
+    def run(batches):
+        state = start()
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            for b in pieces(batch, text_col):
+                mask = keep(state, [x or "" for x in b.column(at).to_pylist()])
+                yield b.filter(pa.array(mask, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

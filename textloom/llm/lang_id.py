@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from textloom.llm import common
 VOCABULARY = "piece_bpe_32k.model"
 LONGEST, PIECE = 24, 10
 ROUNDS = 2
+#: Chunks between spaces that a worker remembers.
+KEPT = 200_000
 #: Training texts, at most, taken in the order of a hash of id and text; the vocabulary bounds all else.
 SAMPLE = 12_000
 #: Pseudo-counts that a language gets in proportion to all languages' pieces, and each character without a piece.
@@ -201,44 +204,61 @@ def fitted(labelled: DataFrame, path: str | None = None, text_col: str = "text",
     return langs, np.log(n / n.sum()), p
 
 
+class Scorer:
+    """Languages of texts; remembers the scores of the chunks it has met."""
+
+    def __init__(self, langs: list[str], prior: np.ndarray, p: np.ndarray, path: str) -> None:
+        self.langs, self.prior, self.p, self.pieces = langs, prior, p, loaded(path)
+        self.known, self.table = common.Index(), np.zeros((0, len(langs) + 1))
+
+    def __call__(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """Language or und, and posterior or 0."""
+        if len(self.known) > KEPT:
+            self.known, self.table = common.Index(), self.table[:0]
+        chunks = [x.lower().split() for x in texts]
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        flat = np.fromiter((k for x in chunks for k in map(self.known.__getitem__, x)), np.int64, int(sizes.sum()))
+        split = [words_of(x) for x in islice(self.known, len(self.table), None)]
+        distinct = common.Index()
+        at = np.fromiter((k for ws in split for k in map(distinct.__getitem__, ws)), np.int64)
+        of = np.repeat(np.arange(len(split)), np.fromiter(map(len, split), np.int64, len(split)))
+        scores = word_scores(self.pieces, self.p, list(distinct))
+        columns = [np.bincount(of, scores[at, g], len(split)) for g in range(len(self.langs))] + [np.bincount(of, minlength=len(split))]
+        self.table = np.concatenate((self.table, np.stack(columns, axis=1)))
+        text = np.repeat(np.arange(len(chunks)), sizes)
+        sums = np.stack([np.bincount(text, self.table[flat, g], len(chunks)) for g in range(len(self.langs) + 1)], axis=1)
+        logs, found = sums[:, :-1] + self.prior, sums[:, -1] > 0
+        score = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
+        names = [self.langs[k] if ok else "und" for k, ok in zip(logs.argmax(axis=1), found, strict=True)]
+        return names, np.where(found, score, 0.0)
+
+
 def identified(df: DataFrame, model: tuple, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, lang_pred, score (the language's posterior) of each row."""
-    path = path or default_path()
-    langs, prior, p = model
-    kind = df.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, lang_pred string, score double"
+    path, (langs, prior, p) = path or default_path(), model
+    if not langs:
+        return df.select(id_col, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shipped = df.sparkSession.sparkContext.broadcast(p)
 
     def run(batches):
-        own, p = loaded(path), shipped.value
-        kept, keep = common.Index(), 200_000
-        table = np.zeros((0, len(langs) + 1))
+        scorer = Scorer(langs, prior, shipped.value, path)
         for batch in batches:
             for b in common.pieces(batch, text_col, 8 << 20):
-                if len(kept) > keep:
-                    kept, table = common.Index(), table[:0]
-                chunks = [x.lower().split() for x in common.texts(b, text_col)]
-                sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
-                flat = np.fromiter((k for x in chunks for k in map(kept.__getitem__, x)), np.int64, int(sizes.sum()))
-                new = list(kept)[len(table) :]
-                split = [words_of(x) for x in new]
-                distinct = common.Index()
-                at = np.fromiter((k for ws in split for k in map(distinct.__getitem__, ws)), np.int64)
-                of = np.repeat(np.arange(len(new)), np.fromiter(map(len, split), np.int64, len(split)))
-                scores = word_scores(own, p, list(distinct))
-                rows = [np.bincount(of, scores[at, g], len(new)) for g in range(len(langs))] + [np.bincount(of, minlength=len(new))]
-                table = np.concatenate((table, np.stack(rows, axis=1)))
-                of = np.repeat(np.arange(len(chunks)), sizes)
-                sums = np.stack([np.bincount(of, table[flat, g], len(chunks)) for g in range(len(langs) + 1)], axis=1)
-                logs = sums[:, :-1] + prior
-                best = logs.argmax(axis=1)
-                score = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
-                found = sums[:, -1] > 0
-                yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array([langs[k] if ok else "und" for k, ok in zip(best, found, strict=True)]), pa.array(np.where(found, score, 0.0))], [id_col, "lang_pred", "score"])
+                names, score = scorer(common.texts(b, text_col))
+                yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(names, pa.string()), pa.array(score)], [id_col, "lang_pred", "score"])
 
+    kind = df.schema[id_col].dataType.simpleString()
+    return common.by_arrow(df.select(id_col, text_col), run, f"`{id_col}` {kind}, lang_pred string, score double")
+
+
+def with_language(df: DataFrame, model: tuple, path: str | None = None, text_col: str = "text", wanted: set[str] | None = None) -> DataFrame:
+    """The rows of df, with all columns, that are in a wanted language (None: in any that was learned)."""
+    path, (langs, prior, p) = path or default_path(), model
+    wanted = set(langs) if wanted is None else wanted
     if not langs:
-        return df.select(id_col, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    return common.by_arrow(df.select(id_col, text_col), run, schema)
+        return df.where(F.lit(False))
+    shipped = df.sparkSession.sparkContext.broadcast(p)
+    return common.kept(df, lambda: Scorer(langs, prior, shipped.value, path), lambda scorer, texts: np.array([x in wanted for x in scorer(texts)[0]], bool), text_col)
 
 
 def op8_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
