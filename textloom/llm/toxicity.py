@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -85,26 +85,28 @@ def _by_length(words: list[str]):
     for n, (at, rows) in codes.items():
         if n > 2:
             i, j, k, w = _triples(n)
-            step = max(1, 2_000_000 // len(w))
+            step = max(1, 500_000 // len(w))
             for a in range(0, len(at), step):
                 c = np.array(rows[a : a + step], np.int32)
                 yield np.array(at[a : a + step]), (c[:, i] * ALPHABET + c[:, j]) * ALPHABET + c[:, k], w
 
 
-def embedded(word: str) -> np.ndarray:
-    """The weights of a token's subsequences, as a vector over all of them."""
-    out = np.zeros(ALPHABET**3, np.float32)
+def embedded(word: str) -> tuple[np.ndarray, np.ndarray]:
+    """The subsequences of a token and their weights."""
     for _, sub, w in _by_length([word]):
-        np.add.at(out, sub[0], w)
-    return out
+        return sub[0], w
+    return np.zeros(0, np.int64), np.zeros(0, np.float32)
 
 
-def kernels(words: list[str], landmarks: list[np.ndarray]) -> np.ndarray:
+def kernels(words: list[str], landmarks: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """[word, landmark]; landmarks as from embedded()."""
-    out = np.zeros((len(words), len(landmarks)))
+    out = np.zeros((len(words), len(landmarks)), np.float32)
+    dense = np.zeros(ALPHABET**3, np.float32)
     for at, sub, w in _by_length(words):
-        for m, z in enumerate(landmarks):
-            out[at, m] = z[sub] @ w
+        for m, (where, v) in enumerate(landmarks):
+            np.add.at(dense, where, v)
+            out[at, m] = dense[sub] @ w
+            dense[where] = 0
     return out
 
 
@@ -125,14 +127,18 @@ def token_scores(weight: np.ndarray, bias: float, words: list[str]) -> np.ndarra
 
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, rounds: int = 25) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, by Newton steps; y: 1 or -1."""
-    x1 = np.concatenate((x, np.ones((len(x), 1))), axis=1)
+    x1 = np.concatenate((x, np.ones((len(x), 1), x.dtype)), axis=1)
     v = np.zeros(x1.shape[1])
     ridge = np.eye(len(v))
     ridge[-1, -1] = 1e-6
     for _ in range(rounds):
         inside = y * (x1 @ v) < 1
-        xa, wa = x1[inside], weight[inside] * c
-        new = np.linalg.solve(ridge + (xa * wa[:, None]).T @ xa, (xa * (wa * y[inside])[:, None]).sum(axis=0))
+        h, g = ridge.copy(), np.zeros(len(v))
+        for part in np.array_split(np.flatnonzero(inside), max(1, int(inside.sum()) // 4000)):
+            xa, wa = x1[part].astype(np.float64), weight[part] * c
+            h += (xa * wa[:, None]).T @ xa
+            g += xa.T @ (wa * y[part])
+        new = np.linalg.solve(h, g)
         if np.allclose(new, v, atol=1e-6):
             break
         v = new
@@ -221,12 +227,12 @@ def trained(rows: list[tuple[str, int]]) -> Model | None:
         new = [z for z in dict.fromkeys(hard) if z not in marks]
         marks += new
         vectors += [embedded(z) for z in new]
-        gram = kernels(marks, vectors)
+        gram = kernels(marks, vectors).astype(np.float64)
         values, axes = np.linalg.eigh((gram + gram.T) / 2)
         good = values > 1e-4 * values.max()
         whiten = axes[:, good] / np.sqrt(values[good])
         gapped = {w: n for k, v in positive.items() if sure[k] > 2 for w, n in _gapped(short[k], v)}
-        x = kernels([*(short[k] for k in [*positive, *negative]), *gapped], vectors) @ whiten
+        x = kernels([*(short[k] for k in [*positive, *negative]), *gapped], vectors) @ whiten.astype(np.float32)
         y = np.array([1.0] * len(positive) + [-1.0] * len(negative) + [1.0] * len(gapped))
         n = np.array([np.sqrt(v) for v in (*positive.values(), *negative.values(), *gapped.values())])
         n[y > 0] /= n[y > 0].sum()
@@ -234,7 +240,7 @@ def trained(rows: list[tuple[str, int]]) -> Model | None:
         v, bias = svm(x, y, n * 3000)
         weight = np.zeros(ALPHABET**3, np.float32)
         for share_of, z in zip(whiten @ v, vectors, strict=True):
-            weight += np.float32(share_of) * z
+            np.add.at(weight, z[0], np.float32(share_of) * z[1])
         score = token_scores(weight, bias, words).astype(np.float64)
     strongest = np.array([max(score[s].max() for s in sentences) for _, sentences in texts])
     slope, offset = logistic(strongest[:, None], np.array([float(y) for y, _ in texts]))
@@ -253,6 +259,27 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return [(t, y) for _, t, y in sorted(zip(got["i"], got["t"], got["y"], strict=True))]
 
 
+class Scorer:
+    """Probabilities of texts; remembers the values of tokens it has met."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.known, self.values = model, common.Index(), np.zeros(0, np.float32)
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        if len(self.known) > 300_000:
+            self.known, self.values = common.Index(), self.values[:0]
+        rows = list(map(tokens, texts))
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        flat = np.fromiter((k for x in rows for k in map(self.known.__getitem__, x)), np.int64, int(sizes.sum()))
+        new = list(islice(self.known, len(self.values), None))
+        self.values = np.concatenate((self.values, token_scores(self.model.weight, self.model.bias, new)))
+        best = np.full(len(rows), self.model.bias - 1.0)
+        full = np.flatnonzero(sizes)
+        if len(full):
+            best[full] = np.maximum.reduceat(self.values[flat], (np.cumsum(sizes) - sizes)[full])
+        return self.model.probability(best)
+
+
 def scored(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, score, predicted of each row."""
     kind = df.schema[id_col].dataType.simpleString()
@@ -261,26 +288,23 @@ def scored(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col:
     shipped = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m = shipped.value
-        kept, values = common.Index(), np.zeros(0, np.float32)
+        machine = Scorer(shipped.value)
         for batch in batches:
             for b in common.pieces(batch, text_col, 8 << 20):
-                if len(kept) > 300_000:
-                    kept, values = common.Index(), values[:0]
-                rows = list(map(tokens, common.texts(b, text_col)))
-                sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-                flat = np.fromiter((k for x in rows for k in map(kept.__getitem__, x)), np.int64, int(sizes.sum()))
-                values = np.concatenate((values, token_scores(m.weight, m.bias, list(kept)[len(values) :])))
-                best = np.full(len(rows), m.bias - 1.0)
-                full = np.flatnonzero(sizes)
-                if len(full):
-                    best[full] = np.maximum.reduceat(values[flat], (np.cumsum(sizes) - sizes)[full])
-                p = m.probability(best)
+                p = machine(common.texts(b, text_col))
                 yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [id_col, "score", "predicted"])
 
     return common.by_arrow(df.select(id_col, text_col), run, f"`{id_col}` {kind}, score double, predicted int")
 
 
+def without_toxic(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of df, with all columns, that are not predicted toxic."""
+    if model is None:
+        return df
+    shipped = df.sparkSession.sparkContext.broadcast(model)
+    return common.kept(df, lambda: Scorer(shipped.value), lambda machine, texts: machine(texts) < 0.5, text_col)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     held_out = common.id_mod("doc_id", 5) == 0
