@@ -97,17 +97,19 @@ def _ranges(df: DataFrame, key: str, n: int) -> Column:
     return F.when(F.col(key).isNull(), F.lit((len(groups) + 1) * step)).otherwise(coarse * step + F.greatest(fine, F.lit(0)))
 
 
-def with_next(df: DataFrame, id_col: str, columns: list[str], rank: str, text_col: str = "text") -> DataFrame:
-    """df with `next`, a struct of columns from the row after, by descending id, then rank; after the last comes the first.
+def with_next(df: DataFrame, id_col: str, rank: str, derive: Callable[[DataFrame], DataFrame], columns: list[str]) -> DataFrame:
+    """derive(df) with `next`, a struct of columns from the row after, by descending id, then rank; after the last comes the first.
 
     Rows are dealt into ranges of ids, so the order is made in many tasks; the last row of a range meets the first one of the next
-    through a table with a row for each range. df must have its rank column before anything costly, as it is read for both.
+    through a table with a row for each range. derive adds what is costly; it is worked out once for each row, and for the first
+    ones of the ranges once more. There are four ranges to a partition, so that hashing them out leaves no partition with many.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = df.withColumn("__range", _ranges(df, id_col, n))
     order = [F.desc_nulls_last(id_col), F.desc(rank)]
     within = Window.partitionBy("__range").orderBy(*order)
-    rows = placed.withColumn("__lead", F.lead(F.struct(*columns)).over(within))
+    derived = derive(placed)
+    rows = derived.withColumn("__lead", F.lead(F.struct(*columns)).over(within))
     heads = placed.groupBy("__range").agg(F.max(F.struct(id_col, rank)).alias("__k")).select("__range", F.col("__k")[id_col].alias("__i"), F.col("__k")[rank].alias("__r"))
     ring = Window.orderBy("__range")  # a row for each range
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -115,15 +117,15 @@ def with_next(df: DataFrame, id_col: str, columns: list[str], rank: str, text_co
     last = F.lead("__range").over(ring).isNull()
     heads = heads.select("__range", F.when(last, F.first("__i").over(whole)).otherwise(F.lead("__i").over(ring)).alias("__i"), after("__r").alias("__r"))
     first_rows = df.join(F.broadcast(heads), df[id_col].eqNullSafe(heads["__i"]) & (df[rank] == heads["__r"]))
-    first_rows = first_rows.groupBy("__range").agg(F.first(F.struct(*columns)).alias("__first"))
-    return rows.join(first_rows, "__range").select(*df.columns, F.coalesce("__lead", "__first").alias("next"))
+    first_rows = derive(first_rows).groupBy("__range").agg(F.first(F.struct(*columns)).alias("__first"))
+    return rows.join(first_rows, "__range").select(*[c for c in derived.columns if c != "__range"], F.coalesce("__lead", "__first").alias("next"))
 
 
 def fingerprinted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each row the sketch of its text and of its edited text, whose last third gives way to the next row's beginning."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("rank"), sketch(F.col(text_col)).alias("own"))
-    rows = with_next(rows, "doc_id", ["text", "own"], "rank")
+    rows = df.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("rank"))
+    rows = with_next(rows, "doc_id", "rank", lambda d: d.withColumn("own", sketch(F.col("text"))), ["text", "own"])
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - cut), F.substr(F.col("next.text"), F.lit(1), cut))
