@@ -152,18 +152,19 @@ def trigram_model(labelled: DataFrame, text_col: str = "text", lang_col: str = "
 
 
 def _trigrams(c: Column) -> Column:
-    plain = F.concat(F.lit(" "), T.detection_text(c, compose=False), F.lit(" "))
-    return _let(plain, lambda p: F.when(F.length(p) > 4, F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substr(p, i, F.lit(3)))).otherwise(F.array().cast("array<string>")))
+    # an empty match at each place, whose group looks three characters ahead
+    return F.regexp_extract_all(F.concat(F.lit(" "), T.detection_text(c, compose=False), F.lit(" ")), F.lit("(?s)(?=(.{3}))"), F.lit(1))
 
 
 def with_statistics(df: DataFrame, model: DataFrame, key: str, text_col: str = "text", name: str = "statistical") -> DataFrame:
     """df with a map of probabilities by language. The model has 3000 rows for each language and is broadcast; only keys and sums are shuffled."""
     grams = df.select(F.col(key).alias("__k"), F.explode(_trigrams(F.col(text_col))).alias("gram")).groupBy("__k", "gram").agg(F.count("*").alias("c"))
-    per = model.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "logp"))).alias("m"))
-    none = model.groupBy("lang").agg(F.min("none").alias("none")).agg(F.map_from_entries(F.collect_list(F.struct("lang", "none"))).alias("none"))
-    scored = grams.join(F.broadcast(per), "gram", "left").join(F.broadcast(none))
-    scored = scored.select("__k", "c", F.explode("none").alias("lang", "floor"), "m").groupBy("__k", "lang").agg(F.sum(F.col("c") * F.coalesce(F.element_at("m", F.col("lang")), "floor")).alias("s"))
-    best = scored.groupBy("__k").agg(F.map_from_entries(F.collect_list(F.struct("lang", "s"))).alias("s"))
-    soft = _let(F.array_max(F.map_values("s")), lambda top: F.transform_values("s", lambda _, v: F.exp(v - top)))
-    shares = _let(soft, lambda e: _let(F.aggregate(F.map_values(e), F.lit(0.0), lambda a, x: a + x), lambda t: F.transform_values(e, lambda _, v: v / t)))
-    return df.join(best.select("__k", shares.alias(name)), df[key] == F.col("__k"), "left").drop("__k")
+    floors = dict(model.groupBy("lang").agg(F.min("none")).orderBy("lang").collect())  # a number for each language
+    per = model.groupBy("gram").agg(*[F.max(F.when(F.col("lang") == x, F.col("logp"))).alias(f"__l{k}") for k, x in enumerate(floors)])
+    scored = grams.join(F.broadcast(per), "gram", "left")
+    sums = scored.groupBy("__k").agg(*[F.sum(F.col("c") * F.coalesce(f"__l{k}", F.lit(floor))).alias(f"__s{k}") for k, floor in enumerate(floors.values())])
+    values = F.array(*[F.col(f"__s{k}") for k in range(len(floors))])
+    soft = _let(F.array_max(values), lambda top: F.transform(values, lambda v: F.exp(v - top)))
+    shares = _let(soft, lambda e: _let(F.aggregate(e, F.lit(0.0), lambda t, x: t + x), lambda t: F.transform(e, lambda v: v / t)))
+    named = F.map_from_arrays(F.array(*map(F.lit, floors)), shares)
+    return df.join(sums.select("__k", named.alias(name)), df[key] == F.col("__k"), "left").drop("__k")
