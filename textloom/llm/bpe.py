@@ -14,7 +14,9 @@ import hashlib
 import heapq
 import json
 import re
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,8 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from textloom.llm import common
 
 TOKENIZER = "word_bpe_49k.json"
-#: Words that one index covers, and words that a worker remembers between blocks.
-BLOCK_WORDS, KEPT_WORDS = 40_000, 300_000
+_LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
+#: Words that one index covers, and runs and words each that a worker remembers in either of two generations.
+BLOCK_WORDS, KEPT_WORDS = 40_000, 150_000
 
 
 def byte_alphabet() -> list[str]:
@@ -36,6 +39,34 @@ def byte_alphabet() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+#: Number of ids, ids as unsigned 32-bit little-endian, decoded text.
+Entry = tuple[int, bytes, bytes]
+
+
+class Kept(dict):
+    """Entries in two generations: a full one becomes the old one, from which entries that are asked for move up, and the rest is forgotten."""
+
+    def __init__(self, most: int) -> None:
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def missing(self, keys: set) -> list:
+        """The keys that are in neither generation; those in the old one move up."""
+        out, old = [], self.old
+        for k in keys - self.keys():
+            if k in old:
+                self[k] = old[k]
+            else:
+                out.append(k)
+        return out
+
+    def age(self) -> None:
+        """To be called between blocks."""
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+
 class PairIndexBPE:
     """Encoder and decoder for a tokenizer file with word ends, split by a pattern after NFC and lower-casing."""
 
@@ -63,7 +94,9 @@ class PairIndexBPE:
         keys = np.fromiter(self.rank, np.int64, len(self.rank))
         self.order = np.argsort(keys)
         self.keys = keys[self.order]
-        self.kept: dict[str | int, tuple[int, bytes, bytes]] = {}
+        self.runs: Kept = Kept(KEPT_WORDS)
+        self.seen_words: Kept = Kept(KEPT_WORDS)
+        self.spelt = {i: t.encode() for i, t in self.tokens.items()}
 
     def merge(self, words: list[bytes]) -> list[list[int]]:
         """Token ids of each word (not empty)."""
@@ -136,35 +169,39 @@ class PairIndexBPE:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower-casing goes by single characters
         return text.lower().split(" ")
 
-    def learn(self, runs: set[str | int]) -> dict[str | int, tuple[int, bytes, bytes]]:
-        """Number of ids, ids as unsigned 32-bit little-endian and decoded text of each run."""
-        runs = list(runs)
-        split = [[] if isinstance(x, int) else [w.encode() for w in self.words(x)] for x in runs]
-        todo = list({w for ws in split for w in ws})
-        ids: dict[bytes, list[int]] = {}
+    def entry(self, ids: list[int]) -> Entry:
+        spelt = self.spelt
+        return len(ids), array("I", ids).tobytes() if _LITTLE else np.array(ids, "<u4").tobytes(), b" ".join([spelt[i] for i in ids])
+
+    def learn(self, runs: list[str | int]) -> None:
+        """Entries for runs that are not known."""
+        split = [None if isinstance(x, int) else self.words(x) for x in runs]
+        words = self.seen_words
+        words.age()
+        todo = words.missing(set().union(*(ws for ws in split if ws)))
         for k in range(0, len(todo), BLOCK_WORDS):
             block = todo[k : k + BLOCK_WORDS]
-            ids.update(zip(block, self.merge(block), strict=True))
-        out = {}
+            for w, ids in zip(block, self.merge([w.encode() for w in block]), strict=True):
+                words[w] = self.entry(ids)
+        known = self.runs
         for x, ws in zip(runs, split, strict=True):
-            y = [x] if isinstance(x, int) else ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]]
-            out[x] = len(y), np.array(y, "<u4").tobytes(), self.decode(y).encode()
-        return out
-
-    def encode_batch(self, batch: list[str]) -> Iterator[tuple[int, bytes, bytes]]:
+            if ws is None:
+                known[x] = self.entry([x])
+            elif len(ws) == 1:
+                known[x] = words[ws[0]]
+            else:
+                got = [words[w] for w in ws]
+                known[x] = sum([e[0] for e in got]), b"".join([e[1] for e in got]), b" ".join([e[2] for e in got])
+
+    def encode_batch(self, batch: list[str]) -> Iterator[Entry]:
         """For each text the number of ids, the ids and the decoded text."""
         rows = [self.parts(x) for x in batch]
-        seen = set().union(*rows)
-        if len(self.kept) > KEPT_WORDS:
-            self.kept = {}
-        known = self.kept
-        new = self.learn(seen - known.keys())
+        known = self.runs
+        known.age()
+        self.learn(known.missing(set().union(*rows)))
         for row in rows:
-            got = [known[x] if x in known else new[x] for x in row]
-            yield sum([x[0] for x in got]), b"".join([x[1] for x in got]), b" ".join([x[2] for x in got if x[0]])
-        if len(known) < KEPT_WORDS:
-            # runs that stand twice in this block are likely to come again
-            known.update(new if len(new) < 20_000 else {k: v for k, v in new.items() if len(v[1]) <= 16})
+            got = [known[x] for x in row]
+            yield sum([e[0] for e in got]), b"".join([e[1] for e in got]), b" ".join([e[2] for e in got if e[0]])
 
 
 _LOADED: dict[str, PairIndexBPE] = {}
