@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from textloom.functions.values import SPACE, stripped
 
@@ -21,7 +22,7 @@ SPAM = ("send me this post", "please send me", "this shot is really", "great ple
 RESERVED_NAMES = ("instagram", "facebook", "meta", "threads")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Unicode compatibility composition, which Spark has no function for."""
     return texts.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
