@@ -110,6 +110,33 @@ def kernels(words: list[str], landmarks: list[tuple[np.ndarray, np.ndarray]]) ->
     return out
 
 
+class Kernels:
+    """Kernels of tokens with a growing list of landmarks; what was worked out stays."""
+
+    def __init__(self) -> None:
+        self.marks: list[str] = []
+        self.vectors: list[tuple[np.ndarray, np.ndarray]] = []
+        self.rows: dict[str, np.ndarray] = {}
+
+    def add(self, tokens: list[str]) -> None:
+        for z in tokens:
+            if z not in self.marks:
+                self.marks.append(z)
+                self.vectors.append(embedded(z))
+
+    def __call__(self, tokens: list[str]) -> np.ndarray:
+        """[token, landmark]."""
+        known: dict[int, list[str]] = {}
+        for w in set(tokens):
+            known.setdefault(len(self.rows.get(w, ())), []).append(w)
+        for n, words in known.items():
+            if n < len(self.vectors):
+                new = kernels(words, self.vectors[n:])
+                for w, row in zip(words, new, strict=True):
+                    self.rows[w] = np.concatenate((self.rows[w], row)) if n else row
+        return np.stack([self.rows[w] for w in tokens])
+
+
 def folded_scores(weight: np.ndarray, words: list[str]) -> np.ndarray:
     out = np.zeros(len(words), np.float32)
     for at, sub, w in _by_length(words):
@@ -205,8 +232,8 @@ def trained(rows: list[tuple[str, int]]) -> Model | None:
     score = sure - 2
     lift = share[1] - share[0]
     short = [_windows(w)[0] for w in words]
-    marks = list(dict.fromkeys(short[k] for k in [*np.argsort(-lift, kind="stable")[: LANDMARKS[0]], *np.argsort(-(df[0] + df[1]), kind="stable")[: LANDMARKS[1]]]))
-    vectors = [embedded(z) for z in marks]
+    kernel = Kernels()
+    kernel.add([short[k] for k in [*np.argsort(-lift, kind="stable")[: LANDMARKS[0]], *np.argsort(-(df[0] + df[1]), kind="stable")[: LANDMARKS[1]]]])
     weight, bias = np.zeros(ALPHABET**3, np.float32), 0.0
     positive, negative = Counter(), Counter()
     for _ in range(ROUNDS):
@@ -223,23 +250,20 @@ def trained(rows: list[tuple[str, int]]) -> Model | None:
             (negative if df[1][k] / size[1] > df[0][k] / size[0] else positive).pop(k)
         if not positive or not negative:
             break
-        hard = [short[k] for k in sorted(negative, key=lambda k: (-score[k], k))[: LANDMARKS[2]]]
-        new = [z for z in dict.fromkeys(hard) if z not in marks]
-        marks += new
-        vectors += [embedded(z) for z in new]
-        gram = kernels(marks, vectors).astype(np.float64)
+        kernel.add([short[k] for k in sorted(negative, key=lambda k: (-score[k], k))[: LANDMARKS[2]]])
+        gram = kernel(kernel.marks).astype(np.float64)
         values, axes = np.linalg.eigh((gram + gram.T) / 2)
         good = values > 1e-4 * values.max()
         whiten = axes[:, good] / np.sqrt(values[good])
         gapped = {w: n for k, v in positive.items() if sure[k] > 2 for w, n in _gapped(short[k], v)}
-        x = kernels([*(short[k] for k in [*positive, *negative]), *gapped], vectors) @ whiten.astype(np.float32)
+        x = kernel([*(short[k] for k in [*positive, *negative]), *gapped]) @ whiten.astype(np.float32)
         y = np.array([1.0] * len(positive) + [-1.0] * len(negative) + [1.0] * len(gapped))
         n = np.array([np.sqrt(v) for v in (*positive.values(), *negative.values(), *gapped.values())])
         n[y > 0] /= n[y > 0].sum()
         n[y < 0] /= n[y < 0].sum()
         v, bias = svm(x, y, n * 3000)
         weight = np.zeros(ALPHABET**3, np.float32)
-        for share_of, z in zip(whiten @ v, vectors, strict=True):
+        for share_of, z in zip(whiten @ v, kernel.vectors, strict=True):
             np.add.at(weight, z[0], np.float32(share_of) * z[1])
         score = token_scores(weight, bias, words).astype(np.float64)
     strongest = np.array([max(score[s].max() for s in sentences) for _, sentences in texts])
