@@ -44,10 +44,13 @@ def terms(text: Column, stopwords: list[str]) -> Column:
 
 
 def tfidf(df: DataFrame, text_col: str, stopwords: list[str], features: int = FEATURES, min_df: float = MIN_DF, max_df: float = MAX_DF) -> tuple[DataFrame, list[str]]:
-    """df with `features`, unit vectors of (1 + ln tf) * (ln((n + 1) / (df + 1)) + 1), and the vocabulary, of `features` terms at most."""
+    """df with `features`, unit vectors of (1 + ln tf) * (ln((n + 1) / (df + 1)) + 1), and the vocabulary, of `features` terms at most.
+
+    max_df below 1 is a share of the rows; from 1 on no term is too frequent.
+    """
     with_terms = df.withColumn("__terms", terms(F.col(text_col), stopwords))
     n = with_terms.count()
-    counter = CountVectorizer(inputCol="__terms", outputCol="__tf", vocabSize=features, minDF=min_df, maxDF=max_df).fit(with_terms)
+    counter = CountVectorizer(inputCol="__terms", outputCol="__tf", vocabSize=features, minDF=min_df, maxDF=max_df if max_df < 1 else 2.0**60).fit(with_terms)
     vocabulary = counter.vocabulary
     names = df.sparkSession.createDataFrame([(t, k) for k, t in enumerate(vocabulary)], "t string, k int")
     seen = with_terms.select(F.explode(F.array_distinct("__terms")).alias("t")).join(F.broadcast(names), "t").groupBy("k").agg(F.count("*").alias("d"))

@@ -66,7 +66,7 @@ def read_raw(spark: SparkSession, path: str, schema: str = RAW_POST) -> DataFram
     whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"))
     listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<{both}>")).otherwise(F.array(F.from_json("value", both)))
     item = F.col("item")
-    rows = whole.select("file", "modified", F.posexplode(listed).alias("place", "item")).where(item.isNotNull())
+    rows = whole.select("file", "modified", F.posexplode(listed).alias("place", "item")).where(item.isNotNull() & (F.to_json(item) != "{}"))
     names = [x.split(" ", 1)[0].strip() for x in _fields(schema)]
     flat = rows.where("item.collector is null").select("file", "modified", "place", *[item[n].alias(n) for n in names])
     held = rows.where("item.collector is not null").select("file", "modified", F.posexplode("item.collector").alias("place", "i")).select("file", "modified", "place", *[F.col("i")[n].alias(n) for n in names])
