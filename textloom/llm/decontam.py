@@ -206,3 +206,13 @@ def cleaned(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col:
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(common.documents(spark, sf_dir), common.table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def _sql_shingles(key: str, source: str) -> str:
+    words = r"list_filter(list_transform(string_split_regex(lower(text), '\s+'), lambda x: regexp_replace(x, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), lambda x: x <> '')"
+    return f"SELECT DISTINCT {key}, array_to_string(w[i : i + {SHINGLE - 1}], ' ') AS s FROM (SELECT {key}, w, unnest(range(1, greatest(len(w) - {SHINGLE - 2}, 2))) AS i FROM (SELECT {key}, {words} AS w FROM {source}) WHERE len(w) > 0)"
+
+
+#: The pairs at the threshold, by exact containment alone.
+ORACLE_SQL = f"""WITH d AS ({_sql_shingles("doc_id", "documents")}), i AS ({_sql_shingles("item_id", "benchmark")}), n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS shared, n AS n_shingles, count(*)::DOUBLE / n AS containment FROM d JOIN i USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVING count(*) >= {THRESHOLD} * n"""
