@@ -82,7 +82,7 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got, [[brute("▁" + w, g) for g in range(2)] for w in words])
 
 
-EDGES = [(1, None), (2, ""), (3, "?! 12 \n"), (4, "the same text here"), (4, "the same text here"), (None, "word " * 30_000), (6, "z" * 100_000)]
+EDGES = [(1, None), (2, ""), (3, "?! 12 ² ½ \n"), (4, "the same text here"), (4, "the same text here"), (None, "word " * 30_000), (6, "z" * 100_000)]
 
 
 def test_edges_have_defined_results(spark):

@@ -56,6 +56,8 @@ def vocabulary(path: str) -> list[str]:
 def words_of(chunk: str) -> list[str]:
     """The runs of letters of a lower-case chunk, long ones cut."""
     found = _WORDS(chunk)
+    if not all(map(str.isalpha, found)):  # numerals such as a superscript two are no letters
+        found = [w for w in ("".join(filter(str.isalpha, w)) for w in found) if w]
     if any(len(w) > LONGEST for w in found):
         found = [w[k : k + LONGEST] for w in found for k in range(0, len(w), LONGEST)]
     return found
