@@ -48,7 +48,7 @@ def by_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return df.mapInArrow(f, schema)
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts have about so many bytes together; a longer text stands alone."""
     import pyarrow.compute as pc
 

@@ -39,7 +39,7 @@ class WordHashes(dict):
         while b > a and not chunk[b - 1].isalnum():
             b -= 1
         h = xxh64_intdigest(chunk[a:b].encode(), 42) or 1 if a < b else 0
-        if len(self) < 400_000:
+        if len(self) < 250_000:
             self[chunk] = h
         return h
 
@@ -179,7 +179,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
             it, hashes = shipped.value, WordHashes()
             kind = None
             for batch in batches:
-                for b in common.pieces(batch, text_col, 8 << 20):
+                for b in common.pieces(batch, text_col):
                     kind = kind or pa.array(it.ids).type
                     pairs = it.pairs(common.texts(b, text_col), hashes)
                     size = [len(it.shingles[i]) for _, i, _ in pairs]

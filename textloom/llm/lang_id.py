@@ -28,7 +28,7 @@ VOCABULARY = "piece_bpe_32k.model"
 LONGEST, PIECE = 24, 10
 ROUNDS = 2
 #: Chunks between spaces that a worker remembers.
-KEPT = 200_000
+KEPT = 120_000
 #: Training texts, at most, taken in the order of a hash of id and text; the vocabulary bounds all else.
 SAMPLE = 12_000
 #: Pseudo-counts that a language gets in proportion to all languages' pieces, and each character without a piece.
@@ -109,7 +109,7 @@ def backward(n: int, spans: dict, p: np.ndarray, rows: int) -> np.ndarray:
     return beta
 
 
-def by_length(words: list[str], most: int = 20_000):
+def by_length(words: list[str], most: int = 8_000):
     order = sorted(range(len(words)), key=lambda k: len(words[k]))
     at = 0
     while at < len(order):
@@ -245,7 +245,7 @@ def identified(df: DataFrame, model: tuple, path: str | None = None, id_col: str
     def run(batches):
         scorer = Scorer(langs, prior, shipped.value, path)
         for batch in batches:
-            for b in common.pieces(batch, text_col, 8 << 20):
+            for b in common.pieces(batch, text_col):
                 names, score = scorer(common.texts(b, text_col))
                 yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(names, pa.string()), pa.array(score)], [id_col, "lang_pred", "score"])
 

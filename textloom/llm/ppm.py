@@ -36,7 +36,7 @@ CACHE, CACHE_SHARE, PAIR_SHARE = 300, 0.5, 0.15
 START, END, SPACE = b"\n", b"\r", b" "
 ALPHABET = 257
 #: Distinct tokens that a task holds before it sends their counts on; tokens that are scored or counted at once.
-HELD, CHUNK = 400_000, 100_000
+HELD, CHUNK = 300_000, 50_000
 LENGTHS = range(ORDER + 1, 0, -1)
 _B = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_B), -1, 2**64))
@@ -260,7 +260,7 @@ def scored(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col:
         numbers, base, score = _READY[key]
         common_words = len(numbers)
         for batch in batches:
-            for b in common.pieces(batch, text_col, 12 << 20):
+            for b in common.pieces(batch, text_col, 6 << 20):
                 index = common.Index(numbers)
                 rows = [np.fromiter(map(index.__getitem__, t), np.int64, len(t)) for t in map(tokens, common.raw_texts(b, text_col))]
                 rare_words = list(index)[common_words:]

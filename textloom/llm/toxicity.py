@@ -31,6 +31,8 @@ from textloom.llm import common
 DECAY, LONGEST, ALPHABET = 0.45, 22, 64
 #: Landmarks: tokens that toxic texts have more often, frequent tokens, and in each round the strongest of clean texts.
 LANDMARKS, ROUNDS = (160, 40, 80), 5
+#: Tokens that a worker remembers.
+KEPT = 200_000
 #: Labelled training texts of each label, at most, in the order of a hash of the id, and their length in bytes, at most.
 SAMPLE, SAMPLE_BYTES = {1: 1500, 0: 2500}, 16_000
 _SENTENCES = re.compile(r"[.!?\n]+\s").split
@@ -290,7 +292,7 @@ class Scorer:
         self.model, self.known, self.values = model, common.Index(), np.zeros(0, np.float32)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        if len(self.known) > 300_000:
+        if len(self.known) > KEPT:
             self.known, self.values = common.Index(), self.values[:0]
         rows = list(map(tokens, texts))
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
@@ -314,7 +316,7 @@ def scored(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col:
     def run(batches):
         machine = Scorer(shipped.value)
         for batch in batches:
-            for b in common.pieces(batch, text_col, 8 << 20):
+            for b in common.pieces(batch, text_col):
                 p = machine(common.texts(b, text_col))
                 yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [id_col, "score", "predicted"])
 
