@@ -123,3 +123,13 @@ def narrative_edges(edges: DataFrame) -> DataFrame:
 
 def cooccurrence_edges(edges: DataFrame) -> DataFrame:
     return edges.where("edge_type = 'hashtag_cooccurrence'")
+
+
+def described(before: int, after: int, minimums: dict[str, float] | None = None, above: list[str] | None = None, factor: float = 1.0, top_by: str | None = None) -> str:
+    """A line for a log about what an engagement filter did."""
+    parts = [f"{k} >= {v}" for k, v in (minimums or {}).items() if v]
+    if above:
+        parts.append(f"> {factor} x profile mean ({'+'.join(above)})")
+    if top_by:
+        parts.append(f"by {top_by}")
+    return f"engagement filter ({', '.join(parts) or 'none'}): {before} -> {after} posts"

@@ -86,3 +86,9 @@ def repaired_links(posts: DataFrame, shortcodes: DataFrame, site: str = "https:/
     good = F.contains(url, F.lit("/p/")) | F.contains(url, F.lit("/reel/"))
     new = F.when(good, F.concat(plain, F.lit("/"))).when(F.coalesce("shortcode", F.lit("")) != "", link(F.col("shortcode"))).when(own != "", link(own)).otherwise(url)
     return j.withColumn("post_url", new).select(*posts.columns)
+
+
+def changed(old: DataFrame, new: DataFrame, key: str, column: str) -> int:
+    """How many keys have another value now; one number comes to the driver."""
+    a, b = old.select(key, F.col(column).alias("__a")), new.select(key, F.col(column).alias("__b"))
+    return a.join(b, key).agg(F.count_if(~F.col("__a").eqNullSafe(F.col("__b")))).first()[0]
