@@ -20,6 +20,7 @@ likely; repeated ids and equal texts give one row each; other columns are not re
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -239,7 +240,7 @@ def adapted(logp: np.ndarray, token: np.ndarray, text: np.ndarray, place: np.nda
     return np.log10(np.maximum(p, 1e-300))
 
 
-_READY: dict[int, tuple] = {}
+_READY: dict[str, tuple] = {}
 
 
 def scored(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,7 +249,7 @@ def scored(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col:
     model = trained(counts)
     spark = df.sparkSession
     shipped = spark.sparkContext.broadcast(model)
-    key = id(shipped)
+    key = uuid.uuid4().hex  # workers outlive a model
 
     def run(batches):
         m = shipped.value
