@@ -37,7 +37,11 @@ def words(text: Column) -> Column:
 def matched(text: Column, phrases: Column, distinct_words: Column, single: list[str]) -> Column:
     """The entries that the text has, in their order and with their repeats; single: the one-word phrases among them."""
     hits = F.array_intersect(distinct_words, F.array(*map(F.lit, sorted(set(single)))).cast("array<string>"))
-    return F.filter(phrases, lambda e: F.when(e.kind == 0, F.array_contains(hits, e.phrase)).when(e.kind == 1, F.contains(text, e.phrase)).otherwise(F.regexp_like(text, e.pattern)))
+
+    def among(found: Column) -> Column:
+        return F.filter(phrases, lambda e: F.when(e.kind == 0, F.array_contains(found, e.phrase)).when(e.kind == 1, F.contains(text, e.phrase)).otherwise(F.regexp_like(text, e.pattern)))
+
+    return F.transform(F.array(hits), among)[0]  # the intersection is made once, not for each phrase
 
 
 def single_words(phrases: list[tuple[int, str]]) -> list[str]:

@@ -64,9 +64,9 @@ def _emoji_hits(raw: Column, lexicon: SentimentLexicon) -> Column:
 
 
 def _sign_hits(raw: Column) -> Column:
-    letters = F.regexp_replace(raw, f"[^{CASED}]", "")
-    upper = F.length(F.regexp_replace(letters, "[^A-ZÁÉÍÓÚÜÑ]", ""))
-    rules = [(raw.rlike("!{2,}"), EXCLAIMED, "+punct:!!"), (raw.rlike(r"\?{2,}"), QUESTIONED, "+punct:??"), ((F.length(letters) >= 8) & (upper > 0.6 * F.length(letters)), SHOUTED, "+punct:caps")]
+    upper = lambda x: F.length(F.regexp_replace(x, "[^A-ZÁÉÍÓÚÜÑ]+", ""))
+    shouted = _let(F.regexp_replace(raw, f"[^{CASED}]+", ""), lambda x: (F.length(x) >= 8) & (upper(x) > 0.6 * F.length(x)))
+    rules = [(raw.rlike("!{2,}"), EXCLAIMED, "+punct:!!"), (raw.rlike(r"\?{2,}"), QUESTIONED, "+punct:??"), (shouted, SHOUTED, "+punct:caps")]
     return F.filter(F.array(*[F.when(rule, F.struct(F.lit(-w).alias("w"), F.lit(s).alias("s"))) for rule, w, s in rules]), lambda h: h.isNotNull())
 
 
