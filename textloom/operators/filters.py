@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, TimestampNTZType, TimestampType
 
 from textloom.functions.values import count_value, number, published_at, stripped
 
@@ -29,11 +30,28 @@ def in_dates(c: Column, date_from: str | None, date_to: str | None) -> Column:
     return ok
 
 
+def between_days(df: DataFrame, column: str, date_from: str | None, date_to: str | None) -> DataFrame:
+    """Rows within both days. A column that is a time already is compared as it is, so the scan can skip by it."""
+    if not isinstance(df.schema[column].dataType, (TimestampType, TimestampNTZType)):
+        return df.where(in_dates(F.col(column), date_from, date_to))
+    kind, out = df.schema[column].dataType, df.where(F.col(column).isNotNull())
+    if low := date_bound(date_from):
+        out = out.where(F.col(column) >= F.lit(low).cast(kind))
+    if high := date_bound(date_to, True):
+        out = out.where(F.col(column) <= F.lit(high).cast(kind))
+    return out
+
+
+def metric_value(df: DataFrame, name: str) -> Column:
+    """A metric as number: numeric columns as they are (null is 0), text through its checks."""
+    return F.coalesce(F.col(name).cast("double"), F.lit(0.0)) if isinstance(df.schema[name].dataType, NumericType) else number(F.col(name))
+
+
 def by_dates(posts: DataFrame, comments: DataFrame, date_from: str | None = None, date_to: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Posts within the days, and the comments on them; without bounds both stay as they are."""
     if not date_from and not date_to:
         return posts, comments
-    kept = posts.where(in_dates(F.col("published_at"), date_from, date_to))
+    kept = between_days(posts, "published_at", date_from, date_to)
     return kept, with_keys_of(comments, kept, "post_id")
 
 
@@ -49,7 +67,8 @@ def at_least(df: DataFrame, minimums: dict[str, float]) -> DataFrame:
     """Rows with at least so much of each metric; a minimum of None or 0 is off."""
     for metric, least in minimums.items():
         if least:
-            df = df.where(number(F.col(metric)) >= least)
+            numeric = isinstance(df.schema[metric].dataType, NumericType)  # then the scan can skip by it
+            df = df.where((F.col(metric) if numeric else number(F.col(metric))) >= least)
     return df
 
 
@@ -57,8 +76,8 @@ def at_least(df: DataFrame, minimums: dict[str, float]) -> DataFrame:
 SKIP_ZEROS = ("view_count",)
 
 
-def _mean(metric: str) -> Column:
-    v = number(F.col(metric))
+def _mean(df: DataFrame, metric: str) -> Column:
+    v = metric_value(df, metric)
     return F.avg(F.when(v > 0, v)) if metric in SKIP_ZEROS else F.avg(v)
 
 
@@ -66,20 +85,20 @@ def above_average(df: DataFrame, metrics: list[str], factor: float = 1.0, profil
     """Rows over factor times their profile's mean in every metric."""
     ok = F.lit(True)
     for metric in metrics:
-        ok = ok & F.coalesce(number(F.col(metric)) > _mean(metric).over(Window.partitionBy(profile)) * factor, F.lit(False))
+        ok = ok & F.coalesce(metric_value(df, metric) > _mean(df, metric).over(Window.partitionBy(profile)) * factor, F.lit(False))
     return df.withColumn("__ok", ok).where("__ok").drop("__ok")
 
 
 def profile_stats(df: DataFrame, metrics: list[str], factor: float = 1.0, profile: str = "profile_username") -> DataFrame:
     """Of each profile and metric the mean, the threshold and the number of posts; a profile without a mean has 0."""
-    wide = df.groupBy(profile).agg(*[F.coalesce(_mean(m), F.lit(0.0)).alias(m) for m in metrics], F.count("*").alias("posts_in_profile"))
+    wide = df.groupBy(profile).agg(*[F.coalesce(_mean(df, m), F.lit(0.0)).alias(m) for m in metrics], F.count("*").alias("posts_in_profile"))
     long = wide.unpivot([profile, "posts_in_profile"], metrics, "metric", "mean")
     return long.select(profile, "metric", F.round("mean", 2).alias("profile_mean"), F.round(F.col("mean") * factor, 2).alias("threshold"), "posts_in_profile")
 
 
 def top(df: DataFrame, metric: str, n: int, tie: str = "post_id") -> DataFrame:
     """The n rows with most of a metric; ties go by key."""
-    return df.orderBy(F.desc(number(F.col(metric))), tie).limit(n)
+    return df.orderBy(F.desc(metric_value(df, metric)), tie).limit(n)
 
 
 def engaging(posts: DataFrame, minimums: dict[str, float] | None = None, above: list[str] | None = None, factor: float = 1.0, top_by: str | None = None, most: int | None = None) -> DataFrame:
@@ -90,7 +109,7 @@ def engaging(posts: DataFrame, minimums: dict[str, float] | None = None, above:
             raise ValueError(f"unknown metrics: {', '.join(sorted(unknown))}")
         out = above_average(out, above, factor)
     if top_by:
-        return top(out, top_by, most) if most else out.orderBy(F.desc(number(F.col(top_by))), "post_id")
+        return top(out, top_by, most) if most else out.orderBy(F.desc(metric_value(out, top_by)), "post_id")
     return out.orderBy("post_id").limit(most) if most else out
 
 

@@ -95,26 +95,33 @@ def sentiment_overview(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1996-03-01 00:00:00' AND TIMESTAMP '1998-07-31 23:59:59'")
 def date_range_filter(spark, sf_dir):
+    o = S.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    return filters.between_days(o, "o_orderdate", "1996-03-01", "1998-07-31").drop("o_orderdate")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1996-03-01 00:00:00' AND TIMESTAMP '1998-07-31 23:59:59'")
+def date_range_of_text(spark, sf_dir):
+    """Times as text with an offset, which is dropped unconverted."""
     o = S.table(spark, sf_dir, "orders")
     at = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'+02:00'")
-    return o.where(filters.in_dates(at, "1996-03-01", "1998-07-31")).select("o_orderkey", "o_custkey", "o_totalprice")
+    return o.where(filters.in_dates(at, "1996-03-01", "1998-07-31")).select("o_orderkey")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01 00:00:00')")
 def date_range_comments(spark, sf_dir):
-    posts = S.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("post_id"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("published_at"))
+    posts = S.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("post_id"), F.col("o_orderdate").alias("published_at"))
     comments = S.table(spark, sf_dir, "lineitem").withColumn("post_id", F.col("l_orderkey"))
     return filters.by_dates(posts, comments, date_from="1998-01-01")[1].select("l_orderkey", "l_linenumber", "l_partkey")
 
 
 def _engagement(spark, sf_dir):
-    return S.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("post_id"), F.col("o_custkey").alias("profile_username"), F.col("o_totalprice").cast("string").alias("like_count"), F.when(F.col("o_orderstatus") == "F", F.lit("0")).otherwise(F.col("o_totalprice").cast("string")).alias("view_count"))
+    return S.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("post_id"), F.col("o_custkey").alias("profile_username"), F.col("o_totalprice").alias("like_count"), F.when(F.col("o_orderstatus") == "F", F.lit("0")).otherwise(F.col("o_totalprice").cast("string")).alias("view_count"))
 
 
 @query("SELECT o_orderkey AS post_id, o_custkey AS profile_username, o_totalprice AS likes FROM orders WHERE o_totalprice >= 100000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
 def engagement_min_topk(spark, sf_dir):
     out = filters.engaging(_engagement(spark, sf_dir), {"like_count": 100000, "view_count": 0}, top_by="like_count", most=50)
-    return out.select("post_id", "profile_username", V.number(F.col("like_count")).alias("likes"))
+    return out.select("post_id", "profile_username", F.col("like_count").alias("likes"))
 
 
 _ABOVE = "SELECT o_orderkey AS post_id, o_custkey AS p, o_totalprice AS l, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE o_totalprice END AS v FROM orders"
