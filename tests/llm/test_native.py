@@ -105,3 +105,19 @@ def test_growing_moves_only_into_the_new_shard():
     assert all(b in (a, 8) for a, b in zip(old, new, strict=True)) and len(m.versions) == 3
     load = [sum(w for w, d in zip(weight, new, strict=True) if d == k) for k in range(9)]
     assert max(load) - min(load) < 0.05 * sum(load) / 9
+
+
+def test_one_id_may_hold_many_rows(spark):
+    r = random.Random(6)
+    many = [(7, f"text {r.random()} of the heavy id") for _ in range(300)] + [(k, f"light {k} row") for k in range(100, 130)] + [(k, f"less {k}") for k in range(-20, 0)]
+    df = spark.createDataFrame(many, "doc_id bigint, text string").withColumn("rank", F.xxhash64("text"))
+    order = [x.text for x in df.orderBy(F.desc("doc_id"), F.desc("rank")).collect()]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    try:
+        got = {x.text: x.next.text for x in sketch.with_next(df, "doc_id", "rank", lambda d: d, ["text"]).collect()}
+        parts = df.groupBy(sketch._ranges(df, "doc_id", "rank", 24).alias("r")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == dict(zip(order, order[1:] + order[:1], strict=True))
+    assert max(x["count"] for x in parts) < 60

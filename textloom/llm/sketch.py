@@ -10,6 +10,7 @@ equal texts have equal sketches; an empty table gives an empty table; other colu
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -79,13 +80,15 @@ def as_string(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
-def _ranges(df: DataFrame, key: str, n: int) -> Column:
+def _ranges(df: DataFrame, key: str, rank: str, n: int) -> Column:
     """The number, in descending order of key, of one of about n ranges with as many rows each; null keys are last.
 
+    A key that is a border several times holds as many ranges; they part its rows by rank, a hash.
+
     Only the n borders come to the driver; they are held in two levels, so a row looks at about 2 * sqrt(n) of them.
     """
     borders = df.agg(F.percentile_approx(key, [k / n for k in range(1, n)], 10 * n)).first()[0] if n > 1 else []
-    borders = sorted(set(borders or ()), reverse=True)
+    borders = sorted(borders or (), reverse=True)
     step = max(1, round(len(borders) ** 0.5))
     groups = [borders[k : k + step] for k in range(0, len(borders), step)]
     if not groups:
@@ -94,7 +97,12 @@ def _ranges(df: DataFrame, key: str, n: int) -> Column:
     list_of = lambda xs: F.array(*[F.lit(x).cast(kind) for x in xs])
     coarse = F.size(F.filter(list_of([g[-1] for g in groups]), lambda b: F.col(key) < b))
     fine = F.size(F.filter(F.get(F.array(*[list_of(g) for g in groups]), coarse), lambda b: F.col(key) < b))
-    return F.when(F.col(key).isNull(), F.lit((len(groups) + 1) * step)).otherwise(coarse * step + F.greatest(fine, F.lit(0)))
+    part = F.lit(0)
+    for b, times in Counter(borders).items():
+        if times > 1:
+            part = F.when(F.col(key) == b, F.floor((F.lit(2.0**63) - F.col(rank).cast("double")) / F.lit(2.0**64) * times)).otherwise(part)
+    place = coarse * step + F.greatest(fine, F.lit(0)) + F.least(part, F.lit(len(borders)))
+    return F.when(F.col(key).isNull(), F.lit((len(groups) + 2) * step)).otherwise(place)
 
 
 def with_next(df: DataFrame, id_col: str, rank: str, derive: Callable[[DataFrame], DataFrame], columns: list[str]) -> DataFrame:
@@ -105,7 +113,7 @@ def with_next(df: DataFrame, id_col: str, rank: str, derive: Callable[[DataFrame
     ones of the ranges once more. There are four ranges to a partition, so that hashing them out leaves no partition with many.
     """
     n = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.withColumn("__range", _ranges(df, id_col, n))
+    placed = df.withColumn("__range", _ranges(df, id_col, rank, n))
     order = [F.desc_nulls_last(id_col), F.desc(rank)]
     within = Window.partitionBy("__range").orderBy(*order)
     derived = derive(placed)
