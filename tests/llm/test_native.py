@@ -121,3 +121,12 @@ def test_one_id_may_hold_many_rows(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got == dict(zip(order, order[1:] + order[:1], strict=True))
     assert max(x["count"] for x in parts) < 60
+
+
+def test_rows_alike_don_t_fill_one_shard(spark):
+    many = [(1, "the same text again")] * 3000 + [(k, "x" * (k % 40)) for k in range(2, 3000)]
+    got = sharding.sharded(spark.createDataFrame(many, "doc_id bigint, text string").repartition(5)).collect()
+    load = [sum(x.size for x in got if x.shard == k) for k in range(16)]
+    assert len(got) == len(many) and max(load) < 1.02 * sum(load) / 16
+    for k in range(16):
+        assert sorted(x.slot for x in got if x.shard == k) == list(range(sum(x.shard == k for x in got)))

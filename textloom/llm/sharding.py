@@ -4,7 +4,8 @@ Records are hashed into SLOTS slots for good. A versioned table says which shard
 old one with some slots moved, so a rebalancing or another shard moves no more than it must. Bytes are summed up for each slot;
 only these SLOTS sums ever come to the driver.
 
-Defined results: a null text has size 1 (no bytes) and checksum 0; rows with the same id and text share a slot of the table;
+Defined results: a null text has size 1 (no bytes) and checksum 0; rows with the same id and text share a slot of the table,
+and the slot is cut into PARTS if they are very many;
 an empty table gives an empty table; other columns are not read.
 """
 
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from textloom.llm import common
 
 SLOTS, SHARDS = 4096, 16
+#: Parts that a slot with very many bytes is cut into.
+PARTS = 64
 #: Rebalancing stops when the largest shard is over the smallest by less than this share of the mean.
 CLOSE = 0.001
 
@@ -97,20 +100,33 @@ def sharded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     spark = df.sparkSession
     bytes_of = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = df.select(F.col(id_col), (F.octet_length(bytes_of) + 1).cast("long").alias("size"), F.crc32(bytes_of).alias("text_crc32"))
-    rows = common.written(rows.withColumn("virtual_slot", virtual_slot(id_col, "text_crc32")), "shard-rows")
-    sums = rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
+    rows = rows.withColumns({"virtual_slot": virtual_slot(id_col, "text_crc32"), "part": F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int")})
+    rows = common.written(rows, "shard-rows")
     weight, count = [0] * SLOTS, [0] * SLOTS
-    for x in sums:
+    for x in rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect():  # SLOTS rows at most
         weight[x.virtual_slot], count[x.virtual_slot] = x.bytes, x.n
-    slot_map = SlotMap.fresh(SLOTS, shards).rebalance(weight, shards)
+    # slots with over an eighth of a shard, 8 * shards of them at most, are parted, as rows alike may fill one
+    heavy = {s: k for k, s in enumerate(s for s in range(SLOTS) if count[s] > 1 and weight[s] * 8 * shards > sum(weight))}
+    unit = F.col("virtual_slot")
+    if heavy:
+        weight += [0] * (PARTS * len(heavy))
+        count += [0] * (PARTS * len(heavy))
+        for x in rows.where(F.col("virtual_slot").isin(list(heavy))).groupBy("virtual_slot", "part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect():
+            at = SLOTS + PARTS * heavy[x.virtual_slot] + x.part
+            weight[at], count[at] = x.bytes, x.n
+        for s in heavy:
+            weight[s] = count[s] = 0
+        names = F.create_map(*[F.lit(v) for s, k in heavy.items() for v in (s, SLOTS + PARTS * k)])
+        unit = F.coalesce(F.element_at(names, unit) + F.col("part"), unit)
+    slot_map = SlotMap.fresh(len(weight), shards).rebalance(weight, shards)
     common.written(slot_map.table(spark), "shard-map")
     start, offsets = [0] * shards, []
     for s, d in enumerate(slot_map.now):
         offsets.append((s, d, start[d]))
         start[d] += count[s]
-    where = spark.createDataFrame(offsets, "virtual_slot int, shard int, start long")
-    order = Window.partitionBy("virtual_slot").orderBy(id_col, "text_crc32", "size")
-    placed = rows.withColumn("__n", F.row_number().over(order)).join(F.broadcast(where), "virtual_slot")
+    where = spark.createDataFrame(offsets, "unit int, shard int, start long")
+    order = Window.partitionBy("unit").orderBy(id_col, "text_crc32", "size")
+    placed = rows.withColumn("unit", unit).withColumn("__n", F.row_number().over(order)).join(F.broadcast(where), "unit")
     return placed.select(id_col, "size", "text_crc32", "virtual_slot", "shard", (F.col("start") + F.col("__n") - 1).alias("slot"))
 
 
