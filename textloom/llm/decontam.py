@@ -14,6 +14,8 @@ repeated ids give a pair each; empty tables give an empty table; other columns a
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -54,7 +56,7 @@ def shingled(texts: list[str], hashes: WordHashes) -> tuple[np.ndarray, np.ndarr
     """The shingle hashes of all texts, and how many each has."""
     chunks = [x.lower().split() for x in texts]
     sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
-    words = np.fromiter((h for x in chunks for h in map(hashes.__getitem__, x)), np.uint64, int(sizes.sum()))
+    words = np.fromiter(map(hashes.__getitem__, chain.from_iterable(chunks)), np.uint64, int(sizes.sum()))
     of = np.repeat(np.arange(len(texts)), sizes)
     real = words != 0
     words, of = words[real], of[real]

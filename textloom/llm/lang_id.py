@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -56,9 +56,9 @@ def vocabulary(path: str) -> list[str]:
 def words_of(chunk: str) -> list[str]:
     """The runs of letters of a lower-case chunk, long ones cut."""
     found = _WORDS(chunk)
-    if not all(map(str.isalpha, found)):  # numerals such as a superscript two are no letters
+    if not chunk.isascii() and not all(map(str.isalpha, found)):  # numerals such as a superscript two are no letters
         found = [w for w in ("".join(filter(str.isalpha, w)) for w in found) if w]
-    if any(len(w) > LONGEST for w in found):
+    if len(chunk) > LONGEST and any(len(w) > LONGEST for w in found):
         found = [w[k : k + LONGEST] for w in found for k in range(0, len(w), LONGEST)]
     return found
 
@@ -68,13 +68,16 @@ class Pieces:
 
     def __init__(self, path: str) -> None:
         self.names = vocabulary(path)
-        keys = np.zeros(len(self.names), np.uint64)
+        # all beginnings of pieces, with the piece's number or -1, so that a run of characters is dropped once no piece begins with it
+        number = {p[:k]: -1 for p in self.names for k in range(1, len(p))} | {p: k for k, p in enumerate(self.names)}
+        keys = np.zeros(len(number), np.uint64)
         with np.errstate(over="ignore"):
-            for k, p in enumerate(self.names):
+            for k, p in enumerate(number):
                 h = np.uint64(0)
                 for c in p:
                     h = h * _B + np.uint64(ord(c) + 1)
                 keys[k] = h
+        self.number = np.fromiter(number.values(), np.int64, len(number))
         self.find = common.Lookup(keys)
         self.size = len(self.names) + 1
 
@@ -84,11 +87,20 @@ class Pieces:
         n = chars.shape[1]
         out = {}
         for i in range(n):
-            h = np.zeros(len(words), np.uint64)
+            left, h = np.arange(len(words)), np.zeros(len(words), np.uint64)
             for j in range(i, min(n, i + PIECE)):
-                h = h * _B + chars[:, j]
+                h = h * _B + chars[left, j]
                 got = self.find(h)
-                out[i, j + 1] = np.where(got < 0, self.size - 1, got) if j == i else got
+                go = got >= 0
+                left, h = left[go], h[go]
+                piece = np.full(len(words), self.size - 1 if j == i else -1)
+                piece[left] = self.number[got[go]]
+                if j == i:
+                    piece[piece < 0] = self.size - 1
+                if (piece >= 0).any():
+                    out[i, j + 1] = piece
+                if not len(left):
+                    break
         return n, out
 
 
@@ -110,14 +122,11 @@ def backward(n: int, spans: dict, p: np.ndarray, rows: int) -> np.ndarray:
 
 
 def by_length(words: list[str], most: int = 8_000):
-    order = sorted(range(len(words)), key=lambda k: len(words[k]))
-    at = 0
-    while at < len(order):
-        end = at
-        while end < len(order) and end - at < most and len(words[order[end]]) == len(words[order[at]]):
-            end += 1
-        yield order[at:end]
-        at = end
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(sizes, kind="stable")
+    for same in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
+        for k in range(0, len(same), most):
+            yield same[k : k + most]
 
 
 def word_scores(pieces: Pieces, p: np.ndarray, words: list[str]) -> np.ndarray:
@@ -212,20 +221,22 @@ class Scorer:
     def __init__(self, langs: list[str], prior: np.ndarray, p: np.ndarray, path: str) -> None:
         self.langs, self.prior, self.p, self.pieces = langs, prior, p, loaded(path)
         self.known, self.table = common.Index(), np.zeros((0, len(langs) + 1))
+        self.words, self.scores = common.Index(), np.zeros((0, len(langs)))
 
     def __call__(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language or und, and posterior or 0."""
         if len(self.known) > KEPT:
             self.known, self.table = common.Index(), self.table[:0]
+        if len(self.words) > KEPT:
+            self.words, self.scores = common.Index(), self.scores[:0]
         chunks = [x.lower().split() for x in texts]
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        flat = np.fromiter((k for x in chunks for k in map(self.known.__getitem__, x)), np.int64, int(sizes.sum()))
+        flat = np.fromiter(map(self.known.__getitem__, chain.from_iterable(chunks)), np.int64, int(sizes.sum()))
         split = [words_of(x) for x in islice(self.known, len(self.table), None)]
-        distinct = common.Index()
-        at = np.fromiter((k for ws in split for k in map(distinct.__getitem__, ws)), np.int64)
+        at = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64)
         of = np.repeat(np.arange(len(split)), np.fromiter(map(len, split), np.int64, len(split)))
-        scores = word_scores(self.pieces, self.p, list(distinct))
-        columns = [np.bincount(of, scores[at, g], len(split)) for g in range(len(self.langs))] + [np.bincount(of, minlength=len(split))]
+        self.scores = np.concatenate((self.scores, word_scores(self.pieces, self.p, list(islice(self.words, len(self.scores), None)))))
+        columns = [np.bincount(of, self.scores[at, g], len(split)) for g in range(len(self.langs))] + [np.bincount(of, minlength=len(split))]
         self.table = np.concatenate((self.table, np.stack(columns, axis=1)))
         text = np.repeat(np.arange(len(chunks)), sizes)
         sums = np.stack([np.bincount(text, self.table[flat, g], len(chunks)) for g in range(len(self.langs) + 1)], axis=1)

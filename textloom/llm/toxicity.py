@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from itertools import combinations, islice
+from itertools import chain, combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -296,7 +296,7 @@ class Scorer:
             self.known, self.values = common.Index(), self.values[:0]
         rows = list(map(tokens, texts))
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-        flat = np.fromiter((k for x in rows for k in map(self.known.__getitem__, x)), np.int64, int(sizes.sum()))
+        flat = np.fromiter(map(self.known.__getitem__, chain.from_iterable(rows)), np.int64, int(sizes.sum()))
         new = list(islice(self.known, len(self.values), None))
         self.values = np.concatenate((self.values, token_scores(self.model.weight, self.model.bias, new)))
         best = np.full(len(rows), self.model.bias - 1.0)
