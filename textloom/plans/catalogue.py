@@ -460,6 +460,66 @@ def hourly_events(spark, sf_dir):
     return e.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), "event_type", "n")
 
 
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS post_id, CASE WHEN p_size % 4 = 0 THEN 'https://x.example/p/k' || p_partkey || '/' WHEN p_partkey % 3 = 0 THEN 'https://www.instagram.com/p/code' || p_partkey || '/'
+ WHEN p_size % 4 = 1 THEN 'https://www.instagram.com/p/t' || p_partkey || '/' ELSE 'https://cdn.example/' || p_partkey || '.jpg' END AS post_url FROM part""")
+def repaired_links(spark, sf_dir):
+    p = S.table(spark, sf_dir, "part")
+    key = F.col("p_partkey").cast("string")
+    url = F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("https://x.example/p/k"), key, F.lit("/?igsh=1"))).when(F.col("p_size") % 4 == 1, F.concat(F.lit("https://www.instagram.com/tv/t"), key, F.lit("/"))).otherwise(F.concat(F.lit("https://cdn.example/"), key, F.lit(".jpg")))
+    codes = p.where("p_partkey % 3 = 0").select(key.alias("id"), F.concat(F.lit("code"), key).alias("shortcode"))
+    return merge.repaired_links(p.select(key.alias("post_id"), url.alias("post_url")), codes)
+
+
+_STANCES = "SELECT 'User' || user_id AS u, event_type AS s, count(*) AS n FROM events GROUP BY 1, 2"
+
+
+@query(f"""SELECT 'user:' || lower(u) AS node_id, u AS label, sum(n)::BIGINT AS comment_count, string_agg(s || '=' || n, ';' ORDER BY s) AS stances FROM ({_STANCES}) GROUP BY u
+ UNION ALL SELECT DISTINCT 'profile:' || lower(replace(p_brand, '#', '')), lower(replace(p_brand, '#', '')), NULL, NULL FROM part""")
+def user_nodes(spark, sf_dir):
+    e = S.table(spark, sf_dir, "events").select(F.concat(F.lit("@User"), F.col("user_id").cast("string")).alias("author_username"), F.col("event_type").alias("discourse_stance"))
+    n = graph.user_nodes(S.posts(spark, sf_dir), S.comments(spark, sf_dir), e)
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("discourse_stances")), lambda x: F.concat(x.key, F.lit("="), x.value.cast("string"))), ";")
+    return n.select("node_id", "label", "comment_count", F.when(F.col("discourse_stances").isNotNull(), shown).alias("stances"))
+
+
+@query("""SELECT DISTINCT 'cat' || (p_size % 3) AS category, trim(t) AS term FROM (SELECT p_size, unnest(string_split(replace(p_name || '|' || p_type || '; ab', '|', ';'), ';')) AS t FROM part WHERE p_size % 2 = 0) WHERE length(trim(t)) >= 3""")
+def lexicon_terms(spark, sf_dir):
+    p = S.table(spark, sf_dir, "part")
+    labels = p.select(F.col("p_partkey").cast("string").alias("cluster_id"), F.concat(F.lit("cat"), (F.col("p_size") % 3).cast("string")).alias("discourse_category_id"), F.when(F.col("p_size") % 2 == 0, "yes").otherwise("no").alias("reviewed"))
+    summary = p.select(F.col("p_partkey").cast("string").alias("cluster_id"), F.concat(F.col("p_name"), F.lit("|"), F.col("p_type"), F.lit("; ab")).alias("top_terms"))
+    return discourse.extra_terms(labels, summary).distinct()
+
+
+@query(f"""WITH {_discourse_sql()}, captions AS (SELECT doc_id, CASE WHEN t = '' THEN 'unlabeled' WHEN other IS NOT NULL THEN other WHEN fem > 0 AND opp > 0 THEN 'mixed' WHEN fem > 0 THEN 'feminist' WHEN opp > 0 THEN 'antifeminist' ELSE 'neutral' END AS label FROM plain LEFT JOIN sums USING (doc_id)),
+ counts AS (SELECT conv_id, role, count(*) AS c FROM conversations WHERE role <> 'system' GROUP BY ALL), best AS (SELECT conv_id, role, sum(c) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY c DESC, role) AS r FROM counts)
+ SELECT doc_id AS post_id, label AS caption_label, coalesce(role, '') AS comment_label, coalesce(n, 0)::BIGINT AS n_labeled, coalesce(role, label) AS post_label FROM captions LEFT JOIN (SELECT * FROM best WHERE r = 1) ON conv_id = doc_id""")
+def posts_discourse(spark, sf_dir):
+    p = S.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("post_id"), F.col("source").alias("profile_username"), F.lit("").alias("source_hashtag"), F.col("text").alias("caption"))
+    c = S.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("post_id"), F.when(F.col("role") == "system", " ").otherwise(F.col("role")).alias("discourse_category_id"), F.col("role").alias("discourse_category_label"))
+    out = discourse.labelled_posts(p, c, S.TAXONOMY, compose=False)
+    return out.select("post_id", F.col("caption_discourse_label").alias("caption_label"), F.col("dominant_comment_category_id").alias("comment_label"), F.col("n_labeled_comments").cast("long").alias("n_labeled"), F.col("post_discourse_label").alias("post_label"))
+
+
+@query("SELECT event_id AS id, event_type AS v FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, 'second' FROM events WHERE event_id % 2 = 0 AND event_id % 3 <> 0")
+def merged_feed(spark, sf_dir):
+    e = S.table(spark, sf_dir, "events")
+    first = e.where("event_id % 3 = 0").select(F.col("event_id").alias("id"), F.col("event_type").alias("v"))
+    second = e.where("event_id % 2 = 0").select(F.col("event_id").alias("id"), F.lit("second").alias("v"))
+    return normalize.merged_feed(first, second)
+
+
+@query(f"SELECT post_id, CAST(comment_count AS BIGINT) AS n FROM ({S.POSTS}) WHERE CAST(comment_count AS BIGINT) > 25")
+def active_posts(spark, sf_dir):
+    p = S.posts(spark, sf_dir).withColumn("comment_count", F.concat((F.col("comment_count").cast("int") - 25).cast("string"), F.lit(".0")))
+    return filters.with_activity(p).select("post_id", (V.count_value(F.col("comment_count")) + 25).alias("n"))
+
+
+@query("SELECT l_orderkey AS post_id, count_if(l_linenumber % 3 <> 0) > 0 AS has_text, count_if(l_linenumber % 3 <> 0) AS n_text FROM lineitem GROUP BY 1")
+def posts_with_text(spark, sf_dir):
+    c = S.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("post_id"), F.when(F.col("l_linenumber") % 3 == 0, " ").otherwise("x").alias("comment_text"))
+    return merge.have_text(c)
+
+
 @query()
 def betweenness(spark, sf_dir):
     return metrics.betweenness(graph.tag_pairs(S.posts(spark, sf_dir)))
