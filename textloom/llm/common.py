@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -41,9 +43,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _WRITTEN:
+        atexit.register(lambda: [remove(spark, p) for p in list(_WRITTEN)])
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables that written() made; they go at the end of the program, or by remove() before.
+_WRITTEN: list[str] = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a table that written() made; one that is gone, or whose session has ended, is passed over."""
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
+    with contextlib.suppress(Exception):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def last_written() -> str:
+    return _WRITTEN[-1]
+
+
 def by_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(f, schema)
 
