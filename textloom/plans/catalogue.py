@@ -73,7 +73,7 @@ _SUMMARY = """count(*) AS n_comments, count_if(label = 'positive') AS positive,
 
 
 def _with_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = S.table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("language"), "source", F.col("text").alias("comment_text"))
+    docs = S.texts(spark, sf_dir, "doc_id", "lang", "source", "text").withColumnsRenamed({"lang": "language", "text": "comment_text"})
     return sentiment.with_sentiment(docs, S.SENTIMENT, languages=S.LANGUAGES, compose=False)
 
 
@@ -184,7 +184,7 @@ _NORMAL = rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(re
 @query(f"SELECT doc_id, {_NORMAL} AS plain FROM documents")
 def text_normalized(spark, sf_dir):
     """Runs of one character, which RE2 can't name, are left alone here; a test covers them."""
-    docs = S.table(spark, sf_dir, "documents")
+    docs = S.texts(spark, sf_dir, "doc_id", "text")
     plain = F.lower(V.stripped(F.col("text")))
     for pattern in (T.URL, T.MENTION, T.HASHTAG, T.EMOJI + "+"):
         plain = F.regexp_replace(plain, pattern, " ")
@@ -226,7 +226,7 @@ def _rules():
 
 @query(f"WITH {_DETECTED} SELECT doc_id, language, confidence FROM found")
 def language_heuristic(spark, sf_dir):
-    docs = S.table(spark, sf_dir, "documents")
+    docs = S.texts(spark, sf_dir, "doc_id", "text")
     d = docs.select("doc_id", language.detected(F.col("text"), None, _rules(), compose=False).alias("d"))
     return d.select("doc_id", "d.language", "d.confidence")
 
@@ -234,7 +234,7 @@ def language_heuristic(spark, sf_dir):
 @query(f"""WITH {_DETECTED}, reasons AS (SELECT CASE WHEN language = 'unknown' THEN 'unknown_language' WHEN language NOT IN ('en', 'es') THEN 'not_en' WHEN confidence < 0.3 THEN 'low_confidence'
  WHEN ranked[1] - ranked[2] < 0.1 THEN 'ambiguous_language' END AS reason, language FROM found) SELECT coalesce(reason, 'kept') AS reason, language, count(*) AS n FROM reasons GROUP BY ALL""")
 def language_filter_reasons(spark, sf_dir):
-    docs = S.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("comment_id"), F.col("text").alias("comment_text"))
+    docs = S.texts(spark, sf_dir, "doc_id", "text").withColumnsRenamed({"doc_id": "comment_id", "text": "comment_text"})
     kept, out = language.filtered(docs, ["en", "es"], min_confidence=0.3, min_margin=0.1, rules=_rules(), compose=False)
     rows = kept.select(F.lit("kept").alias("reason"), "language").unionByName(out.select(F.col("exclusion_reason").alias("reason"), "language"))
     return rows.groupBy("reason", "language").agg(F.count("*").alias("n"))
@@ -360,7 +360,7 @@ def _discourse_sql() -> str:
 @query(f"""WITH {_discourse_sql()} SELECT doc_id, CASE WHEN t = '' THEN 'unlabeled' WHEN other IS NOT NULL THEN other WHEN fem > 0 AND opp > 0 THEN 'mixed' WHEN fem > 0 THEN 'feminist' WHEN opp > 0 THEN 'antifeminist' ELSE 'neutral' END AS label,
  coalesce(fem, 0)::DOUBLE AS fem, coalesce(opp, 0)::DOUBLE AS opp, coalesce(signals, '') AS signals FROM plain LEFT JOIN sums USING (doc_id)""")
 def discourse_match(spark, sf_dir):
-    d = S.table(spark, sf_dir, "documents").select("doc_id", discourse.discourse(F.col("text"), S.TAXONOMY, compose=False).alias("d"))
+    d = S.texts(spark, sf_dir, "doc_id", "text").select("doc_id", discourse.discourse(F.col("text"), S.TAXONOMY, compose=False).alias("d"))
     return d.select("doc_id", "d.label", F.col("d.score_feminist").alias("fem"), F.col("d.score_antifeminist").alias("opp"), "d.signals")
 
 

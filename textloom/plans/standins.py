@@ -12,6 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than there are cores, such as one small file, dealt out before costly work on each row; larger ones as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as posts: names and types are hashtags, brands are profiles."""
     brand = F.lower(F.replace("p_brand", F.lit("#"), F.lit("")))
