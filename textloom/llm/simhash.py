@@ -220,7 +220,11 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     prints = fingerprints(df, id_col, text_col).checkpoint()
     groups = clustered(prints, id_col)
     kept = groups.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("x"), F.col(id_col).alias("i"), F.col("text_hash").alias("h"))).alias("k"))
-    kept = kept.select(F.col("k.i").alias("__i"), F.col("k.h").alias("__h"))
+    return rows_of(df, kept.select(F.col("k.i").alias("__i"), F.col("k.h").alias("__h")), id_col, text_col)
+
+
+def rows_of(df: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of df with an id and a text hash of kept (__i, __h); of rows that are alike one."""
     rows = df.withColumn("__t", F.xxhash64(text_col))
     one = Window.partitionBy(id_col, "__t").orderBy(F.lit(0))
     joined = rows.join(kept, rows[id_col].eqNullSafe(kept["__i"]) & (rows["__t"] == kept["__h"]), "left_semi")
