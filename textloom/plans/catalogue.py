@@ -549,7 +549,7 @@ def nfkc_text(spark, sf_dir):
 def narrative_clusters(spark, sf_dir):
     """Clusters of the conversations' turns."""
     c = S.table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("comment_id"), F.col("role").alias("profile_username"), F.col("text").alias("comment_text"))
-    return clusters.clustered(c, S.STOPWORDS, n_clusters=6, features=2000, starts=2, rounds=20, compose=False).summary
+    return clusters.clustered(c, S.STOPWORDS, n_clusters=6, compose=False).summary
 
 
 @query()
