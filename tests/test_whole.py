@@ -1,7 +1,12 @@
 """Queries that run their operators whole."""
 
+import re
+
 from textloom.operators import clusters
 from textloom.plans import catalogue
+from textloom.plans import standins as S
+
+from tests.test_text import normalized
 
 
 def test_narrative_clusters_run_with_the_values_of_the_operator(spark, sf_dir, monkeypatch):
@@ -14,3 +19,17 @@ def test_narrative_clusters_run_with_the_values_of_the_operator(spark, sf_dir, m
     monkeypatch.setattr(clusters, "clustered", clustered)
     catalogue.QUERIES["narrative_clusters"](spark, sf_dir)
     assert seen == {"features": 8000, "starts": 10, "rounds": 300, "rows": spark.read.parquet(f"{sf_dir}/conversations.parquet").count()}
+
+
+def test_texts_and_turns_with_signs_and_runs_are_normalized_whole(spark, tmp_path):
+    texts = ["Hola @user.name sooooo good #Tag_1 words", "plain words here", "aaaa ---- ====", "ＦＵＬＬ ｗｉｄｔｈ 😀 12345", "", None, "ÉXITO! 9999 niñoooos"]
+    spark.createDataFrame([(k, 0, "user", x) for k, x in enumerate(texts)], "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plain = {x.doc_id: x.plain for x in catalogue.QUERIES["text_normalized_whole"](spark, str(tmp_path)).collect()}
+    assert plain == {k: normalized(x) for k, x in enumerate(texts)}
+    got = {x.conv_id: (x.n_tokens, x.tokens) for x in catalogue.QUERIES["text_tokens_whole"](spark, str(tmp_path)).collect()}
+    want = {}
+    for k, x in enumerate(texts):
+        words = [w for w in re.findall(r"\w{3,}", re.sub(r"[^\w\s]", " ", normalized(x))) if not w.isdecimal() and w not in S.STOPWORDS]
+        want[k] = (len(words), " ".join(sorted(set(words))))
+    assert got == want

@@ -199,6 +199,19 @@ def text_tokens(spark, sf_dir):
     return rows.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.array_join(F.array_sort(F.array_distinct("t")), " ").alias("tokens"))
 
 
+@query()
+def text_normalized_whole(spark, sf_dir):
+    """The operator as it is, run-cutting and composing included; without SQL, as RE2 can't name runs."""
+    return S.texts(spark, sf_dir, "doc_id", "text").select("doc_id", T.normalized(F.col("text")).alias("plain"))
+
+
+@query()
+def text_tokens_whole(spark, sf_dir):
+    """The operator as it is on all turns; without SQL."""
+    rows = S.spread(S.table(spark, sf_dir, "conversations")).select("conv_id", "turn", T.tokens(F.col("text"), S.STOPWORDS).alias("t"))
+    return rows.select("conv_id", "turn", F.size("t").cast("long").alias("n_tokens"), F.array_join(F.array_sort(F.array_distinct("t")), " ").alias("tokens"))
+
+
 @query(rf"""SELECT post_id, array_to_string(list_sort(list_distinct(regexp_extract_all(caption, '#{W}+'))), ';') AS hashtags,
  array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(caption, '@([A-Za-z0-9._]{{2,30}})', 1), lambda m: lower(m)))), ';') AS mentions,
  array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(hashtags, ';'), lambda x: lower(regexp_replace(trim(x), '^#+', ''))), lambda x: x <> ''))), ';') AS tags FROM ({S.POSTS})""")
