@@ -1,7 +1,10 @@
 """Queries that run their operators whole."""
 
+import math
 import re
+from collections import Counter
 
+import pytest
 from textloom.operators import clusters
 from textloom.plans import catalogue
 from textloom.plans import standins as S
@@ -33,3 +36,20 @@ def test_texts_and_turns_with_signs_and_runs_are_normalized_whole(spark, tmp_pat
         words = [w for w in re.findall(r"\w{3,}", re.sub(r"[^\w\s]", " ", normalized(x))) if not w.isdecimal() and w not in S.STOPWORDS]
         want[k] = (len(words), " ".join(sorted(set(words))))
     assert got == want
+
+
+def test_tfidf_takes_texts_with_accents_and_digits_whole(spark, tmp_path):
+    texts = ["Façade über 2024 façade", "über 2024 straße", "plain façade words", "plain words_2 über", "été 2024", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plain = [re.findall(r"\w{3,}", x.lower().translate(str.maketrans(*clusters._ACCENTS))) for x in texts]
+    plain = [[w for w in x if w not in S.STOPWORDS] for x in plain]
+    tf = [Counter(x + [" ".join(p) for p in zip(x, x[1:], strict=False)]) for x in plain]
+    df = Counter(t for x in tf for t in x)
+    want = {}
+    for k, x in enumerate(tf):
+        raw = {t: (1 + math.log(c)) * (math.log((len(texts) + 1) / (df[t] + 1)) + 1) for t, c in x.items() if 2 <= df[t] <= 0.85 * len(texts)}
+        size = math.sqrt(sum(v * v for v in raw.values()))
+        want |= {(k, t): v / size for t, v in raw.items()}
+    got = {(x.doc_id, x.term): x.weight for x in catalogue.QUERIES["tfidf_weights_whole"](spark, str(tmp_path)).collect()}
+    assert (0, "facade") in want and (4, "2024") in want
+    assert got == pytest.approx(want)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -413,6 +414,15 @@ def tfidf_weights(spark, sf_dir):
     return j.select("doc_id", "term", F.round((1 + F.ln("tf")) * (F.ln((F.col("n") + 1.0) / (F.col("df") + 1)) + 1), 5).alias("weight"))
 
 
+@query()
+def tfidf_weights_whole(spark, sf_dir):
+    """The operator on all documents and whole texts: word pairs, accents and scaling included; without SQL."""
+    rows, vocabulary = clusters.tfidf(S.texts(spark, sf_dir, "doc_id", "text"), "text", S.STOPWORDS)
+    names = spark.createDataFrame(list(enumerate(vocabulary)), "k int, term string")
+    each = rows.select("doc_id", F.posexplode(vector_to_array("features")).alias("k", "weight")).where("weight > 0")
+    return each.join(F.broadcast(names), "k").select("doc_id", "term", "weight")
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props(spark, sf_dir):
     return S.table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
