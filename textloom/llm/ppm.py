@@ -1,18 +1,17 @@
 """Language-model scoring by prediction by partial matching (PPM) over bytes.
 
-A text is the sequence of its tokens: words, each closed by a space, then one end symbol. The trie holds, for every byte,
-the contexts of the ORDER bytes before it and shorter ones, none reaching over the token's start, and above them the whole
-token up to this byte (PREFIX bytes at most). A byte that its context has not seen costs an escape, and the next shorter
-context leaves out the bytes that the longer one has seen (symbol exclusion). Escapes get one count for each distinct
-byte seen, plus what pruning took from the context.
-
-The model is pretrained and adapts to the document: a token's probability is mixed from the trie's, from the share of the
-document's tokens so far that are this token (its weight rises from 0 to CACHE_SHARE, half of that after CACHE tokens),
-and, after a token that the document had before, from the share of its followers (PAIR_SHARE).
-
-Counts are gathered over all training texts. The trie that goes to the workers keeps a node if its share of all counted
-bytes is at least 1/NODES, so each of the six lengths has NODES nodes at most, whatever the corpus; likewise the table of
-frequent tokens has WORDS entries at most. Counts of all other tokens stay in a table and meet the texts in a join.
+A text is the sequence of its tokens: words, each closed by a space, then one end symbol, after ORDER start marks. The
+trie holds, for every byte of every training text, the contexts of the ORDER bytes before it and all shorter ones; contexts
+run on over spaces into the words before. A longest context counts how often each byte followed; a shorter one counts in how many
+contexts one byte longer it did (update exclusion). Of each count DISCOUNT goes to the escape (method D); after an escape the next
+shorter context leaves out the bytes that the longer one has seen (symbol exclusion); below the empty context all bytes
+are equally likely. The model is pretrained: it doesn't change while a text is read, so a byte's probability is a function
+of its window, the ORDER bytes before it and itself, and a text's score is a sum over its windows.
+
+All counts are kept, in tables of the shared folder: they grow with the corpus. The workers get the contexts that occur most, as
+many as have NODES nodes together, and the tokens with at least 1/WORDS of all. A window that meets a context
+which the workers lack goes, once for all texts, to a join with the whole tables, so the score is the whole trie's
+whatever NODES is; rare tokens likewise meet their counts in a join.
 
 Defined results: a null text counts as empty and has the end token alone; without training texts every byte is equally
 likely; repeated ids and equal texts give one row each; other columns are not read.
@@ -31,16 +30,16 @@ from pyspark.sql import functions as F
 
 from textloom.llm import common
 
-ORDER, PREFIX = 4, 32
+#: Bytes of the longest context; a window is one longer and fits a long beside its order.
+ORDER = 6
+DISCOUNT = 0.5
 NODES, WORDS = 1 << 21, 1 << 20
-CACHE, CACHE_SHARE, PAIR_SHARE = 300, 0.5, 0.15
 START, END, SPACE = b"\n", b"\r", b" "
 ALPHABET = 257
-#: Distinct tokens that a task holds before it sends their counts on; tokens that are scored or counted at once.
-HELD, CHUNK = 300_000, 50_000
-LENGTHS = range(ORDER + 1, 0, -1)
-_B = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_B), -1, 2**64))
+#: Distinct tokens, distinct windows that a task holds before it sends their counts on; places that are worked on at once.
+HELD, HELD_WINDOWS, BLOCK = 300_000, 2 << 20, 2 << 20
+#: Contexts go to the workers by steps of a quarter of a power of two of their counts.
+STEPS = 4
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -49,134 +48,37 @@ def tokens(text: bytes) -> list[bytes]:
     return out
 
 
-def _mixed(h: np.ndarray, kind: int) -> np.ndarray:
-    h = h ^ np.uint64((kind + 1) * 0xD6E8FEB86659FD93 % 2**64)
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-class Layout:
-    """Tokens laid out as one run of bytes, each with its start mark; hashes of the windows that end at each byte."""
-
-    def __init__(self, words: list[bytes]) -> None:
-        spelt = [START + w if w == END else START + w + SPACE for w in words]
-        flat = np.frombuffer(b"".join(spelt), np.uint8).astype(np.uint64) + np.uint64(1)
-        self.sizes = np.fromiter(map(len, spelt), np.int64, len(spelt))
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        first = np.repeat(self.starts, self.sizes)
-        self.pos = np.arange(len(flat)) - first
-        powers = _powers(_B, len(flat))
-        with np.errstate(over="ignore"):
-            total = np.cumsum(flat * powers)
-            before = (total - flat * powers)[self.starts]
-            self.prefix = (total - np.repeat(before, self.sizes)) * _powers(_INVERSE, len(flat))[first]
-            self.window = {0: np.zeros(len(flat), np.uint64), 1: flat}
-            for m in range(2, ORDER + 2):
-                w = self.window[m - 1].copy()
-                w[m - 1 :] += flat[: len(flat) - m + 1] * powers[m - 1]
-                self.window[m] = w
-
-    def node(self, m: int, at: np.ndarray) -> np.ndarray:
-        """Hash of the window of m bytes that ends at each place; m = 0: the token up to there."""
-        return _mixed(self.window[m][at], m) if m else _mixed(self.prefix[at], 100)
-
-    def context(self, m: int, at: np.ndarray) -> np.ndarray:
-        return _mixed(self.window[m - 1][at - 1], 200 + m) if m else _mixed(self.prefix[at - 1], 300)
-
-    def longest(self, at: np.ndarray) -> np.ndarray:
-        """Places whose token reaches back beyond the longest window, and not beyond PREFIX."""
-        return at[(self.pos[at] > ORDER) & (self.pos[at] < PREFIX)]
-
-
-def _summed(node, ctx, low, own, count):
-    order = np.argsort(node, kind="stable")
-    node = node[order]
-    first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
-    return node[first], ctx[order][first], low[order][first], own[order][first], np.add.reduceat(count[order], first)
-
-
-def node_counts(words: list[bytes], counts: np.ndarray, least: float) -> Iterator[tuple]:
-    """(node, context, shorter node, context's own node, count) of sorted words, each length summed up by itself.
-
-    A token prefix that neither the first nor the last word has stands in no other run of a sorted table, so those under
-    the least count go at once.
-    """
-    lay = Layout(words)
-    weight = np.repeat(counts, lay.sizes)
-    coded = np.flatnonzero(lay.pos)
-    for m in LENGTHS:
-        at = coded[lay.pos[coded] >= m - 1]
-        if len(at):
-            own = lay.node(m - 1, at - 1) if m > 1 else np.zeros(len(at), np.uint64)
-            own = np.where(lay.pos[at] == 1, np.uint64(1 if m == 2 else 0), own)
-            yield _summed(lay.node(m, at), lay.context(m, at), lay.node(m - 1, at) if m > 1 else np.zeros(len(at), np.uint64), own, weight[at])
-    at = lay.longest(coded)
-    if len(at):
-        own = np.where(lay.pos[at] == ORDER + 1, lay.node(ORDER + 1, at - 1), lay.node(0, at - 1))
-        out = _summed(lay.node(0, at), lay.context(0, at), lay.node(ORDER + 1, at), own, weight[at])
-        edge = np.concatenate([np.arange(s, s + n) for s, n in ((lay.starts[0], lay.sizes[0]), (lay.starts[-1], lay.sizes[-1]))])
-        keep = (out[4] >= least) | np.isin(out[0], lay.node(0, edge))
-        yield tuple(x[keep] for x in out)
-
-
-class Model:
-    """The pruned trie and the frequent tokens, ready to score tokens."""
-
-    def __init__(self, nodes: tuple[np.ndarray, ...], frequent: dict[bytes, int], n_tokens: int, n_types: int) -> None:
-        node, ctx, low, own, count = nodes
-        self.n_tokens, self.n_types, self.frequent = n_tokens, n_types, frequent
-        self.node = common.Lookup(node)
-        self.count = np.append(count.astype(np.float64), 0)  # at -1: none
-        contexts, of = np.unique(ctx, return_inverse=True)
-        self.context = common.Lookup(contexts)
-        per = lambda w: np.bincount(of, w, len(contexts)) if len(of) else np.zeros(0)
-        self.seen, self.kinds, self.taken = per(count.astype(np.float64)), per(None if not len(of) else np.ones(len(of))), per(self.count[self.node(low)])
-        whole = np.zeros(len(contexts))
-        whole[of] = self.count[self.node(own)]
-        starts = np.zeros(len(contexts), bool)
-        starts[of] = own == 1
-        whole[starts] = n_tokens
-        self.pruned = np.maximum(0, whole - self.seen)
-
-    def base(self, count: np.ndarray) -> np.ndarray:
-        return np.log10((count + 0.1) / (self.n_tokens + 0.1 * (self.n_types + 1)))
-
-    def score(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each token, its closing space included."""
-        return np.concatenate([np.zeros(0)] + [self._score(words[k : k + CHUNK]) for k in range(0, len(words), CHUNK)])
-
-    def _score(self, words: list[bytes]) -> np.ndarray:
-        lay = Layout(words)
-        logp, taken, kinds = (np.zeros(len(lay.pos)) for _ in range(3))
-        left = np.flatnonzero(lay.pos)
-        for m in (0, *LENGTHS):
-            at = left[lay.pos[left] >= m - 1] if m else lay.longest(left)
-            found = self.context(lay.context(m, at))
-            at, found = at[found >= 0], found[found >= 0]
-            if not len(at):
-                continue
-            count = self.count[self.node(lay.node(m, at))]
-            escape = np.maximum(self.kinds[found] - kinds[at], 1) + self.pruned[found]
-            whole = np.maximum(self.seen[found] - taken[at], 0) + escape
-            hit = count > 0
-            logp[at] += np.log10(np.where(hit, np.minimum(count, whole), escape) / whole)
-            taken[at], kinds[at] = self.taken[found], self.kinds[found]
-            done = np.zeros(len(lay.pos), bool)
-            done[at[hit]] = True
-            left = left[~done[left]]
-        logp[left] -= np.log10(np.maximum(ALPHABET - kinds[left], 1))
-        return np.add.reduceat(logp, lay.starts) if len(words) else np.zeros(0)
+def windows(texts: list[list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Windows as numbers, their last byte lowest, and the number of each one's text, for a block of places at a time."""
+    spelt = [START * ORDER + SPACE.join(x) for x in texts]
+    ends = np.cumsum(np.fromiter(map(len, spelt), np.int64, len(spelt)))
+    starts = ends - np.fromiter(map(len, spelt), np.int64, len(spelt))
+    flat = np.frombuffer(b"".join(spelt), np.uint8)
+    for k in range(0, len(flat), BLOCK):
+        before = max(0, k - ORDER)
+        part = flat[before : k + BLOCK].astype(np.int64)
+        w = part.copy()
+        for j in range(1, min(ORDER, len(part) - 1) + 1):
+            w[j:] |= part[:-j] << (8 * j)
+        place = np.arange(k, min(k + BLOCK, len(flat)))
+        of = np.searchsorted(ends, place, side="right")
+        coded = place - starts[of] >= ORDER
+        yield w[k - before :][coded], of[coded]
+
+
+def summed(w: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct windows, in order, with the sums of their counts (1 each if n is None)."""
+    if n is None:
+        w = np.sort(w)
+    else:
+        order = np.argsort(w, kind="stable")
+        w, n = w[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1]))) if len(w) else np.zeros(0, np.int64)
+    return w[first], np.diff(np.append(first, len(w))) if n is None else np.add.reduceat(n, first) if len(w) else n
 
 
 def token_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """word (binary), c of the texts' tokens, as a table in the order of words."""
+    """word (binary), c of the texts' tokens, as a table."""
 
     def run(batches):
         counts: Counter = Counter()
@@ -191,112 +93,263 @@ def token_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
         yield flush()
 
     words = common.by_arrow(texts.select(text_col), run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
-    return common.written(words.repartitionByRange("word").sortWithinPartitions("word"), "ppm-words")
+    return common.written(words, "ppm-words")
 
 
-def trained(counts: DataFrame) -> Model:
-    """Fits the trie to a table of token counts."""
-    n_tokens, n_types, n_bytes = counts.agg(F.sum("c"), F.count("*"), F.sum(F.col("c") * (F.octet_length("word") + 1))).first()
-    n_tokens, n_bytes = n_tokens or 0, n_bytes or 0
-    least = max(1.0, n_bytes / NODES)
+def window_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """w, n of the texts' windows, as a table."""
 
     def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        whole = lambda: summed(*map(np.concatenate, zip(*held, strict=True)))
         for batch in batches:
-            words, c = batch.column("word").to_pylist(), batch.column("c").to_numpy()
-            breaks = [k for k in range(1, len(words)) if words[k] < words[k - 1]]
-            for a, b in zip([0, *breaks], [*breaks, len(words)], strict=True):
-                for k in range(a, b, CHUNK):
-                    for part in node_counts(words[k : min(b, k + CHUNK)], c[k : min(b, k + CHUNK)], least):
-                        yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in part[:4]), pa.array(part[4])], ["node", "ctx", "low", "own", "n"])
-
-    nodes = common.by_arrow(counts, run, "node bigint, ctx bigint, low bigint, own bigint, n bigint")
-    nodes = nodes.groupBy("node").agg(*(F.first(x).alias(x) for x in ("ctx", "low", "own")), F.sum("n").alias("n")).where(F.col("n") >= least)
-    got = nodes.select("node", "ctx", "low", "own", "n").toArrow()
-    arrays = [got.column(k).to_numpy() for k in range(5)]
-    most = max(1.0, n_tokens / WORDS)
-    frequent = counts.where(F.col("c") >= most).toArrow()
-    frequent = dict(zip(frequent.column("word").to_pylist(), frequent.column("c").to_pylist(), strict=True))
-    return Model((*(x.view(np.uint64) for x in arrays[:4]), arrays[4]), frequent, n_tokens, n_types)
-
-
-def seen_before(keys: np.ndarray) -> np.ndarray:
-    """How often each key stands before its own place."""
-    order = np.argsort(keys, kind="stable")
-    by = keys[order]
-    first = np.flatnonzero(np.concatenate(([True], by[1:] != by[:-1])))
-    out = np.empty(len(keys), np.int64)
-    out[order] = np.arange(len(keys)) - np.repeat(first, np.diff(np.append(first, len(keys))))
-    return out
+            for b in common.pieces(batch, text_col, BLOCK):
+                for w, _ in windows(list(map(tokens, common.raw_texts(b, text_col)))):
+                    held.append(summed(w))
+                    if sum(len(x) for x, _ in held) > HELD_WINDOWS:
+                        held = [whole()]
+                        if len(held[0][0]) > HELD_WINDOWS // 2:
+                            yield pa.RecordBatch.from_arrays(list(map(pa.array, held[0])), ["w", "n"])
+                            held = []
+        if held:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, whole())), ["w", "n"])
+
+    got = common.by_arrow(texts.select(text_col), run, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+    return common.written(got, "ppm-windows")
+
+
+def node_key(m, w):
+    """Names a node, or a context, of order m among those of all orders."""
+    return F.lit((m + 1) << 56).bitwiseOR(w)
+
+
+def last_bytes(w, n: int):
+    return w.bitwiseAND(F.lit((1 << (8 * n)) - 1))
+
+
+class Trie:
+    """The whole trie as tables: nodes (node, n) and contexts (context, m, whole, kinds, taken).
 
+    whole and kinds are the sum and the number of a context's nodes, taken is what the next shorter context counts of its bytes.
+    """
+
+    def __init__(self, counts: DataFrame) -> None:
+        level, levels = counts, {ORDER: counts}
+        for m in range(ORDER - 1, -1, -1):
+            level = level.groupBy(last_bytes(F.col("w"), m + 1).alias("w")).agg(F.count("*").alias("n"))
+            levels[m] = level
+        union = None
+        for m, x in levels.items():
+            low = node_key(m - 1, last_bytes(F.col("w"), m)) if m else F.lit(-1).cast("long")
+            part = x.select(node_key(m, F.col("w")).alias("node"), node_key(m, F.shiftright("w", 8)).alias("context"), low.alias("low"), F.lit(m).alias("m"), "n")
+            union = part if union is None else union.unionByName(part)
+        self.nodes = common.written(union, "ppm-nodes")
+        lower = self.nodes.select(F.col("node").alias("low"), F.col("n").alias("below"))
+        contexts = self.nodes.join(lower, "low", "left").groupBy("context", "m").agg(F.sum("n").alias("whole"), F.count("*").alias("kinds"), F.sum(F.coalesce("below", F.lit(0))).alias("taken"))
+        self.contexts = common.written(contexts, "ppm-contexts")
+
+    def frequent(self) -> Frequent:
+        """The contexts that occur most, NODES nodes at most."""
+        step = F.floor(F.log2("whole") * STEPS)
+        sizes = self.contexts.groupBy("m", step.alias("step")).agg(F.sum("kinds").alias("nodes")).collect()  # some hundred rows
+        total, least = 0, 0
+        for s in sorted({x.step for x in sizes}, reverse=True):
+            total += sum(x.nodes for x in sizes if x.step == s)
+            if total > NODES:
+                least = s + 1
+                break
+        partial = {x.m for x in sizes if x.step < least}
+        contexts = self.contexts.where(step >= least).select("context", "taken")
+        nodes = self.nodes.select("node", "context", "n")
+        if partial:
+            nodes = nodes.join(contexts, "context", "left_semi")
+        return Frequent(nodes.select("node", "n").toArrow(), contexts.toArrow(), partial)
+
+    def scores(self, found: DataFrame) -> DataFrame:
+        """w, logp of the distinct windows in found (w)."""
+        orders = range(ORDER + 1)
+        keys = F.array(*(F.struct(F.lit(m).alias("o"), node_key(m, last_bytes(F.col("w"), m + 1)).alias("node"), node_key(m, F.shiftright(last_bytes(F.col("w"), m + 1), 8)).alias("context")) for m in orders))
+        rows = found.distinct().select("w", F.inline(keys))
+        rows = rows.join(self.contexts.drop("m"), "context").join(self.nodes.select("node", "n"), "node", "left")
+        names = [f"{x}{m}" for m in orders for x in ("n", "whole", "kinds", "taken")]
+        wide = found.distinct().join(rows.groupBy("w").agg(*(F.max(F.when(F.col("o") == int(x[-1]), F.coalesce(F.col(x[:-1]), F.lit(0)))).alias(x) for x in names)), "w", "left")
+
+        def run(batches):
+            for batch in batches:
+                col = {x: batch.column(x).to_numpy(zero_copy_only=False) for x in names}
+                state = State(batch.num_rows)
+                for m in reversed(orders):
+                    there = np.flatnonzero(~np.isnan(col[f"whole{m}"][state.left].astype(float)))
+                    at = state.left[there]
+                    state.step(there, *(col[f"{x}{m}"][at].astype(float) for x in ("n", "whole", "kinds", "taken")))
+                yield pa.RecordBatch.from_arrays([batch.column("w"), pa.array(state.closed())], ["w", "logp"])
+
+        return common.by_arrow(wide, run, "w bigint, logp double")
+
+
+class State:
+    """Windows on their way from long contexts to short ones."""
+
+    def __init__(self, n: int) -> None:
+        self.logp, self.taken, self.kinds = np.zeros(n), np.zeros(n), np.zeros(n)
+        self.left = np.arange(n)
+
+    def step(self, there: np.ndarray, n: np.ndarray, whole: np.ndarray, kinds: np.ndarray, taken: np.ndarray) -> None:
+        """Those of left at the places there have a context of this order, with these numbers; n = 0: not this byte."""
+        at = self.left[there]
+        mass, new = whole - self.taken[at], kinds - self.kinds[at]
+        hit = n > 0
+        p = np.where(hit, n - DISCOUNT, DISCOUNT * new) / np.maximum(mass, 1)
+        p[new <= 0] = 1  # nothing that the longer context has not seen
+        self.logp[at] += np.log10(p)
+        self.taken[at], self.kinds[at] = taken, kinds
+        stays = np.ones(len(self.left), bool)
+        stays[there[hit]] = False
+        self.left = self.left[stays]
+
+    def closed(self) -> np.ndarray:
+        self.logp[self.left] -= np.log10(ALPHABET - self.kinds[self.left])
+        self.left = self.left[:0]
+        return self.logp
+
+
+class Frequent:
+    """The part of the trie that workers hold; partial names the orders of which it lacks contexts."""
+
+    def __init__(self, nodes: pa.Table, contexts: pa.Table, partial: set[int]) -> None:
+        self.orders = []
+        node, n = nodes.column("node").to_numpy(), nodes.column("n").to_numpy()
+        by = np.argsort(node)
+        node, n = node[by], n[by]
+        context, taken = contexts.column("context").to_numpy(), contexts.column("taken").to_numpy()
+        by = np.argsort(context)
+        context, taken = context[by], taken[by]
+        for m in range(ORDER + 1):
+            key = (m + 1) << 56
+            of = lambda x, key=key: slice(*np.searchsorted(x, (key, key + (1 << 56))))
+            own, c = node[of(node)] - key, context[of(context)] - key
+            first = np.searchsorted(own >> 8, c)
+            kinds = np.diff(np.append(first, len(own)))
+            count = n[of(node)]
+            whole = np.add.reduceat(count, first) if len(c) else count[:0]
+            self.orders.append((m not in partial, own, count.astype(np.float32), c, whole.astype(np.float64), kinds.astype(np.float32), taken[of(context)].astype(np.float64)))
+
+    def score(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probabilities of windows, and which of them need contexts that are not here."""
+        state, lacking = State(len(w)), np.zeros(len(w), bool)
+        for m in range(ORDER, -1, -1):
+            complete, own, count, c, whole, kinds, taken = self.orders[m]
+            x = w[state.left] & ((1 << (8 * (m + 1))) - 1)
+            at = np.searchsorted(c, x >> 8)
+            at[at == len(c)] = 0
+            found = c[at] == x >> 8 if len(c) else np.zeros(len(x), bool)
+            if not complete:
+                lacking[state.left[~found]] = True
+                state.left, x, at = state.left[found], x[found], at[found]
+                found = np.ones(len(x), bool)
+            there = np.flatnonzero(found)
+            x, at = x[there], at[there]
+            if len(there):
+                node = np.minimum(np.searchsorted(own, x), len(own) - 1)
+                state.step(there, np.where(own[node] == x, count[node], 0).astype(float), whole[at], kinds[at].astype(float), taken[at])
+        return state.closed(), lacking
+
+
+class Model:
+    """A trie, the counts of tokens, and what of both the workers hold."""
+
+    def __init__(self, training: DataFrame, text_col: str = "text") -> None:
+        self.counts = token_counts(training, text_col)
+        n, v = self.counts.agg(F.sum("c"), F.count("*")).first()
+        self.n_tokens, self.n_types = n or 0, v
+        self.trie = Trie(window_counts(training, text_col))
+        self.held = self.trie.frequent()
+        self.most = max(1.0, self.n_tokens / WORDS)
+        got = self.counts.where(F.col("c") >= self.most).toArrow()
+        self.frequent = dict(zip(got.column("word").to_pylist(), got.column("c").to_pylist(), strict=True))
 
-def adapted(logp: np.ndarray, token: np.ndarray, text: np.ndarray, place: np.ndarray, kinds: int) -> np.ndarray:
-    """log10 probabilities after mixing in what each text has had so far; tokens are numbered from 0 to kinds - 1."""
-    share = CACHE_SHARE * place / (place + CACHE)
-    p = (1 - share) * 10.0**logp + share * seen_before(text * kinds + token) / np.maximum(place, 1)
-    last = text * (kinds + 1) + np.where(place == 0, kinds, np.roll(token, 1))
-    had = seen_before(last)
-    pair = np.where(had > 0, PAIR_SHARE, 0)
-    p = (1 - pair) * p + pair * seen_before(last * kinds + token) / np.maximum(had, 1)
-    return np.log10(np.maximum(p, 1e-300))
+    def base(self, count: np.ndarray) -> np.ndarray:
+        return np.log10((count + 0.1) / (self.n_tokens + 0.1 * (self.n_types + 1)))
 
 
 _READY: dict[str, tuple] = {}
+_PARTS = "uid bigint, n_tokens bigint, known bigint, base double, score double, words array<binary>, times array<bigint>, ws array<bigint>, wn array<bigint>"
+
+
+def _lists(of: np.ndarray, rows: int, values: pa.Array) -> pa.Array:
+    """A list for each row; of is in order."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(rows + 1)).astype(np.int32)), values)
 
 
 def scored(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's id with n_tokens, n_known, train_tokens, base_score and score; learns from the texts of training."""
-    counts = token_counts(training, text_col)
-    model = trained(counts)
-    spark = df.sparkSession
-    shipped = spark.sparkContext.broadcast(model)
+    model = Model(training, text_col)
+    base = model.base(np.fromiter(model.frequent.values(), np.float64, len(model.frequent)))
+    unknown = float(model.base(np.zeros(1))[0]) if model.n_tokens else 0.0
+    shipped = df.sparkSession.sparkContext.broadcast((list(model.frequent), base, model.held))
     key = uuid.uuid4().hex  # workers outlive a model
 
     def run(batches):
-        m = shipped.value
+        words, base, trie = shipped.value
         if key not in _READY:
             _READY.clear()
-            words = list(m.frequent)
-            c = np.fromiter(m.frequent.values(), np.float64, len(words))
-            _READY[key] = {w: k for k, w in enumerate(words)}, m.base(c), m.score(words)
-        numbers, base, score = _READY[key]
-        common_words = len(numbers)
+            _READY[key] = ({w: k for k, w in enumerate(words)},)
+        numbers = _READY[key][0]
+        frequent = len(numbers)
         for batch in batches:
-            for b in common.pieces(batch, text_col, 6 << 20):
+            for b in common.pieces(batch, text_col, BLOCK):
+                texts = list(map(tokens, common.raw_texts(b, text_col)))
                 index = common.Index(numbers)
-                rows = [np.fromiter(map(index.__getitem__, t), np.int64, len(t)) for t in map(tokens, common.raw_texts(b, text_col))]
-                rare_words = list(index)[common_words:]
-                full_base = np.concatenate((base, np.zeros(len(rare_words))))
-                full_score = np.concatenate((score, m.score(rare_words)))
-                sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-                flat, of = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
-                place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                sums = lambda x: np.bincount(of, x, len(rows))
-                rare = flat >= common_words
-                known = np.bincount(of[~rare], minlength=len(rows))
-                pair, times = np.unique(of[rare] * max(1, len(rare_words)) + flat[rare] - common_words, return_counts=True)
-                owner, word = np.divmod(pair, max(1, len(rare_words)))
-                uid = b.column("uid").to_numpy()
-                n, none = len(rows), lambda k, kind: pa.nulls(k, kind)
-                # a text's own row meets no token: none has a space
-                yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array([b" %d" % x for x in uid], pa.binary()), pa.array(np.zeros(n, np.int64)), b.column(id_col), pa.array(sizes), pa.array(known), pa.array(sums(full_base[flat])), pa.array(sums(adapted(full_score[flat], flat, of, place, len(index))))], names)
-                if len(pair):
-                    k = len(pair)
-                    yield pa.RecordBatch.from_arrays([pa.array(uid[owner]), pa.array(rare_words, pa.binary()).take(pa.array(word)), pa.array(times), none(k, b.column(id_col).type), none(k, pa.int64()), none(k, pa.int64()), none(k, pa.float64()), none(k, pa.float64())], names)
-
-    names = ["uid", "word", "times", id_col, "n_tokens", "known", "base", "score"]
+                rows = [np.fromiter(map(index.__getitem__, t), np.int64, len(t)) for t in texts]
+                rare_words = list(index)[frequent:]
+                n = len(rows)
+                sizes = np.fromiter(map(len, rows), np.int64, n)
+                flat, of = np.concatenate(rows), np.repeat(np.arange(n), sizes)
+                rare = flat >= frequent
+                known = np.bincount(of[~rare], minlength=n)
+                sums = np.bincount(of[~rare], base[flat[~rare]], n).astype(float)  # without any, NumPy makes them whole numbers
+                kinds = max(1, len(rare_words))
+                pair, times = np.unique(of[rare] * kinds + flat[rare] - frequent, return_counts=True)
+                owner, word = np.divmod(pair, kinds)
+                score, open_text, open_window, open_n = np.zeros(n), [], [], []
+                for w, text in windows(texts):
+                    distinct, at = np.unique(w, return_inverse=True)
+                    logp, lacking = trie.score(distinct)
+                    logp[lacking] = 0
+                    score += np.bincount(text, logp[at], n)
+                    left = np.flatnonzero(lacking[at])
+                    by = left[np.lexsort((w[left], text[left]))]
+                    t, x = text[by], w[by]
+                    first = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (x[1:] != x[:-1])))) if len(by) else by
+                    open_text.append(t[first])
+                    open_window.append(x[first])
+                    open_n.append(np.diff(np.append(first, len(by))))
+                t, x, c = map(np.concatenate, (open_text, open_window, open_n))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(id_col), b.column("uid"), *map(pa.array, (sizes, known, sums, score)),
+                     _lists(owner, n, pa.array(rare_words, pa.binary()).take(pa.array(word))), _lists(owner, n, pa.array(times)), _lists(t, n, pa.array(x)), _lists(t, n, pa.array(c))],
+                    names,
+                )
+
     kind = df.schema[id_col].dataType.simpleString()
-    rows = common.by_arrow(df.select(F.monotonically_increasing_id().alias("uid"), id_col, text_col), run, f"uid bigint, word binary, times bigint, `{id_col}` {kind}, n_tokens bigint, known bigint, base double, score double")
+    names = [id_col, *(x.split()[0] for x in _PARTS.split(", "))]
+    rows = common.written(common.by_arrow(df.select(F.monotonically_increasing_id().alias("uid"), id_col, text_col), run, f"`{id_col}` {kind}, {_PARTS}"), "ppm-rows")
+    none = F.lit(0).cast("long")
+    own = rows.select("uid", F.col(id_col), "n_tokens", "known", "base", "score")
+    part = lambda x, known, base, score: x.select("uid", F.lit(None).cast(kind).alias(id_col), none.alias("n_tokens"), known.alias("known"), base.alias("base"), score.alias("score"))
+    rare = rows.select("uid", F.explode(F.arrays_zip("words", "times")).alias("x")).select("uid", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    rare = rare.join(model.counts.where(F.col("c") < model.most), "word", "left")
     c = F.coalesce("c", F.lit(0))
-    n, v = float(model.n_tokens), model.n_types
-    got = rows.join(counts.where(F.col("c") < max(1.0, n / WORDS)), "word", "left")
-    sums = got.groupBy("uid").agg(
-        F.max(id_col).alias(id_col),
-        F.max("n_tokens").alias("n_tokens"),
-        (F.max("known") + F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0))).alias("n_known"),
-        F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.max("base") + F.sum(F.col("times") * F.log10((c + 0.1) / F.lit(n + 0.1 * (v + 1))))).alias("base_score"),
-        F.max("score").alias("score"),
-    )
+    value = F.log10((c + 0.1) / F.lit(model.n_tokens + 0.1 * (model.n_types + 1))) if model.n_tokens else F.lit(unknown)
+    own = own.unionByName(part(rare, F.when(F.col("c") > 0, F.col("times")).otherwise(none), F.col("times") * value, F.lit(0.0)))
+    if any(not x[0] for x in model.held.orders):
+        left = rows.select("uid", F.explode(F.arrays_zip("ws", "wn")).alias("x")).select("uid", F.col("x.ws").alias("w"), F.col("x.wn").alias("times"))
+        left = left.join(model.trie.scores(left.select("w")), "w")
+        own = own.unionByName(part(left, none, F.lit(0.0), F.col("times") * F.col("logp")))
+    sums = own.groupBy("uid").agg(
+        F.max(id_col).alias(id_col), F.sum("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"),
+        F.lit(int(model.n_tokens)).cast("long").alias("train_tokens"), F.sum("base").alias("base_score"), F.sum("score").alias("score"),
+    )
     return sums.drop("uid")
 
 
