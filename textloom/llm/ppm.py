@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import common
@@ -97,7 +97,7 @@ def token_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def window_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """w, n of the texts' windows, as a table."""
+    """w, n of the texts' windows, summed up within a task."""
 
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -114,74 +114,75 @@ def window_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays(list(map(pa.array, whole())), ["w", "n"])
 
-    got = common.by_arrow(texts.select(text_col), run, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
-    return common.written(got, "ppm-windows")
+    return common.by_arrow(texts.select(text_col), run, "w bigint, n bigint")
 
 
-def node_key(m, w):
-    """Names a node, or a context, of order m among those of all orders."""
-    return F.lit((m + 1) << 56).bitwiseOR(w)
-
-
-def last_bytes(w, n: int):
+def last_bytes(w: Column, n: int) -> Column:
     return w.bitwiseAND(F.lit((1 << (8 * n)) - 1))
 
 
-class Trie:
-    """The whole trie as tables: nodes (node, n) and contexts (context, m, whole, kinds, taken).
+def level(counted: DataFrame, m: int) -> DataFrame:
+    """The contexts of order m, as a table, from counts n of windows w of m + 1 bytes, which may be in parts.
 
-    whole and kinds are the sum and the number of a context's nodes, taken is what the next shorter context counts of its bytes.
+    context, whole and kinds (sum and number of its nodes), taken (what the next shorter context counts of its bytes), nodes (s, n). One
+    shuffle, by the bytes between a window's first and last: both sums over the first and over the last stay within a partition.
     """
+    if m < 3:  # few windows, of which one partition gets many
+        counted = counted.groupBy("w").agg(F.sum("n").alias("n"))
+    parts = counted.select(last_bytes(F.shiftright("w", 8), max(m - 1, 0)).alias("g"), F.shiftright("w", 8 * m if m else 8).alias("a"), last_bytes(F.col("w"), 1).cast("int").alias("s"), "n")
+    nodes = parts.repartition("g").groupBy("g", "a", "s").agg(F.sum("n").alias("n"))
+    nodes = nodes.withColumn("low", F.count("*").over(Window.partitionBy("g", "s")) if m else F.lit(0))
+    contexts = nodes.groupBy("g", "a").agg(F.sum("n").alias("whole"), F.count("*").cast("int").alias("kinds"), F.sum("low").cast("long").alias("taken"), F.collect_list(F.struct("s", "n")).alias("nodes"))
+    context = F.shiftleft("a", 8 * (m - 1)).bitwiseOR(F.col("g")) if m else F.lit(0).cast("long")
+    return common.written(contexts.select(context.alias("context"), "whole", "kinds", "taken", "nodes"), f"ppm-{m}")
+
+
+class Trie:
+    """The whole trie, as a table of contexts for each order."""
 
     def __init__(self, counts: DataFrame) -> None:
-        level, levels = counts, {ORDER: counts}
-        for m in range(ORDER - 1, -1, -1):
-            level = level.groupBy(last_bytes(F.col("w"), m + 1).alias("w")).agg(F.count("*").alias("n"))
-            levels[m] = level
-        union = None
-        for m, x in levels.items():
-            low = node_key(m - 1, last_bytes(F.col("w"), m)) if m else F.lit(-1).cast("long")
-            part = x.select(node_key(m, F.col("w")).alias("node"), node_key(m, F.shiftright("w", 8)).alias("context"), low.alias("low"), F.lit(m).alias("m"), "n")
-            union = part if union is None else union.unionByName(part)
-        self.nodes = common.written(union, "ppm-nodes")
-        lower = self.nodes.select(F.col("node").alias("low"), F.col("n").alias("below"))
-        contexts = self.nodes.join(lower, "low", "left").groupBy("context", "m").agg(F.sum("n").alias("whole"), F.count("*").alias("kinds"), F.sum(F.coalesce("below", F.lit(0))).alias("taken"))
-        self.contexts = common.written(contexts, "ppm-contexts")
+        self.levels = {}
+        for m in range(ORDER, -1, -1):
+            self.levels[m] = contexts = level(counts, m)
+            if m:
+                counts = contexts.select(last_bytes(F.col("context"), m - 1).alias("c"), F.explode("nodes").alias("x")).select(F.shiftleft("c", 8).bitwiseOR(F.col("x.s").cast("long")).alias("w"), F.lit(1).cast("long").alias("n"))
+
+    def contexts(self) -> DataFrame:
+        out = None
+        for m, x in self.levels.items():
+            x = x.withColumn("m", F.lit(m))
+            out = x if out is None else out.unionByName(x)
+        return out
 
     def frequent(self) -> Frequent:
         """The contexts that occur most, NODES nodes at most."""
         step = F.floor(F.log2("whole") * STEPS)
-        sizes = self.contexts.groupBy("m", step.alias("step")).agg(F.sum("kinds").alias("nodes")).collect()  # some hundred rows
+        sizes = self.contexts().groupBy("m", step.alias("step")).agg(F.sum("kinds").alias("nodes")).collect()  # some hundred rows
         total, least = 0, 0
         for s in sorted({x.step for x in sizes}, reverse=True):
             total += sum(x.nodes for x in sizes if x.step == s)
             if total > NODES:
                 least = s + 1
                 break
-        partial = {x.m for x in sizes if x.step < least}
-        contexts = self.contexts.where(step >= least).select("context", "taken")
-        nodes = self.nodes.select("node", "context", "n")
-        if partial:
-            nodes = nodes.join(contexts, "context", "left_semi")
-        return Frequent(nodes.select("node", "n").toArrow(), contexts.toArrow(), partial)
+        return Frequent(self.contexts().where(step >= least).select("m", "context", "taken", "nodes").toArrow(), {x.m for x in sizes if x.step < least})
 
     def scores(self, found: DataFrame) -> DataFrame:
         """w, logp of the distinct windows in found (w)."""
-        orders = range(ORDER + 1)
-        keys = F.array(*(F.struct(F.lit(m).alias("o"), node_key(m, last_bytes(F.col("w"), m + 1)).alias("node"), node_key(m, F.shiftright(last_bytes(F.col("w"), m + 1), 8)).alias("context")) for m in orders))
-        rows = found.distinct().select("w", F.inline(keys))
-        rows = rows.join(self.contexts.drop("m"), "context").join(self.nodes.select("node", "n"), "node", "left")
+        orders, found = range(ORDER + 1), found.distinct()
+        keys = F.array(*(F.struct(F.lit(m).alias("m"), last_bytes(F.shiftright("w", 8), m).alias("context")) for m in orders))
+        met = found.select("w", last_bytes(F.col("w"), 1).cast("int").alias("s"), F.inline(keys)).join(self.contexts(), ["m", "context"])
+        met = met.withColumn("n", F.expr("coalesce(get(filter(nodes, x -> x.s = s), 0).n, 0)"))
         names = [f"{x}{m}" for m in orders for x in ("n", "whole", "kinds", "taken")]
-        wide = found.distinct().join(rows.groupBy("w").agg(*(F.max(F.when(F.col("o") == int(x[-1]), F.coalesce(F.col(x[:-1]), F.lit(0)))).alias(x) for x in names)), "w", "left")
+        wide = found.join(met.groupBy("w").agg(*(F.max(F.when(F.col("m") == int(x[-1]), F.col(x[:-1])).cast("double")).alias(x) for x in names)), "w", "left")
 
         def run(batches):
             for batch in batches:
-                col = {x: batch.column(x).to_numpy(zero_copy_only=False) for x in names}
+                col = {x: batch.column(x).to_numpy(zero_copy_only=False).astype(float) for x in names}  # a context that is not there: NaN
                 state = State(batch.num_rows)
                 for m in reversed(orders):
-                    there = np.flatnonzero(~np.isnan(col[f"whole{m}"][state.left].astype(float)))
+                    there = np.flatnonzero(~np.isnan(col[f"whole{m}"][state.left]))
                     at = state.left[there]
-                    state.step(there, *(col[f"{x}{m}"][at].astype(float) for x in ("n", "whole", "kinds", "taken")))
+                    state.step(there, *(col[f"{x}{m}"][at] for x in ("n", "whole", "kinds", "taken")))
                 yield pa.RecordBatch.from_arrays([batch.column("w"), pa.array(state.closed())], ["w", "logp"])
 
         return common.by_arrow(wide, run, "w bigint, logp double")
@@ -213,29 +214,79 @@ class State:
         return self.logp
 
 
+class Hashed:
+    """Values of keys that are not negative, by open addressing."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits)
+        left, at = np.arange(len(keys)), self.place(keys)
+        while len(left):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[left[free]]
+            own = self.keys[at] == keys[left]
+            self.values[at[own]] = values[left[own]]
+            left, at = left[~own], (at[~own] + 1) & self.mask
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values, and the places of keys that have none."""
+        at = self.place(keys)
+        got = self.keys[at]
+        out = self.values[at]
+        left = np.flatnonzero(got != keys)
+        missing = [left[got[left] < 0]]
+        left = left[got[left] >= 0]
+        at = at[left]
+        while len(left):
+            at = (at + 1) & self.mask
+            got = self.keys[at]
+            own = got == keys[left]
+            out[left[own]] = self.values[at[own]]
+            missing.append(left[got < 0])
+            go = ~own & (got >= 0)
+            left, at = left[go], at[go]
+        return out, np.concatenate(missing)
+
+
 class Frequent:
     """The part of the trie that workers hold; partial names the orders of which it lacks contexts."""
 
-    def __init__(self, nodes: pa.Table, contexts: pa.Table, partial: set[int]) -> None:
-        self.orders = []
-        node, n = nodes.column("node").to_numpy(), nodes.column("n").to_numpy()
-        by = np.argsort(node)
-        node, n = node[by], n[by]
-        context, taken = contexts.column("context").to_numpy(), contexts.column("taken").to_numpy()
-        by = np.argsort(context)
-        context, taken = context[by], taken[by]
+    def __init__(self, contexts: pa.Table, partial: set[int]) -> None:
+        self.orders, self.hashed = [], None
+        contexts = contexts.combine_chunks()
+        order, context, taken = (contexts.column(x).to_numpy().astype(np.int64) for x in ("m", "context", "taken"))
+        nodes = contexts.column("nodes").combine_chunks() if len(order) else pa.array([], pa.list_(pa.struct([("s", pa.int32()), ("n", pa.int64())])))
+        flat = nodes.flatten()
+        sizes = np.diff(nodes.offsets.to_numpy())
+        of = np.repeat(np.arange(len(order)), sizes)
+        node, n = context[of] << 8 | flat.field("s").to_numpy(), flat.field("n").to_numpy()
         for m in range(ORDER + 1):
-            key = (m + 1) << 56
-            of = lambda x, key=key: slice(*np.searchsorted(x, (key, key + (1 << 56))))
-            own, c = node[of(node)] - key, context[of(context)] - key
+            mine, inner = np.flatnonzero(order == m), np.flatnonzero(order[of] == m)
+            mine, inner = mine[np.argsort(context[mine])], inner[np.argsort(node[inner])]
+            c, own, count = context[mine], node[inner], n[inner]
             first = np.searchsorted(own >> 8, c)
-            kinds = np.diff(np.append(first, len(own)))
-            count = n[of(node)]
-            whole = np.add.reduceat(count, first) if len(c) else count[:0]
-            self.orders.append((m not in partial, own, count.astype(np.float32), c, whole.astype(np.float64), kinds.astype(np.float32), taken[of(context)].astype(np.float64)))
+            whole = np.add.reduceat(count, first) if len(c) else count
+            self.orders.append((m not in partial, own, count.astype(np.float64), c, whole.astype(np.float64), sizes[mine].astype(np.float64), taken[mine].astype(np.float64)))
 
     def score(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probabilities of windows, and which of them need contexts that are not here."""
+        """log10 probabilities of windows, 0 for those that need contexts that are not here, and the places of those."""
+        if self.hashed is None:
+            _, own, count, c, whole, *_ = self.orders[ORDER]
+            self.hashed = Hashed(own, np.log10((count - DISCOUNT) / whole[np.searchsorted(c, own >> 8)]) if len(c) else count)
+        logp, at = self.hashed(w)
+        if not len(at):
+            return logp, at
+        distinct, again = np.unique(w[at], return_inverse=True)
+        value, lacking = self.chain(distinct)
+        value[lacking] = 0
+        logp[at] = value[again]
+        return logp, at[lacking[again]]
+
+    def chain(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         state, lacking = State(len(w)), np.zeros(len(w), bool)
         for m in range(ORDER, -1, -1):
             complete, own, count, c, whole, kinds, taken = self.orders[m]
@@ -251,7 +302,7 @@ class Frequent:
             x, at = x[there], at[there]
             if len(there):
                 node = np.minimum(np.searchsorted(own, x), len(own) - 1)
-                state.step(there, np.where(own[node] == x, count[node], 0).astype(float), whole[at], kinds[at].astype(float), taken[at])
+                state.step(there, np.where(own[node] == x, count[node], 0.0), whole[at], kinds[at], taken[at])
         return state.closed(), lacking
 
 
@@ -313,11 +364,8 @@ def scored(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col:
                 owner, word = np.divmod(pair, kinds)
                 score, open_text, open_window, open_n = np.zeros(n), [], [], []
                 for w, text in windows(texts):
-                    distinct, at = np.unique(w, return_inverse=True)
-                    logp, lacking = trie.score(distinct)
-                    logp[lacking] = 0
-                    score += np.bincount(text, logp[at], n)
-                    left = np.flatnonzero(lacking[at])
+                    logp, left = trie.score(w)
+                    score += np.bincount(text, logp, n)
                     by = left[np.lexsort((w[left], text[left]))]
                     t, x = text[by], w[by]
                     first = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (x[1:] != x[:-1])))) if len(by) else by
