@@ -74,7 +74,7 @@ def test_scores_match_a_plain_trie(spark, texts, monkeypatch, nodes, words, bloc
     monkeypatch.setattr(ppm, "BLOCK", block)
     some = [ppm.tokens((x or "").encode()) for x in texts]
     pieces = list(ppm.windows(some))
-    assert len(pieces) >= len(texts) * 6 // block
+    assert len(pieces) >= len(texts) * 5 // block
     flat = [(int(t), int(w)) for w, of in pieces for w, t in zip(w, of, strict=True)]
     spelt = [ppm.START * ppm.ORDER + b" ".join(x) for x in some]
     assert flat == [(t, int.from_bytes(s[j - ppm.ORDER : j + 1])) for t, s in enumerate(spelt) for j in range(ppm.ORDER, len(s))]
@@ -95,7 +95,7 @@ def test_probabilities_sum_to_one(texts):
             rows[m, w >> 8].append((w & 255, c, levels[m - 1][w & ((1 << (8 * m)) - 1)] if m else 0))
     table = [{"m": m, "context": c, "taken": sum(x[2] for x in nodes), "nodes": [{"s": s, "n": n} for s, n, _ in nodes]} for (m, c), nodes in rows.items()]
     held = ppm.Frequent(pa.Table.from_pylist(table, pa.schema([("m", pa.int32()), ("context", pa.int64()), ("taken", pa.int64()), ("nodes", pa.list_(pa.struct([("s", pa.int32()), ("n", pa.int64())])))])), set())
-    for context in (b"\n" * 6, b"an an ", b"zzzzzz", b"tionab"):
+    for context in (b"\n" * 5, b"an an", b"zzzzz", b"ionab"):
         w = np.array([int.from_bytes(context + bytes([b])) for b in range(256)])
         logp, lacking = held.score(w)
         assert not len(lacking)
@@ -113,8 +113,8 @@ def test_empty_tables(spark):
 
 
 def test_held_out_texts(spark, sf_dir):
-    """With 181 training texts the base, which gives any unseen token the same whatever there is of them, is ahead by less than a tenth; with 917 it is behind."""
-    for d, most in ((sf_dir, 1.1), (sf_dir.replace("0.001", "0.01"), 0.99)):
+    """With 181 training texts the base, which gives any unseen token the same whatever there is of them, is ahead by less than a tenth; with 917 it is just behind."""
+    for d, most in ((sf_dir, 1.1), (sf_dir.replace("0.001", "0.01"), 1.0)):
         rows = ppm.op5_ppm(spark, d).where("held_out").collect()
         assert rows and all(x.score < 0 for x in rows)
         assert sum(x.score for x in rows) > most * sum(x.base_score for x in rows)

@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 from textloom.llm import common
 
 #: Bytes of the longest context; a window is one longer and fits a long beside its order.
-ORDER = 6
+ORDER = 5
 DISCOUNT = 0.5
 NODES, WORDS = 1 << 21, 1 << 20
 START, END, SPACE = b"\n", b"\r", b" "
 ALPHABET = 257
 #: Distinct tokens, distinct windows that a task holds before it sends their counts on; places that are worked on at once.
-HELD, HELD_WINDOWS, BLOCK = 300_000, 2 << 20, 2 << 20
+HELD, HELD_WINDOWS, BLOCK = 300_000, 4 << 20, 2 << 20
 #: Contexts go to the workers by steps of a quarter of a power of two of their counts.
 STEPS = 4
 
@@ -108,7 +108,7 @@ def window_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
                     held.append(summed(w))
                     if sum(len(x) for x, _ in held) > HELD_WINDOWS:
                         held = [whole()]
-                        if len(held[0][0]) > HELD_WINDOWS // 2:
+                        if len(held[0][0]) > HELD_WINDOWS // 4 * 3:
                             yield pa.RecordBatch.from_arrays(list(map(pa.array, held[0])), ["w", "n"])
                             held = []
         if held:
@@ -168,10 +168,15 @@ class Trie:
 
     def scores(self, found: DataFrame) -> DataFrame:
         """w, logp of the distinct windows in found (w)."""
-        orders, found = range(ORDER + 1), found.distinct()
+        orders = range(ORDER + 1)
+        here = "coalesce(get(filter(nodes, x -> x.s = s), 0).n, 0)"
+        found = found.distinct().select("w", F.shiftright("w", 8).alias("context"), last_bytes(F.col("w"), 1).cast("int").alias("s"))
+        top = common.written(found.join(self.levels[ORDER], "context", "left").select("w", F.expr(here).alias("n"), "whole"), "ppm-open")
+        seen = top.where("n > 0").select("w", F.log10((F.col("n") - DISCOUNT) / F.col("whole")).alias("logp"))
+        found = top.where("n = 0").select("w")  # these alone go on to shorter contexts
         keys = F.array(*(F.struct(F.lit(m).alias("m"), last_bytes(F.shiftright("w", 8), m).alias("context")) for m in orders))
         met = found.select("w", last_bytes(F.col("w"), 1).cast("int").alias("s"), F.inline(keys)).join(self.contexts(), ["m", "context"])
-        met = met.withColumn("n", F.expr("coalesce(get(filter(nodes, x -> x.s = s), 0).n, 0)"))
+        met = met.withColumn("n", F.expr(here))
         names = [f"{x}{m}" for m in orders for x in ("n", "whole", "kinds", "taken")]
         wide = found.join(met.groupBy("w").agg(*(F.max(F.when(F.col("m") == int(x[-1]), F.col(x[:-1])).cast("double")).alias(x) for x in names)), "w", "left")
 
@@ -185,7 +190,7 @@ class Trie:
                     state.step(there, *(col[f"{x}{m}"][at] for x in ("n", "whole", "kinds", "taken")))
                 yield pa.RecordBatch.from_arrays([batch.column("w"), pa.array(state.closed())], ["w", "logp"])
 
-        return common.by_arrow(wide, run, "w bigint, logp double")
+        return seen.unionByName(common.by_arrow(wide, run, "w bigint, logp double"))
 
 
 class State:
