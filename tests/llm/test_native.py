@@ -1,6 +1,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import pytest
 import xxhash
@@ -72,10 +73,10 @@ def test_sketches_merge_and_estimate(spark):
     assert abs(r - 0.5) < 0.2 and abs(c - 0.67) < 0.25 and abs(n - 896) < 300
 
 
-def test_native_plans_have_no_python(spark, rows):
+def test_native_plans_have_no_python(spark, rows, tmp_path):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    df.write.mode("overwrite").parquet("/tmp/textloom-native-test")
-    df = spark.read.parquet("/tmp/textloom-native-test")
+    df.write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
     for out in (sketch.fingerprinted(df), sharding.sharded(df)):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
@@ -100,13 +101,55 @@ def test_shards(spark, rows):
 def test_growing_moves_only_into_the_new_shard():
     r = random.Random(1)
     weight = [r.randint(0, 1000) for _ in range(512)]
-    m = sharding.SlotMap.fresh(512, 8).rebalance(weight, 8).grow(weight, 8)
+    m = sharding.SlotMap.fresh(512, 8).rebalance(weight).grow(weight)
     old, new = m.versions[-2:]
     assert all(b in (a, 8) for a, b in zip(old, new, strict=True)) and len(m.versions) == 3
     load = [sum(w for w, d in zip(weight, new, strict=True) if d == k) for k in range(9)]
     assert max(load) - min(load) < 0.05 * sum(load) / 9
 
 
+def test_rebalancing_is_close_and_idle_where_nothing_helps():
+    r = random.Random(2)
+    for _ in range(5):
+        weight = [r.choice([0, 1, 5, r.randint(0, 1000)]) for _ in range(512)]
+        m = sharding.SlotMap.fresh(512, 8).rebalance(weight)
+        load = [sum(w for w, d in zip(weight, m.now, strict=True) if d == k) for k in range(8)]
+        assert max(load) - min(load) <= max(2, 0.001 * sum(load) / 8)
+        n = len(m.versions)
+        assert len(m.rebalance(weight).versions) == n
+    assert len(sharding.SlotMap.fresh(64, 4).rebalance([0] * 64).versions) == 1
+    one = sharding.SlotMap.fresh(64, 4).rebalance([10**6] + [0] * 63)
+    assert len(one.versions) == 1
+
+
+def _places(df):
+    return {(x.doc_id, x.text_crc32): (x.virtual_slot, x.shard) for x in df.collect()}
+
+
+def test_the_map_is_stored_and_edited(spark, tmp_path):
+    rows = [(k, "x" * (k * 37 % 1900)) for k in range(2000)]
+    make = lambda rows, parts=3: spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts)
+    path = str(tmp_path / "map")
+    first = _places(sharding.sharded(make(rows), map_path=path))
+    versions = len(sharding.SlotMap.read(spark, path).versions)
+    # another layout, and one row more: nothing moves while the map stays
+    more = [*rows, (9999, "a row more")]
+    again = _places(sharding.sharded(make(more, 7), map_path=path, rebalance=False))
+    assert {k: again[k] for k in first} == first and len(sharding.SlotMap.read(spark, path).versions) == versions
+    # a lopsided load: only rows of edited slots move, and the old versions stay
+    heavy = [*rows, *((10_000 + k, "y" * 1900) for k in range(0, 400) if k % 3)]
+    edited = _places(sharding.sharded(make(heavy), map_path=path))
+    stored = sharding.SlotMap.read(spark, path)
+    assert len(stored.versions) == versions + 1
+    moved = {s for s, (a, b) in enumerate(zip(stored.versions[-2], stored.now, strict=True)) if a != b}
+    assert all(edited[k] == v or v[0] in moved for k, v in first.items()) and any(edited[k] != v for k, v in first.items())
+    # one shard more takes rows only into itself
+    grown = _places(sharding.sharded(make(heavy, 2), map_path=path, shards=17, rebalance=False))
+    assert all(g in (e, (e[0], 16)) for g, e in ((grown[k], edited[k]) for k in edited)) and any(g[1] == 16 for g in grown.values())
+    with pytest.raises(ValueError):
+        sharding.sharded(make(rows), map_path=path)
+
+
 def test_one_id_may_hold_many_rows(spark):
     r = random.Random(6)
     many = [(7, f"text {r.random()} of the heavy id") for _ in range(300)] + [(k, f"light {k} row") for k in range(100, 130)] + [(k, f"less {k}") for k in range(-20, 0)]
@@ -123,10 +166,15 @@ def test_one_id_may_hold_many_rows(spark):
     assert max(x["count"] for x in parts) < 60
 
 
-def test_rows_alike_don_t_fill_one_shard(spark):
-    many = [(1, "the same text again")] * 3000 + [(k, "x" * (k % 40)) for k in range(2, 3000)]
-    got = sharding.sharded(spark.createDataFrame(many, "doc_id bigint, text string").repartition(5)).collect()
+def test_rows_alike_don_t_fill_one_slot(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ALIKE", 700)  # the 3000 and the 5000 are made in parts
+    many = [(1, "the same text again")] * 3000 + [(None, None)] * 5000 + [(k, "x" * (k % 40)) for k in range(2, 3000)]
+    make = lambda parts: sharding.sharded(spark.createDataFrame(many, "doc_id bigint, text string").repartition(parts))
+    got = make(5).collect()
     load = [sum(x.size for x in got if x.shard == k) for k in range(16)]
     assert len(got) == len(many) and max(load) < 1.02 * sum(load) / 16
+    assert Counter(x.doc_id for x in got) == Counter(i for i, _ in many)
+    assert max(Counter(x.virtual_slot for x in got).values()) < 30
     for k in range(16):
         assert sorted(x.slot for x in got if x.shard == k) == list(range(sum(x.shard == k for x in got)))
+    assert Counter(map(tuple, make(2).collect())) == Counter(map(tuple, got))

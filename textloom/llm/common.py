@@ -41,12 +41,22 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends here, and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = kept_path(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def kept_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for what lasts as long as the program."""
     if not _WRITTEN:
         atexit.register(lambda: [remove(spark, p) for p in list(_WRITTEN)])
-    _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN.append(f"{shared_dir(spark)}/{name}")
+    return _WRITTEN[-1]
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 #: Tables that written() made; they go at the end of the program, or by remove() before.
