@@ -19,7 +19,6 @@ likely; repeated ids and equal texts give one row each; other columns are not re
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,7 +36,7 @@ NODES, WORDS = 1 << 21, 1 << 20
 START, END, SPACE = b"\n", b"\r", b" "
 ALPHABET = 257
 #: Distinct tokens, distinct windows that a task holds before it sends their counts on; places that are worked on at once.
-HELD, HELD_WINDOWS, BLOCK = 300_000, 4 << 20, 2 << 20
+HELD, HELD_WINDOWS, BLOCK = 300_000, 3 << 19, 1 << 20
 #: Contexts go to the workers by steps of a quarter of a power of two of their counts.
 STEPS = 4
 
@@ -328,7 +327,6 @@ class Model:
         return np.log10((count + 0.1) / (self.n_tokens + 0.1 * (self.n_types + 1)))
 
 
-_READY: dict[str, tuple] = {}
 _PARTS = "uid bigint, n_tokens bigint, known bigint, base double, score double, words array<binary>, times array<bigint>, ws array<bigint>, wn array<bigint>"
 
 
@@ -342,15 +340,10 @@ def scored(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col:
     model = Model(training, text_col)
     base = model.base(np.fromiter(model.frequent.values(), np.float64, len(model.frequent)))
     unknown = float(model.base(np.zeros(1))[0]) if model.n_tokens else 0.0
-    shipped = df.sparkSession.sparkContext.broadcast((list(model.frequent), base, model.held))
-    key = uuid.uuid4().hex  # workers outlive a model
+    shipped = df.sparkSession.sparkContext.broadcast((dict(zip(model.frequent, range(len(model.frequent)), strict=True)), base, model.held))
 
     def run(batches):
-        words, base, trie = shipped.value
-        if key not in _READY:
-            _READY.clear()
-            _READY[key] = ({w: k for k, w in enumerate(words)},)
-        numbers = _READY[key][0]
+        numbers, base, trie = shipped.value
         frequent = len(numbers)
         for batch in batches:
             for b in common.pieces(batch, text_col, BLOCK):
