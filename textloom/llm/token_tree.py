@@ -3,20 +3,25 @@
 A text is split into pre-tokens by the tokenizer's pattern; BPE never merges across them, so a text's token count is the sum of its
 pre-tokens' counts. The leaves are runs of pre-tokens; inner nodes hold sums of characters and of tokens. An edit splits anew only from a
 little before it, as far as the pattern can see, until the new pre-tokens fall in step with the old ones; only those are
-encoded, the leaves they stand in are replaced, and the sums above them renewed.
+encoded, the leaves they stand in are filled anew, and the sums above those renewed. Only if these leaves overflow is the tree dealt anew.
 
-Defined results: a null text counts as empty; edits beyond the end act at the end; an empty text has no tokens; strings of
-special tokens are ordinary text; repeated ids and equal texts give one row each; other columns are not read.
+Trees are kept as a table (trees), edits are a table too (with_edits), and edited makes the next version of the table: it takes the
+leaves as they were stored and encodes nothing but what edits touch.
+
+Defined results: a null text counts as empty; edits beyond the end act at the end, null ones of a field as 0 or the empty text; an empty text has no tokens; strings of
+special tokens are ordinary text; repeated ids and equal texts give one row each (each gets all edits of its id); edits of ids that have no tree
+do nothing; edits that tie in seq go in the order of start, end and text; other columns of trees pass through.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from textloom.llm import common
 
@@ -60,6 +65,22 @@ class TokenTree:
         self.leaves = self._cut(list(map(len, pieces)), list(map(counts.__getitem__, pieces)))
         self._build()
 
+    @classmethod
+    def stored(cls, text: str, leaves: bytes, lengths: bytes, tokens: bytes, counts: Counts) -> TokenTree:
+        """The tree that packed() gave; nothing is encoded."""
+        tree = cls.__new__(cls)
+        tree.text, tree.counts, tree.encoded = text, counts, 0
+        ends = np.cumsum(np.frombuffer(leaves, np.int32)).tolist()
+        a, b = (np.frombuffer(x, np.int32).tolist() for x in (lengths, tokens))
+        tree.leaves = [(a[i:j], b[i:j]) for i, j in zip([0, *ends], ends, strict=False)]
+        tree._build()
+        return tree
+
+    def packed(self) -> tuple[bytes, bytes, bytes]:
+        """Pre-tokens of each leaf, lengths of all pre-tokens, and their token counts, as 32-bit integers."""
+        pack = lambda x: np.fromiter(x, np.int32).tobytes()
+        return pack(len(x) for x, _ in self.leaves), pack(chain.from_iterable(x for x, _ in self.leaves)), pack(chain.from_iterable(x for _, x in self.leaves))
+
     @staticmethod
     def _cut(lengths: list[int], tokens: list[int]) -> list[tuple[list[int], list[int]]]:
         return [(lengths[k : k + LEAF], tokens[k : k + LEAF]) for k in range(0, len(lengths), LEAF)] or [([], [])]
@@ -73,14 +94,17 @@ class TokenTree:
             (a, b), (c, d) = self.sums[2 * k], self.sums[2 * k + 1]
             self.sums[k] = a + c, b + d
 
-    def _renew(self, leaf: int) -> None:
-        lengths, tokens = self.leaves[leaf]
-        k = self.width + leaf
-        self.sums[k] = sum(lengths), sum(tokens)
-        while k > 1:
-            k //= 2
-            (a, b), (c, d) = self.sums[2 * k], self.sums[2 * k + 1]
-            self.sums[k] = a + c, b + d
+    def _renew(self, first: int, last: int) -> None:
+        """Sums of the leaves from first to last, and of the nodes above them."""
+        for k in range(first, last + 1):
+            lengths, tokens = self.leaves[k]
+            self.sums[self.width + k] = sum(lengths), sum(tokens)
+        a, b = self.width + first, self.width + last
+        while a > 1:
+            a, b = a // 2, b // 2
+            for k in range(a, b + 1):
+                (x, y), (u, v) = self.sums[2 * k], self.sums[2 * k + 1]
+                self.sums[k] = x + u, y + v
 
     @property
     def tokens(self) -> int:
@@ -112,13 +136,13 @@ class TokenTree:
         old_size, shift = len(self.text), len(new) - (end - start)
         leaf, i, at = self._at(start)
         for _ in range(CONTEXT):  # the pattern looks one character ahead
-            if i:
-                i -= 1
-            elif leaf:
-                leaf -= 1
-                i = len(self.leaves[leaf][0]) - 1
-            else:
+            before = leaf
+            while not i and before:  # leaves may be empty
+                before -= 1
+                i = len(self.leaves[before][0])
+            if not i:
                 break
+            leaf, i = before, i - 1
             at -= self.leaves[leaf][0][i]
         first_leaf, first_i, first = leaf, i, at
         self.text = self.text[:start] + new + self.text[end:]
@@ -144,54 +168,96 @@ class TokenTree:
         if not met:
             leaf, i = len(self.leaves) - 1, len(self.leaves[-1][0])
         head, tail = self.leaves[first_leaf], self.leaves[leaf]
-        merged = head[0][:first_i] + lengths + tail[0][i:], head[1][:first_i] + tokens + tail[1][i:]
-        if first_leaf == leaf and len(merged[0]) <= 4 * LEAF:
-            self.leaves[leaf] = merged
-            self._renew(leaf)
+        lengths, tokens = head[0][:first_i] + lengths + tail[0][i:], head[1][:first_i] + tokens + tail[1][i:]
+        slots = leaf - first_leaf + 1
+        if len(lengths) <= 4 * LEAF * slots:
+            per = -(-len(lengths) // slots)
+            self.leaves[first_leaf : leaf + 1] = [(lengths[k * per : k * per + per], tokens[k * per : k * per + per]) for k in range(slots)]
+            self._renew(first_leaf, leaf)
         else:
-            self.leaves[first_leaf : leaf + 1] = self._cut(*merged)
+            self.leaves[first_leaf : leaf + 1] = self._cut(lengths, tokens)
             self._build()
         return self
 
 
-def standard_edits(tree: TokenTree) -> TokenTree:
-    """Three edits: 12 characters turned round at a quarter, 8 taken out at the half, the first 16 put in at three quarters."""
-    n = len(tree.text)
-    tree.edit(n // 4, n // 4 + 12, tree.text[n // 4 : n // 4 + 12][::-1])
-    n = len(tree.text)
-    tree.edit(n // 2, n // 2 + 8, "")
-    n = len(tree.text)
-    return tree.edit(3 * n // 4, 3 * n // 4, tree.text[:16])
+_LOADED: dict[str, Counts] = {}
 
 
-_LOADED: dict[str, Counts] = {}
+def _counts(path: str) -> Counts:
+    if path not in _LOADED:
+        _LOADED[path] = Counts(path)
+    return _LOADED[path]
 
 
-def counted(df: DataFrame, edits=standard_edits, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each row: tokens and pre-tokens before, both after edits(tree), and how many pre-tokens were encoded anew."""
-    path = path or default_path()
+_TREE = "n_tokens bigint, n_pieces bigint, leaves binary, lengths binary, tokens binary"
+_EDITS = "array<struct<seq:bigint,start:bigint,end:bigint,new:string>>"
+
+
+def _columns(trees: list[TokenTree]) -> list[pa.Array]:
+    packed = [x.packed() for x in trees]
+    return [pa.array([x.tokens for x in trees], pa.int64()), pa.array([x.size for x in trees], pa.int64()), *(pa.array([x[k] for x in packed], pa.binary()) for k in range(3))]
 
-    def rows(texts: Iterable[str]):
-        if path not in _LOADED:
-            _LOADED[path] = Counts(path)
-        counts = _LOADED[path]
-        for text in texts:
-            tree = TokenTree(text, counts)
-            before = tree.tokens, tree.size
-            edits(tree)
-            yield *before, tree.tokens, tree.size, tree.encoded
 
-    names = ["n_tokens", "n_pieces", "edited_tokens", "edited_pieces", "encoded_again"]
+def trees(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, text_col, n_tokens, n_pieces, leaves, lengths, tokens of each row: the first version of its tree."""
+    path = path or default_path()
 
     def run(batches):
+        counts = _counts(path)
         for batch in batches:
             for b in common.pieces(batch, text_col):
-                got = np.array(list(rows(common.texts(b, text_col))), np.int64).reshape(-1, len(names))
-                yield pa.RecordBatch.from_arrays([b.column(id_col), *(pa.array(got[:, k]) for k in range(len(names)))], [id_col, *names])
+                texts = common.texts(b, text_col)
+                yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(texts, pa.string()), *_columns([TokenTree(x, counts) for x in texts])], names)
 
+    names = [id_col, text_col, *(x.split()[0] for x in _TREE.split(", "))]
     kind = df.schema[id_col].dataType.simpleString()
-    return common.by_arrow(df.select(id_col, text_col), run, f"`{id_col}` {kind}, " + ", ".join(f"{x} bigint" for x in names))
+    return common.by_arrow(df.select(id_col, text_col), run, f"`{id_col}` {kind}, `{text_col}` string, {_TREE}")
+
+
+def with_edits(trees: DataFrame, edits: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """trees with the column edits: those of a table with id_col, seq, start, end, new. Edits of one text follow one another, so they come together."""
+    one = F.struct(F.col("seq").cast("long").alias("seq"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("new").cast("string").alias("new"))
+    grouped = edits.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.sort_array(F.collect_list(one)).alias("edits"))
+    return trees.join(grouped, id_col, "left")
+
+
+def edited(trees: DataFrame, path: str | None = None, text_col: str = "text", edits_col: str = "edits") -> DataFrame:
+    """The next version: text and tree after the edits, in their order; edits_col goes, and encoded_again (pre-tokens) comes."""
+    path = path or default_path()
+    fields = [f for f in trees.schema.fields if f.name not in (edits_col, "encoded_again")]
+    own = [text_col, *(x.split()[0] for x in _TREE.split(", "))]
+
+    def run(batches):
+        counts = _counts(path)
+        for batch in batches:
+            for b in common.pieces(batch, text_col):
+                done = []
+                stored = (b.column(x).to_pylist() for x in (text_col, "leaves", "lengths", "tokens", edits_col))
+                for text, leaves, lengths, tokens, edits in zip(*stored, strict=True):
+                    tree = TokenTree.stored(text, leaves, lengths, tokens, counts)
+                    for e in edits or ():
+                        tree.edit(e["start"] or 0, e["end"] or 0, e["new"] or "")
+                    done.append(tree)
+                new = dict(zip(own, [pa.array([x.text for x in done], pa.string()), *_columns(done)], strict=True))
+                yield pa.RecordBatch.from_arrays([*(new[f.name] if f.name in new else b.column(f.name) for f in fields), pa.array([x.encoded for x in done], pa.int64())], [*(f.name for f in fields), "encoded_again"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    return common.by_arrow(trees, run, f"{schema}, encoded_again bigint")
+
+
+def standard_edits(text: Column) -> Column:
+    """Three edits: 12 characters turned round at a quarter, 8 taken out at the half, and the first 16 put in at three quarters of what is left."""
+    n = F.coalesce(F.char_length(text), F.lit(0)).cast("long")
+    quarter, half = F.floor(n / 4), F.floor(n / 2)
+    left = n - F.least(F.lit(8), n - half)
+    edit = lambda seq, start, end, new: F.struct(F.lit(seq).cast("long").alias("seq"), start.alias("start"), end.alias("end"), new.alias("new"))
+    return F.array(
+        edit(1, quarter, quarter + 12, F.reverse(F.substring(text, quarter.cast("int") + 1, F.lit(12)))),
+        edit(2, half, half + 8, F.lit("")),
+        edit(3, F.floor(3 * left / 4), F.floor(3 * left / 4), F.substring(text, 1, 16)),
+    )
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counted(common.documents(spark, sf_dir))
+    first = trees(common.documents(spark, sf_dir)).withColumns({"edits": standard_edits(F.col("text")), "before": F.struct("n_tokens", "n_pieces")})
+    return edited(first).select("doc_id", "before.*", F.col("n_tokens").alias("edited_tokens"), F.col("n_pieces").alias("edited_pieces"), "encoded_again")
