@@ -1,7 +1,11 @@
+import fractions
+import functools
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from textloom.llm import lang_id, quality, toxicity
 
 
@@ -65,21 +69,24 @@ def test_forward_sums_all_segmentations():
     place = {x: k for k, x in enumerate(pieces.names)}
 
     def brute(word, g):
+        @functools.cache
         def rest(i):
             if i == len(word):
-                return 1.0
-            total = 0.0
-            for j in range(i + 1, min(len(word), i + lang_id.PIECE) + 1):
+                return fractions.Fraction(1)
+            total = fractions.Fraction(0)
+            for j in range(i + 1, min(len(word), i + pieces.longest) + 1):
                 k = place.get(word[i:j], pieces.size - 1 if j == i + 1 else None)
                 if k is not None:
-                    total += p[k, g] * rest(j)
+                    total += fractions.Fraction(float(p[k, g])) * rest(j)
             return total
 
-        return math.log(rest(0))
+        whole = rest(0)  # too small for a float where the word is long
+        return math.log(whole.numerator) - math.log(whole.denominator)
 
-    words = ["the", "straße", "ñandú", "x", "internationa", "ꙮꙮ"]
+    words = ["the", "straße", "ñandú", "x", "internationalisation", "ꙮꙮ", "straßenbahnhaltestellen" * 12, "ꙮ" * 40]
     got = lang_id.word_scores(pieces, p, words)
     assert np.allclose(got, [[brute("▁" + w, g) for g in range(2)] for w in words])
+    assert pieces.longest > 10
 
 
 EDGES = [(1, None), (2, ""), (3, "?! 12 ² ½ \n"), (4, "the same text here"), (4, "the same text here"), (None, "word " * 30_000), (6, "z" * 100_000)]
@@ -89,7 +96,7 @@ def test_edges_have_defined_results(spark):
     df = spark.createDataFrame([(i, t, 0.5, "x") for i, t in EDGES], "doc_id bigint, text string, score double, lang string")
     tox = toxicity.trained([("good words only.", 0), ("nasty idiot.", 1)] * 20)
     good = quality.trained([("A good sentence of plain words. " * 9, 1), ("### @@ $$ " * 30, 0)] * 20)
-    lang = lang_id.fitted(spark.createDataFrame([("the words of the text", "en"), ("der Text und die Worte", "de"), (None, "fr"), ("no language", None)], "text string, lang string"))
+    lang = lang_id.fitted(spark.createDataFrame([("the words of the text", "en"), ("der Text und die Worte", "de"), (None, "fr"), ("no language", None)], "text string, lang string").withColumn("doc_id", F.xxhash64("text")))
     for got in (toxicity.scored(df, tox), quality.scored(df, good)):
         rows = got.collect()
         assert len(rows) == len(EDGES) and all(0 <= x.score <= 1 and x.predicted == (x.score >= 0.5) for x in rows)
@@ -102,3 +109,53 @@ def test_edges_have_defined_results(spark):
     assert toxicity.scored(none, tox).count() == quality.scored(none, good).count() == lang_id.identified(none, lang).count() == 0
     assert toxicity.without_toxic(df, tox).columns == lang_id.with_language(df, lang).columns == df.columns
     assert sorted(x.doc_id or 0 for x in lang_id.with_language(df, lang).collect()) == [0, 4, 4, 6]
+
+
+def test_samples_are_bounded_by_rows_and_bytes(spark, monkeypatch):
+    rows = [(7, f"text {k % 50} of one id") for k in range(20_000)] + [(k, "clean " * (k % 30 + 1)) for k in range(100, 400)] + [(None, "no id"), (8, None), (9, "both"), (500, "x" * (toxicity.LONGEST_SAMPLE + 1))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("y", F.lit(1))
+    labels = spark.createDataFrame([(7, 1), (7, 1), (8, 1), (9, 0), (9, 1), (500, 1), (None, 1)] + [(k, k % 2) for k in range(100, 400)], "doc_id bigint, toxic int")
+    got = toxicity.sample(docs, labels)
+    assert len(got) == 301 and sum(t.startswith("text") for t, _ in got) == 1
+    n = Counter(y for _, y in toxicity.sample(docs, labels, sizes={1: 20, 0: 30}))
+    assert 27 <= n[0] <= 30 and 17 <= n[1] <= 20  # less the ids with both labels, or without a text to take
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 2000)
+    few = toxicity.sample(docs, labels)
+    for y in (0, 1):
+        sizes = [len(t) for t, label in few if label == y]
+        assert 2000 <= sum(sizes) < 2000 + 180 and len(few) < 300
+    assert set(few) <= set(got)
+
+
+def test_language_sample_is_bounded_and_fair(spark, monkeypatch):
+    monkeypatch.setattr(lang_id, "SAMPLE", 100)
+    rows = [(k, "the hot text" if k % 3 == 0 else f"text {k}", "en") for k in range(6000)] + [(k, f"selten {k}", "de") for k in range(10)] + [(1, "again and again", "fr")] * 3000 + [(k, f"rue {k}", "fr") for k in range(50)]
+    df = spark.createDataFrame(rows, "id bigint, text string, lang string")
+    got = lang_id.training_rows(df, {"en": 6000, "de": 10, "fr": 3050}).collect()
+    n = Counter(x.lang for x in got)
+    assert n["en"] == 100 and n["de"] == 10 and n["fr"] <= 100
+    assert 15 < sum(x.text == "the hot text" for x in got) < 55  # its share of the rows, not all or none
+    assert sum(x.text == "again and again" for x in got) <= 1  # rows alike count as one
+    for k in (10**9, 10**11, 10**14):
+        share = (lang_id.cut(k) + 2**63) / 2**64
+        assert share * k == pytest.approx(200, rel=1e-3)
+
+
+def test_quality_scores_match_plain_compression(spark):
+    import zstandard
+
+    rows = [(f"Plain words make sentence number {k} of a good text. " * (k % 7 + 1), 1) for k in range(60)] + [(f"$$$ ### {k} @@ !! buy {k * 7} " * (k % 9 + 1), 0) for k in range(60)]
+    model = quality.trained(rows)
+    texts = [t for t, _ in rows[::7]] + ["", "é" * 700, None]
+    got = {x.doc_id: x.score for x in quality.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model).collect()}
+    for k, t in enumerate(texts):
+        raw = (t or "").encode()
+        sizes = []
+        for d in (model.good, model.bad):
+            packer = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(len(packer.compress(raw[j : j + 256])) for j in range(0, len(raw), 256)))
+        good, bad = sizes
+        both = max(good + bad, 1)
+        d, share = 10 * (good - bad) / both, both / max(2 * len(raw), 1)
+        z = sum(w * x for w, x in zip(model.weights, (d, d * d, share, share * share, d * share, 4 / math.sqrt(len(raw) + 16), 1), strict=True))
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-9)

@@ -7,8 +7,8 @@ words of the training texts, with the backward algorithm giving the expected cou
 piece and language.
 
 Defined results: a null text or one without letters is "und" with score 0; so is any text if nothing was learned; a
-tie goes to the language that sorts first; words over LONGEST letters are cut into runs of LONGEST; repeated ids and equal texts
-give one row each; other columns are not read.
+tie goes to the language that sorts first; words of any length are scored over all segmentations, but teach in runs of LONGEST letters;
+repeated ids and equal texts give one row each; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,18 +19,18 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import common
 
 VOCABULARY = "piece_bpe_32k.model"
-LONGEST, PIECE = 24, 10
+LONGEST = 24
 ROUNDS = 2
 #: Chunks between spaces that a worker remembers.
 KEPT = 120_000
-#: Training texts, at most, taken in the order of a hash of id and text; the vocabulary bounds all else.
-SAMPLE = 12_000
+#: Training texts of each language, at most, in the order of a hash of id and text; the vocabulary bounds all else.
+SAMPLE = 3_000
 #: Pseudo-counts that a language gets in proportion to all languages' pieces, and each character without a piece.
 SMOOTH, UNKNOWN = 50.0, 1e-7
 _WORDS = re.compile(r"[^\W\d_]+").findall
@@ -45,21 +45,19 @@ def default_path() -> str:
 
 
 def vocabulary(path: str) -> list[str]:
-    """The pieces of PIECE characters at most that lower-case words can hold."""
+    """The pieces that lower-case words can hold."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i) for i in range(model.get_piece_size())}
-    return sorted(p for p in pieces if len(p) <= PIECE and p == p.lower() and re.fullmatch(r"▁?[^\W\d_]*", p) and p)
+    return sorted(p for p in pieces if p == p.lower() and re.fullmatch(r"▁?[^\W\d_]*", p) and p)
 
 
 def words_of(chunk: str) -> list[str]:
-    """The runs of letters of a lower-case chunk, long ones cut."""
+    """The runs of letters of a lower-case chunk."""
     found = _WORDS(chunk)
     if not chunk.isascii() and not all(map(str.isalpha, found)):  # numerals such as a superscript two are no letters
         found = [w for w in ("".join(filter(str.isalpha, w)) for w in found) if w]
-    if len(chunk) > LONGEST and any(len(w) > LONGEST for w in found):
-        found = [w[k : k + LONGEST] for w in found for k in range(0, len(w), LONGEST)]
     return found
 
 
@@ -80,6 +78,8 @@ class Pieces:
         self.number = np.fromiter(number.values(), np.int64, len(number))
         self.find = common.Lookup(keys)
         self.size = len(self.names) + 1
+        self.longest = max(map(len, self.names), default=1)
+        self.by_name: dict[str, int] = {}
 
     def spans(self, words: list[str]) -> tuple[int, dict[tuple[int, int], np.ndarray]]:
         """For words of one length, each with its mark: number of characters, and (from, to) -> piece numbers or -1."""
@@ -88,7 +88,7 @@ class Pieces:
         out = {}
         for i in range(n):
             left, h = np.arange(len(words)), np.zeros(len(words), np.uint64)
-            for j in range(i, min(n, i + PIECE)):
+            for j in range(i, min(n, i + self.longest)):
                 h = h * _B + chars[left, j]
                 got = self.find(h)
                 go = got >= 0
@@ -129,9 +129,33 @@ def by_length(words: list[str], most: int = 8_000):
             yield same[k : k + most]
 
 
+def long_score(pieces: Pieces, p: np.ndarray, word: str) -> np.ndarray:
+    """[language] natural log-probability of one long word: the forward sum, brought back to a sum of 1 at each place."""
+    if not pieces.by_name:
+        pieces.by_name = {x: k for k, x in enumerate(pieces.names)}
+    number, most, none = pieces.by_name, pieces.longest, pieces.size - 1
+    word = _MARK + word
+    alpha, log = [np.ones(p.shape[1])], np.zeros(p.shape[1])  # alpha: of the last places, the newest last
+    for j in range(1, len(word) + 1):
+        now = alpha[-1] * p[number.get(word[j - 1], none)]
+        for k in range(2, min(j, most) + 1):
+            if (piece := number.get(word[j - k : j])) is not None:
+                now = now + alpha[-k] * p[piece]
+        alpha = [x / now for x in alpha[1 - most :]] + [np.ones(len(now))]
+        log += np.log(now)
+    return log
+
+
 def word_scores(pieces: Pieces, p: np.ndarray, words: list[str]) -> np.ndarray:
     """[word, language] natural log-probabilities; p as from probabilities()."""
     out = np.zeros((len(words), p.shape[1]))
+    short = [k for k, w in enumerate(words) if len(w) <= LONGEST]
+    if len(short) < len(words):
+        out[short] = word_scores(pieces, p, [words[k] for k in short])
+        for k, w in enumerate(words):
+            if len(w) > LONGEST:
+                out[k] = long_score(pieces, p, w)
+        return out
     for part in by_length(words):
         n, spans = pieces.spans([words[k] for k in part])
         out[part] = np.log(np.maximum(forward(n, spans, p, len(part))[n], 1e-300))
@@ -171,23 +195,39 @@ def loaded(path: str) -> Pieces:
     return _PIECES[path]
 
 
-def fitted(labelled: DataFrame, path: str | None = None, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, log shares and piece probabilities from rows with text and language, SAMPLE of them at most."""
+def cut(n: int) -> int:
+    """The hash that about twice SAMPLE of n rows are at or below; the highest if there are no more."""
+    return min(2**63 - 1, 2**65 * SAMPLE // max(n, 1) - 2**63)
+
+
+def training_rows(rows: DataFrame, n: dict[str, int]) -> DataFrame:
+    """id, text, lang -> text, lang: SAMPLE rows of each language, all if it has fewer, in the order of a hash of id and text.
+
+    n has the rows of each language. A first cut at a hash that twice SAMPLE rows are below keeps the ranking small. Rows alike count as one.
+    """
+    h = F.xxhash64("id", "text")
+    least = F.create_map(*[x for lang, k in n.items() for x in (F.lit(lang), F.lit(cut(k)).cast("long"))])
+    few = rows.withColumn("h", h).where(F.col("h") <= F.element_at(least, F.col("lang")))
+    one = few.groupBy("lang", "h").agg(F.first("text").alias("text"))  # rows of one hash are alike
+    return one.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= SAMPLE).select("text", "lang")
+
+
+def fitted(labelled: DataFrame, path: str | None = None, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, log shares and piece probabilities from rows with text and language, SAMPLE of each language at most."""
     path = path or default_path()
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     share = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()
     langs, n = [x.lang for x in share], np.array([x.n for x in share], float)
     if not langs:
         return [], np.zeros(0), np.zeros((1, 0))
     number = {x: k for k, x in enumerate(langs)}
-    # texts are taken by a hash threshold, the same share of each language, so that no sort of all rows is needed
-    taken = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / n.sum())))
+    taken = training_rows(rows, {x.lang: x.n for x in share})
 
     def count(batches):
         counts: Counter = Counter()
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), common.texts(batch), strict=True):
-                counts.update((lang, w) for chunk in text.lower().split() for w in words_of(chunk))
+                counts.update((lang, w[k : k + LONGEST]) for chunk in text.lower().split() for w in words_of(chunk) for k in range(0, len(w), LONGEST))
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(counts.values(), pa.int64())], ["lang", "word", "n"])
 
     words = common.written(common.by_arrow(taken, count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")

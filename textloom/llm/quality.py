@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from textloom.llm import common, toxicity
 
 BLOCK, LEVEL, DICTIONARY = 256, 3, 110 << 10
-#: Labelled training texts of each label, at most: for the dictionaries, and as many again for the fit.
+#: Labelled ids of each label, at most, half for the dictionaries and half for the fit; toxicity.sample states the bounds on bytes.
 SAMPLE = {0: 2400, 1: 2400}
 
 

@@ -23,7 +23,7 @@ from itertools import chain, combinations, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import common
@@ -33,8 +33,9 @@ DECAY, LONGEST, ALPHABET = 0.45, 22, 64
 LANDMARKS, ROUNDS = (160, 40, 80), 5
 #: Tokens that a worker remembers.
 KEPT = 200_000
-#: Labelled training texts of each label, at most, in the order of a hash of the id, and their length in bytes, at most.
-SAMPLE, SAMPLE_BYTES = {1: 1500, 0: 2500}, 16_000
+#: Labelled ids to train on, of each label, at most, in the order of a hash of the id; bytes of their texts of each label together,
+#: about at most; bytes of a single one, at most.
+SAMPLE, SAMPLE_BYTES, LONGEST_SAMPLE = {1: 1500, 0: 2500}, 32 << 20, 1 << 20
 _SENTENCES = re.compile(r"[.!?\n]+\s").split
 _EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»“”„‘’…"
 
@@ -274,14 +275,21 @@ def trained(rows: list[tuple[str, int]]) -> Model | None:
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sizes: dict[int, int] = SAMPLE) -> list[tuple[str, int]]:
-    """So many labelled texts of each label: the ids come from the labels alone, so the texts need no shuffle."""
+    """So many labelled texts of each label, in the order of a hash of the id, up to SAMPLE_BYTES bytes together.
+
+    The ids come from the labels alone, so only the sample's texts are shuffled. An id with several texts gives one of them, however many rows
+    it has; an id with both labels teaches nothing; texts over LONGEST_SAMPLE bytes are passed over.
+    """
     ids = None
     for y, n in sizes.items():
         part = labels.where(F.col(label_col) == y).select(F.col(id_col).alias("i")).distinct().orderBy(F.xxhash64("i"), "i").limit(n).withColumn("y", F.lit(y))
         ids = part if ids is None else ids.unionByName(part)
-    ids = ids.groupBy("i").agg(F.min("y").alias("y"), F.count("*").alias("n")).where("n = 1")
-    rows = docs.where(F.octet_length(text_col) <= SAMPLE_BYTES).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    got = rows.join(F.broadcast(ids), "i").select("i", "t", "y").toArrow().to_pydict()
+    ids = ids.groupBy("i").agg(F.min("y").alias("y"), F.count("*").alias("n")).where("n = 1").drop("n")
+    rows = docs.where(F.octet_length(text_col) <= LONGEST_SAMPLE).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    one = rows.join(F.broadcast(ids), "i").groupBy("i", "y").agg(F.min("t").alias("t"))
+    before = Window.partitionBy("y").orderBy(F.xxhash64("i"), "i").rowsBetween(Window.unboundedPreceding, -1)
+    taken = one.withColumn("b", F.coalesce(F.sum(F.octet_length("t")).over(before), F.lit(0))).where(F.col("b") < SAMPLE_BYTES)
+    got = taken.select("i", "t", "y").toArrow().to_pydict()
     return [(t, y) for _, t, y in sorted(zip(got["i"], got["t"], got["y"], strict=True))]
 
 
