@@ -159,42 +159,46 @@ def _runs(of: np.ndarray, values: np.ndarray):
         yield int(of[a]), values[a:b]
 
 
-def item_groups(items: DataFrame, id_col: str = "item_id", text_col: str = "text"):
-    """The benchmark in groups of about ITEM_BYTES, each small enough to broadcast."""
-    total = items.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+def distinct_items(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """__item (a hash of the text), text of each distinct text; equal items are searched once."""
+    return items.where(F.col(text_col).isNotNull()).groupBy(F.xxhash64(text_col).alias("__item")).agg(F.first(text_col).alias(text_col))
+
+
+def item_groups(items: DataFrame, text_col: str = "text"):
+    """The distinct texts of the benchmark in groups of about ITEM_BYTES, each small enough to broadcast."""
+    once = distinct_items(items, text_col=text_col)
+    total = once.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = total // ITEM_BYTES + 1
     for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64(text_col), F.lit(n)) == k)
-        got = part.select(id_col, text_col).toArrow()
-        yield Items(got.column(0).to_pylist(), [x or "" for x in got.column(1).to_pylist()])
+        part = once if n == 1 else once.where(F.pmod(F.xxhash64("__item"), F.lit(n)) == k)
+        got = part.toArrow()
+        yield Items(got.column(0).to_pylist(), got.column(1).to_pylist())
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """id_col, item_id, shared and n_shingles (distinct shingles in both, and in the item), containment of each found pair."""
-    id_kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
-    schema = f"`{id_col}` {id_kind}, item_id {item_kind}, shared bigint, n_shingles bigint, containment double"
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, __item bigint, shared bigint, n_shingles bigint, containment double"
     out = None
-    for group in item_groups(items, item_col):
+    for group in item_groups(items):
         shipped = docs.sparkSession.sparkContext.broadcast(group)
 
         def run(batches, shipped=shipped):
             it, hashes = shipped.value, WordHashes()
-            kind = None
             for batch in batches:
                 for b in common.pieces(batch, text_col):
-                    kind = kind or pa.array(it.ids).type
                     pairs = it.pairs(common.texts(b, text_col), hashes)
                     size = [len(it.shingles[i]) for _, i, _ in pairs]
-                    yield pa.RecordBatch.from_arrays([b.column(id_col).take(pa.array([t for t, _, _ in pairs], pa.int64())), pa.array([it.ids[i] for _, i, _ in pairs], kind if len(it.ids) else pa.int64()), pa.array([s for _, _, s in pairs], pa.int64()), pa.array(size, pa.int64()), pa.array([s / n for (_, _, s), n in zip(pairs, size, strict=True)], pa.float64())], [id_col, "item_id", "shared", "n_shingles", "containment"])
+                    yield pa.RecordBatch.from_arrays([b.column(id_col).take(pa.array([t for t, _, _ in pairs], pa.int64())), pa.array([it.ids[i] for _, i, _ in pairs], pa.int64()), pa.array([s for _, _, s in pairs], pa.int64()), pa.array(size, pa.int64()), pa.array([s / n for (_, _, s), n in zip(pairs, size, strict=True)], pa.float64())], [id_col, "__item", "shared", "n_shingles", "containment"])
 
         part = common.by_arrow(docs.select(id_col, text_col), run, schema)
         out = part if out is None else out.unionByName(part)
-    return out
+    ids = items.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("__item"), F.col(item_col).alias("item_id"))
+    return out.join(ids, "__item").select(id_col, "item_id", "shared", "n_shingles", "containment")
 
 
-def cleaned(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def cleaned(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all columns, that hold no item."""
-    for group in item_groups(items, item_col):
+    for group in item_groups(items):
         shipped = docs.sparkSession.sparkContext.broadcast(group)
 
         def keep(hashes, texts, shipped=shipped):
