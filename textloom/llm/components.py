@@ -16,11 +16,10 @@ def _mark(df: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """edges (u, v) of longs -> (u, root): for each vertex but the roots, the least vertex that it reaches.
 
-    Self-loops and repeated edges do no harm; an empty table gives an empty table. Each round ends in a checkpoint, so
-    the plan stays short and lost executors cost no earlier round; only a count and a sum come to the driver.
+    Self-loops and repeated edges do no harm; an empty table gives an empty table. Each round ends in a written table, so
+    the plan stays short and lost executors cost no earlier round; the table before goes. Only a count and a sum come to the driver.
     """
-    common.shared_dir(edges.sparkSession)
-    now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
+    now = common.written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -28,7 +27,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        now = small.where("u <> v").distinct().checkpoint()
+        past = common.last_written()
+        now = common.written(small.where("u <> v").distinct(), "edges")
+        common.remove(edges.sparkSession, past)
         before, mark = mark, _mark(now)
         if mark == before:
             break

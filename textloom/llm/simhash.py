@@ -200,7 +200,7 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
 
 def clustered(prints: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """prints (id_col, fp, ...) -> the same with component_id, the least id that is reachable by links, and root, which names the component even where ids repeat."""
-    fps = prints.groupBy("fp").agg(F.min(id_col).alias("least")).checkpoint()
+    fps = common.written(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-least")
     roots = components(links(fps.select("fp"))).select(F.col("u").alias("fp"), "root")
     whole = fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = whole.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -209,26 +209,28 @@ def clustered(prints: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, fingerprint (16 hex digits), component_id of each row."""
-    common.shared_dir(df.sparkSession)
-    prints = fingerprints(df, id_col, text_col).drop("text_hash").checkpoint()
+    prints = common.written(fingerprints(df, id_col, text_col).drop("text_hash"), "simhash-prints")
     return clustered(prints, id_col).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df with one row of each component, that of its least id; of rows that are alike one stays."""
-    common.shared_dir(df.sparkSession)
-    prints = fingerprints(df, id_col, text_col).checkpoint()
+    prints = common.written(fingerprints(df, id_col, text_col), "simhash-prints")
     groups = clustered(prints, id_col)
     kept = groups.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("x"), F.col(id_col).alias("i"), F.col("text_hash").alias("h"))).alias("k"))
     return rows_of(df, kept.select(F.col("k.i").alias("__i"), F.col("k.h").alias("__h")), id_col, text_col)
 
 
 def rows_of(df: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of df with an id and a text hash of kept (__i, __h); of rows that are alike one."""
-    rows = df.withColumn("__t", F.xxhash64(text_col))
-    one = Window.partitionBy(id_col, "__t").orderBy(F.lit(0))
-    joined = rows.join(kept, rows[id_col].eqNullSafe(kept["__i"]) & (rows["__t"] == kept["__h"]), "left_semi")
-    return joined.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*df.columns)
+    """The rows of df with an id and a text hash of kept (__i, __h); of rows alike in both the one with the least hash of all its columns.
+
+    Hashes of id and text are the only keys, so the join and the choice share one shuffle, and null ids need no case of their own.
+    """
+    keys = ["__a", "__t"]
+    rows = df.withColumns({"__a": F.xxhash64(id_col), "__t": F.xxhash64(text_col)})
+    wanted = kept.select(F.xxhash64("__i").alias("__a"), F.col("__h").alias("__t"))
+    one = Window.partitionBy(*keys).orderBy(F.xxhash64(*df.columns))
+    return rows.join(wanted, keys, "left_semi").withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*df.columns)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
