@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ NODES, WORDS = 1 << 21, 1 << 20
 START, END, SPACE = b"\n", b"\r", b" "
 ALPHABET = 257
 #: Distinct tokens, distinct windows that a task holds before it sends their counts on; places that are worked on at once.
-HELD, HELD_WINDOWS, BLOCK = 300_000, 3 << 19, 1 << 20
+HELD, HELD_WINDOWS, BLOCK = 300_000, 3 << 19, 1 << 19
 #: Contexts go to the workers by steps of a quarter of a power of two of their counts.
 STEPS = 4
 
@@ -281,6 +282,7 @@ class Frequent:
         if self.hashed is None:
             _, own, count, c, whole, *_ = self.orders[ORDER]
             self.hashed = Hashed(own, np.log10((count - DISCOUNT) / whole[np.searchsorted(c, own >> 8)]) if len(c) else count)
+            self.orders[ORDER] = (self.orders[ORDER][0], own[:0], count[:0], *self.orders[ORDER][3:])  # a byte that its longest context has is in the table
         logp, at = self.hashed(w)
         if not len(at):
             return logp, at
@@ -305,8 +307,11 @@ class Frequent:
             there = np.flatnonzero(found)
             x, at = x[there], at[there]
             if len(there):
-                node = np.minimum(np.searchsorted(own, x), len(own) - 1)
-                state.step(there, np.where(own[node] == x, count[node], 0.0), whole[at], kinds[at], taken[at])
+                n = np.zeros(len(x))
+                if len(own):
+                    node = np.minimum(np.searchsorted(own, x), len(own) - 1)
+                    n = np.where(own[node] == x, count[node], 0.0)
+                state.step(there, n, whole[at], kinds[at], taken[at])
         return state.closed(), lacking
 
 
@@ -344,21 +349,22 @@ def scored(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches):
         numbers, base, trie = shipped.value
-        frequent = len(numbers)
         for batch in batches:
             for b in common.pieces(batch, text_col, BLOCK):
                 texts = list(map(tokens, common.raw_texts(b, text_col)))
-                index = common.Index(numbers)
-                rows = [np.fromiter(map(index.__getitem__, t), np.int64, len(t)) for t in texts]
-                rare_words = list(index)[frequent:]
-                n = len(rows)
-                sizes = np.fromiter(map(len, rows), np.int64, n)
-                flat, of = np.concatenate(rows), np.repeat(np.arange(n), sizes)
-                rare = flat >= frequent
-                known = np.bincount(of[~rare], minlength=n)
-                sums = np.bincount(of[~rare], base[flat[~rare]], n).astype(float)  # without any, NumPy makes them whole numbers
+                n = len(texts)
+                sizes = np.fromiter(map(len, texts), np.int64, n)
+                every, of = list(chain.from_iterable(texts)), np.repeat(np.arange(n), sizes)
+                number = np.fromiter(map(numbers.get, every, repeat(-1)), np.int64, len(every))
+                rare = np.flatnonzero(number < 0)
+                index = common.Index()
+                word_of = np.fromiter(map(index.__getitem__, map(every.__getitem__, rare.tolist())), np.int64, len(rare))
+                rare_words = list(index)
+                common_of, number = of[number >= 0], number[number >= 0]
+                known = np.bincount(common_of, minlength=n)
+                sums = np.bincount(common_of, base[number], n).astype(float)  # without any, NumPy makes them whole numbers
                 kinds = max(1, len(rare_words))
-                pair, times = np.unique(of[rare] * kinds + flat[rare] - frequent, return_counts=True)
+                pair, times = np.unique(of[rare] * kinds + word_of, return_counts=True)
                 owner, word = np.divmod(pair, kinds)
                 score, open_text, open_window, open_n = np.zeros(n), [], [], []
                 for w, text in windows(texts):
