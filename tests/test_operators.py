@@ -135,7 +135,7 @@ def test_metrics_of_known_graphs(spark):
     assert directed["b"] == round(2 / 6, 6)
     lone = spark.createDataFrame([("z",), ("a",)], "node string")
     m = {x.node: x for x in metrics.graph_metrics(path, "g", vertices=lone, with_eigenvector=True).collect()}
-    assert m["z"].degree == 0 and m["z"].community is None and m["a"].degree == 1
+    assert m["z"].degree == 0 and m["z"].community == 2 and m["a"].degree == 1
 
 
 def test_graph_of_posts_and_comments(spark):

@@ -105,17 +105,17 @@ def usable(c: Column, stopwords: list[str], min_length: int = 15, compose: bool
 def detection_text(c: Column, compose: bool = True) -> Column:
     """For language detection: without emoji, links, mentions, hashtags and signs, lower-case."""
     out = _composed(F.coalesce(c, F.lit("")), compose)
-    for pattern in (EMOJI + "+", URL, r"@[\p{L}\p{N}_]+", HASHTAG, r"[^\p{L}\p{N}_\s]"):
+    for pattern in (EMOJI + "+", URL, r"@[\p{L}\p{N}_]+", HASHTAG, r"[^\p{L}\p{N}_]+"):  # the last takes signs and space alike
         out = F.regexp_replace(out, pattern, " ")
-    return F.lower(collapsed(out))
+    return F.lower(F.trim(out))
 
 
 def letter_count(c: Column) -> Column:
-    return F.length(F.regexp_replace(c, LETTER.replace("[", "[^", 1), ""))
+    return F.length(F.regexp_replace(c, LETTER.replace("[", "[^", 1) + "+", ""))
 
 
 def emoji_share(c: Column) -> Column:
     raw = F.coalesce(c, F.lit(""))
-    found = F.length(raw) - F.length(F.regexp_replace(raw, EMOJI, ""))
+    found = F.length(raw) - F.length(F.regexp_replace(raw, EMOJI + "+", ""))
     size = F.length(stripped(raw))
     return F.when(size == 0, F.lit(0.0)).otherwise(found / size)

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 #: White space in the Unicode sense.
 SPACE = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: The same characters one by one, for cutting at both ends without a pattern.
+SPACES = "\t\n\x0b\f\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 def stripped(c: Column) -> Column:
     """Without white space at both ends, in the Unicode sense; null becomes empty."""
-    return F.coalesce(F.regexp_replace(c.cast("string"), f"^{SPACE}+|{SPACE}+$", ""), F.lit(""))
+    return F.coalesce(F.btrim(c.cast("string"), F.lit(SPACES)), F.lit(""))
 
 
 def or_null(c: Column) -> Column:
@@ -42,12 +44,18 @@ def count_value(c: Column) -> Column:
     return F.greatest(number(c).cast("long"), F.lit(0).cast("long"))
 
 
+def epoch_time(seconds: Column) -> Column:
+    """Seconds since 1970 as a timestamp without zone, in UTC whatever the session's zone is."""
+    days = F.floor(seconds / 86400).cast("int")
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(days, F.lit(0), F.lit(0), (seconds - days * F.lit(86400).cast("long")).cast("decimal(18,6)"))
+
+
 def iso_time(c: Column) -> Column:
     """10 to 13 digits are seconds or, over 10,000,000,000, milliseconds since 1970, shown as ISO 8601 in UTC; other text stays."""
     text = stripped(c)
     raw = F.when(text.rlike(r"^\d{10,13}$"), text.try_cast("long"))
     seconds = F.when(raw > 10_000_000_000, F.floor(raw / 1000)).otherwise(raw)
-    shown = F.concat(F.date_format(F.timestamp_seconds(seconds).cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+    shown = F.concat(F.date_format(epoch_time(seconds), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
     return F.coalesce(shown, text)
 
 
@@ -55,7 +63,8 @@ def published_at(c: Column) -> Column:
     """A time of publication as timestamp without zone: digits are an epoch, ISO text loses its offset unconverted, all else is null."""
     text = stripped(c)
     raw = F.when(text.rlike(r"^\d+$"), text.try_cast("long"))
-    epoch = F.timestamp_seconds(F.when(raw > 10_000_000_000, F.floor(raw / 1000)).otherwise(raw)).cast("timestamp_ntz")
+    seconds = F.when(raw > 10_000_000_000, F.floor(raw / 1000)).otherwise(raw)
+    epoch = F.when(seconds <= 253_402_300_799, epoch_time(seconds))  # up to the year 9999
     # a date is followed by nothing or by a time; other forms that a cast would read are not dates here
     iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"), F.regexp_replace(text, r"(Z|(?<=:\d{2}|\.\d{1,9})[+-]\d{2}:?\d{2})$", "").try_cast("timestamp_ntz"))
     return F.coalesce(epoch, iso)
@@ -89,6 +98,6 @@ def truthy(c: Column) -> Column:
     return F.lower(stripped(c)).isin("1", "true", "yes", "si", "sí", "y")
 
 
-def with_columns(df: DataFrame, names: list[str]) -> DataFrame:
-    """Exactly the named columns, as text: missing ones are empty, others are dropped."""
-    return df.select(*[F.coalesce(F.col(f"`{n}`").cast("string"), F.lit("")).alias(n) if n in df.columns else F.lit("").alias(n) for n in names])
+def with_columns(df: DataFrame, names: list[str], more: tuple[str, ...] = ()) -> DataFrame:
+    """Exactly the named columns, as text: missing ones are empty, others are dropped, but for those in more, which stay as they are."""
+    return df.select(*more, *[F.coalesce(F.col(f"`{n}`").cast("string"), F.lit("")).alias(n) if n in df.columns else F.lit("").alias(n) for n in names])

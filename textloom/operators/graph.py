@@ -17,13 +17,30 @@ def _edges(df: DataFrame, source: Column, target: Column, kind: Column | str, we
     return df.select(source.alias("source"), target.alias("target"), (F.lit(kind) if isinstance(kind, str) else kind).alias("edge_type"), weight.cast("double").alias("weight"))
 
 
+#: Members of a group that one task pairs with as many others; larger groups are dealt into blocks, and each two blocks meet apart.
+BLOCK = 2000
+
+
 def pairs(df: DataFrame, group: str, member: str, least: int = 1) -> DataFrame:
-    """a < b and weight, the number of groups that hold both, from least on. An equi-join on the group with an order on the members:
-    each pair is made once, and counted before the shuffle."""
-    rows = df.select(F.col(group).alias("g"), F.col(member).alias("m")).distinct()
-    a, b = rows.withColumnRenamed("m", "a"), rows.withColumnRenamed("m", "b")
-    counted = a.join(b, "g").where("a < b").groupBy("a", "b").agg(F.count("*").alias("weight"))
-    return counted.where(F.col("weight") >= least) if least > 1 else counted
+    """a < b and weight, the number of groups that hold both, from least on.
+
+    Members are 64-bit hashes within, so the join and the counts carry numbers; each pair is made once, and counted before the shuffle. With
+    least over 1, members of fewer groups go before the join. Groups over BLOCK members are paired block by block.
+    """
+    rows = df.select(F.col(group).alias("g"), F.col(member).alias("m")).where(F.col("g").isNotNull() & F.col("m").isNotNull()).distinct()
+    if least > 1:
+        rows = rows.join(rows.groupBy("m").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("m"), "m", "left_semi")
+    rows = rows.withColumn("x", F.xxhash64("m"))
+    large = rows.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k")).where("k > 1")
+    dealt = rows.join(large, "g", "left").withColumns({"k": F.coalesce("k", F.lit(1)), "own": F.coalesce(F.pmod(F.shiftright("x", 32), F.col("k")).cast("int"), F.lit(0))})
+    others = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
+    a = dealt.select("g", F.col("own").alias("i"), others.alias("j"), F.col("x").alias("a"))
+    b = dealt.select("g", others.alias("i"), F.col("own").alias("j"), F.col("x").alias("b"))
+    counted = a.join(b, ["g", "i", "j"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("weight"))
+    counted = counted.where(F.col("weight") >= least) if least > 1 else counted
+    names = rows.select("x", "m").distinct()
+    named = counted.join(names.select(F.col("x").alias("a"), F.col("m").alias("ma")), "a").join(names.select(F.col("x").alias("b"), F.col("m").alias("mb")), "b")
+    return named.select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b"), "weight")
 
 
 def tag_pairs(posts: DataFrame, key: str = "post_id", tags_col: str = "hashtags") -> DataFrame:
@@ -74,9 +91,12 @@ def term_similarity(summary: DataFrame, key: str = "cluster_id", terms_col: str
     return shared.select("a", "b", F.round(F.col("c") / (F.col("na") + F.col("nb") - F.col("c")), 4).alias("weight"))
 
 
-def narrative_edges(enriched: DataFrame, summary: DataFrame) -> DataFrame:
-    """Edges from users and profiles to the narratives of their comments, and between like narratives."""
-    named = summary.groupBy(F.col("cluster_id").cast("string").alias("__c")).agg(F.first(F.coalesce(F.col("discourse_category_label"), F.lit(""))).alias("__n"))
+def narrative_edges(enriched: DataFrame, summary: DataFrame, order_col: str | None = None) -> DataFrame:
+    """Edges from users and profiles to the narratives of their comments, and between like narratives.
+
+    Where a cluster has several rows in summary its name is that of the first by order_col, by the label without one."""
+    order = [F.col(c) for c in ((order_col,) if order_col else ()) + ("discourse_category_label",)]
+    named = summary.groupBy(F.col("cluster_id").cast("string").alias("__c")).agg(F.min_by(F.coalesce(F.col("discourse_category_label"), F.lit("")), F.struct(*order)).alias("__n"))
     j = enriched.join(named, enriched["cluster_id"].cast("string") == named["__c"], "left")
     name = F.coalesce(F.nullif(stripped(F.col("__n")), F.lit("")), F.concat(F.lit("narrativa_"), F.col("cluster_id").cast("string")))
     out = []

@@ -28,8 +28,8 @@ def upsert(old: DataFrame, new: DataFrame, key: str, columns: list[str] | None =
     order_col says what comes last within new and old; without it their physical order does. With columns, the result has exactly these, as text.
     """
     order = F.col(order_col) if order_col else F.monotonically_increasing_id()
-    shape = (lambda d: with_columns(d, columns)) if columns else (lambda d: d)
-    sides = [shape(d).withColumn("__side", F.lit(k)).withColumn("__o", order if not columns or order_col in (columns or []) or order_col is None else F.lit(0)) for k, d in enumerate((old, new))]
+    ordered = [d.withColumns({"__side": F.lit(k), "__o": order}) for k, d in enumerate((old, new))]  # the order may be none of columns
+    sides = [with_columns(d, columns, ("__side", "__o")) for d in ordered] if columns else ordered
     both = sides[0].unionByName(sides[1], allowMissingColumns=True)
     return keep_last(both, key, [F.col("__side"), F.col("__o")]).drop("__side", "__o")
 

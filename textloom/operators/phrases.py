@@ -12,7 +12,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textloom.functions.text import WORD_CHAR
-from textloom.functions.values import SPACE
 
 _ONE_WORD = re.compile(r"\w+")
 
@@ -48,10 +47,10 @@ def single_words(phrases: list[tuple[int, str]]) -> list[str]:
     return [p for _, p in phrases if _ONE_WORD.fullmatch(p)]
 
 
-def words_before(text: Column, entry: Column) -> Column:
-    """The white-space tokens before an entry's first place."""
+def last_words_before(text: Column, entry: Column, n: int) -> Column:
+    """The last n tokens before an entry's first place in a text with single spaces between its tokens, as plain_text gives it."""
     at = F.when(entry.kind == 1, F.position(entry.phrase, text)).otherwise(F.regexp_instr(text, entry.pattern))
-    return F.filter(F.split(F.substr(text, F.lit(1), at - 1), SPACE + "+"), lambda w: w != "")
+    return F.split(F.substring_index(F.rtrim(F.substr(text, F.lit(1), at - 1)), " ", -n), " ")
 
 
 def any_of_last(tokens: Column, n: int, listed: list[str]) -> Column:

@@ -44,7 +44,7 @@ def _lexicon_hits(text: Column, language: Column, lexicon: SentimentLexicon, lan
             signal = F.concat(F.when(negated, F.lit("-negated_")).otherwise(F.lit("+")), name, e.phrase)
             return F.struct((F.when(negated, -e.tag).otherwise(e.tag) * weight).alias("w"), signal.alias("s"))
 
-        return _let(P.words_before(text, e), body)
+        return _let(P.last_words_before(text, e, max(NEGATION_WINDOW, INTENSIFIER_WINDOW)), body)
 
     return F.transform(found, weighed)
 

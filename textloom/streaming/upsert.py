@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,28 +9,42 @@ from pyspark.sql.streaming import StreamingQuery
 from textloom.operators.merge import keep_last
 from textloom.sources.tables import exists
 
-POINTER = "_current"
+#: Versions that stay, so that readers of an older one can end.
+KEPT = 3
 
 
 class VersionedTable:
-    """A Parquet table in versions; a small pointer file names the one that counts, and readers keep theirs while a new one is written."""
+    """A Parquet table in numbered versions. The greatest one that was written to its end counts: a version is there as a whole or not at
+    all, whatever breaks off, and readers keep theirs while a new one is written. One job at a time writes."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _versions(self) -> list[tuple[str, bool]]:
+        """Names of the versions, in order, and whether each was written to its end."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return []
+        names = sorted(x.getPath().getName() for x in fs.listStatus(root) if x.getPath().getName().startswith("v-"))
+        return [(n, exists(self.spark, f"{self.path}/{n}/_SUCCESS")) for n in names]
+
     def version(self) -> str | None:
-        if not exists(self.spark, f"{self.path}/{POINTER}"):
-            return None
-        return self.spark.read.text(f"{self.path}/{POINTER}").first()[0]
+        return max((n for n, whole in self._versions() if whole), default=None)
 
     def read(self) -> DataFrame | None:
         v = self.version()
         return self.spark.read.parquet(f"{self.path}/{v}") if v else None
 
     def replace(self, df: DataFrame) -> None:
-        name = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{name}")
-        self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/{POINTER}")
+        there = self._versions()
+        number = 1 + max((int(n.split("-")[1]) for n, _ in there), default=0)
+        df.write.parquet(f"{self.path}/v-{number:012d}")
+        whole = [n for n, done in there if done]
+        for n, done in there:
+            if not done or n in whole[: 1 - KEPT]:
+                p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}")
+                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def merge_batch(table: VersionedTable, batch: DataFrame, batch_id: int, key: str, order_col: str) -> None:
