@@ -93,10 +93,13 @@ class Taxonomy:
             out.append(Category(c.id, c.label, c.priority, terms, c.description))
         return Taxonomy(out, self.version)
 
+    def json(self, indent: int | None = None) -> str:
+        body = {"version": self.version, "source": "discourse_taxonomy", "categories": [vars(c) for c in self.categories]}
+        return json.dumps(body, ensure_ascii=False, indent=indent)
+
     def save(self, path: str | Path) -> None:
         Path(path).parent.mkdir(parents=True, exist_ok=True)
-        body = {"version": self.version, "source": "discourse_taxonomy", "categories": [vars(c) for c in self.categories]}
-        Path(path).write_text(json.dumps(body, ensure_ascii=False, indent=2), encoding="utf-8")
+        Path(path).write_text(self.json(2), encoding="utf-8")
 
     def label(self, i: str) -> str:
         return next((c.label for c in self.categories if c.id == i), i)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
@@ -60,7 +60,9 @@ def keyword_shares(sample: Column, rules: LanguageRules = DEFAULT_RULES) -> Colu
         total = sum(points[1:], points[0])
         return F.create_map(*[x for lang, p in zip(rules.keywords, points, strict=True) for x in (F.lit(lang), F.when(total == 0, 0.0).otherwise(p / total))])
 
-    return _let(F.regexp_extract_all(sample, F.lit(WORD_CHAR + "+"), F.lit(0)), body)
+    every = sorted({w for listed in rules.keywords.values() for w in listed})
+    found = F.filter(F.regexp_extract_all(sample, F.lit(WORD_CHAR + "+"), F.lit(0)), _among(every))
+    return _let(found, body)  # of all words only the keywords are looked at language by language
 
 
 def detected(text: Column, statistical: Column | None = None, rules: LanguageRules = DEFAULT_RULES, compose: bool = True) -> Column:
@@ -132,16 +134,34 @@ def judged(df: DataFrame, text_col: str = "comment_text", statistical: Column |
     return df.where(stripped(F.col(text_col)) != "").select("*", F.explode(F.array(found)).alias("detection"))
 
 
-def filtered(df: DataFrame, wanted: list[str] | None, text_col: str = "comment_text", min_confidence: float = MIN_CONFIDENCE, min_margin: float = MIN_MARGIN, keep_unknown: bool = False, statistical: Column | None = None, rules: LanguageRules = DEFAULT_RULES, compose: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Kept rows with language and confidence, and excluded rows with the reason and their text cut."""
-    d = judged(df, text_col, statistical, rules, compose)
+def split(d: DataFrame, columns: list[str], wanted: list[str] | None, text_col: str = "comment_text", min_confidence: float = MIN_CONFIDENCE, min_margin: float = MIN_MARGIN, keep_unknown: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Judged rows (with `detection`) into kept ones, of the named columns with language and confidence, and excluded ones with the reason and their text cut.
+
+    Both sides read d: a plan that writes both writes d first, so that detection runs once.
+    """
     ok = allowed(F.col("detection"), wanted, min_confidence, min_margin, keep_unknown)
-    kept = d.where(ok).select(*[c for c in df.columns if c not in ("language", "language_confidence")], F.col("detection.language").alias("language"), F.col("detection.confidence").alias("language_confidence"))
-    ids = [c for c in ("comment_id", "post_id") if c in df.columns]
+    kept = d.where(ok).select(*[c for c in columns if c not in ("language", "language_confidence")], F.col("detection.language").alias("language"), F.col("detection.confidence").alias("language_confidence"))
+    ids = [c for c in ("comment_id", "post_id") if c in columns]
     out = d.where(~ok).select(*ids, F.col("detection.language").alias("language"), F.col("detection.confidence").alias("language_confidence"), rendered_scores(F.col("detection.scores")).alias("language_scores"), F.substring(text_col, 1, CUT).alias("comment_text"), reason(F.col("detection"), wanted, min_confidence, min_margin).alias("exclusion_reason"))
     return kept, out
 
 
+def filtered(df: DataFrame, wanted: list[str] | None, text_col: str = "comment_text", min_confidence: float = MIN_CONFIDENCE, min_margin: float = MIN_MARGIN, keep_unknown: bool = False, statistical: Column | None = None, rules: LanguageRules = DEFAULT_RULES, compose: bool = True) -> tuple[DataFrame, DataFrame]:
+    """judged and split in one."""
+    return split(judged(df, text_col, statistical, rules, compose), df.columns, wanted, text_col, min_confidence, min_margin, keep_unknown)
+
+
+def seed_rows(spark: SparkSession, sentences: dict[str, list[str]]) -> DataFrame:
+    """text, lang of sample sentences."""
+    return spark.createDataFrame([(x, lang) for lang, listed in sentences.items() for x in listed], "text string, lang string")
+
+
+def self_labelled(df: DataFrame, text_col: str = "comment_text", rules: LanguageRules = DEFAULT_RULES, least: float = 0.9, compose: bool = True) -> DataFrame:
+    """text, lang of the rows whose keywords alone name a language: long enough, and with the share `least` of all points."""
+    found = df.select(F.col(text_col).alias("text"), F.explode(F.array(detected(F.col(text_col), None, rules, compose))).alias("d"))
+    return found.where((F.col("d.confidence") >= least * KEYWORDS) & F.col("d.language").isin(*rules.keywords) & (F.length("text") >= STATISTICAL_LENGTH)).select("text", F.col("d.language").alias("lang"))
+
+
 def trigram_model(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = 3000) -> DataFrame:
     """lang, gram, logp: the `most` most frequent letter trigrams of each language, with add-one weights."""
     grams = labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.explode(_trigrams(F.col(text_col))).alias("gram"))
@@ -156,15 +176,18 @@ def _trigrams(c: Column) -> Column:
     return F.regexp_extract_all(F.concat(F.lit(" "), T.detection_text(c, compose=False), F.lit(" ")), F.lit("(?s)(?=(.{3}))"), F.lit(1))
 
 
-def with_statistics(df: DataFrame, model: DataFrame, key: str, text_col: str = "text", name: str = "statistical") -> DataFrame:
-    """df with a map of probabilities by language. The model has 3000 rows for each language and is broadcast; only keys and sums are shuffled."""
-    grams = df.select(F.col(key).alias("__k"), F.explode(_trigrams(F.col(text_col))).alias("gram")).groupBy("__k", "gram").agg(F.count("*").alias("c"))
+def with_statistics(df: DataFrame, model: DataFrame, text_col: str = "text", name: str = "statistical") -> DataFrame:
+    """df with a map of probabilities by language. The model has 3000 rows for each language and is broadcast; of a text only its hash and sums are shuffled, and equal
+    texts are one."""
+    key = F.xxhash64(text_col)
+    grams = df.select(key.alias("__k"), F.explode(F.array_append(_trigrams(F.col(text_col)), F.lit(""))).alias("gram")).groupBy("__k", "gram").agg(F.count("*").alias("c"))
     floors = dict(model.groupBy("lang").agg(F.min("none")).orderBy("lang").collect())  # a number for each language
     per = model.groupBy("gram").agg(*[F.max(F.when(F.col("lang") == x, F.col("logp"))).alias(f"__l{k}") for k, x in enumerate(floors)])
     scored = grams.join(F.broadcast(per), "gram", "left")
-    sums = scored.groupBy("__k").agg(*[F.sum(F.col("c") * F.coalesce(f"__l{k}", F.lit(floor))).alias(f"__s{k}") for k, floor in enumerate(floors.values())])
+    times = F.max(F.when(F.col("gram") == "", F.col("c")))  # the empty gram counts the rows that have this text
+    sums = scored.groupBy("__k").agg(*[(F.coalesce(F.sum(F.when(F.col("gram") != "", F.col("c") * F.coalesce(f"__l{k}", F.lit(floor)))), F.lit(0.0)) / times).alias(f"__s{k}") for k, floor in enumerate(floors.values())])
     values = F.array(*[F.col(f"__s{k}") for k in range(len(floors))])
     soft = _let(F.array_max(values), lambda top: F.transform(values, lambda v: F.exp(v - top)))
     shares = _let(soft, lambda e: _let(F.aggregate(e, F.lit(0.0), lambda t, x: t + x), lambda t: F.transform(e, lambda v: v / t)))
     named = F.map_from_arrays(F.array(*map(F.lit, floors)), shares)
-    return df.join(sums.select("__k", named.alias(name)), df[key] == F.col("__k"), "left").drop("__k")
+    return df.withColumn("__k", key).join(sums.select("__k", named.alias(name)), "__k", "left").drop("__k")

@@ -62,8 +62,13 @@ def read_raw(spark: SparkSession, path: str, schema: str = RAW_POST) -> DataFram
             own = F.struct((F.col("`owner.id`") if "owner.id" in df.columns else F.lit("")).alias("id"), F.col("`owner.username`").alias("username"))
             df = df.withColumn("owner", own).drop("owner.id", "owner.username")
         return df
+    return _raw_json(spark, [path], schema)
+
+
+def _raw_json(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    """The items of all files, in one scan, with file, modified and place."""
     both = f"struct<{_struct(schema)},collector:array<struct<{_struct(schema)}>>>"
-    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"))
+    whole = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"))
     listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<{both}>")).otherwise(F.array(F.from_json("value", both)))
     item = F.col("item")
     rows = whole.select("file", "modified", F.posexplode(listed).alias("place", "item")).where(item.isNotNull() & (F.to_json(item) != "{}"))
@@ -108,12 +113,12 @@ def import_tags(spark: SparkSession, folder: str, tags: list[str] | None = None,
     if tags is not None:
         latest = latest.where(F.col("tag").isin([t.lower().lstrip("#") for t in tags]))
     paths = dict(latest.select("path", "tag").collect())  # a path for each asked tag
-    out = None
-    for path, tag in sorted(paths.items()):
-        part = read_raw(spark, path).withColumn("tag", F.lit(tag))
-        part = part.where(F.col("place") < most) if most else part
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], f"{RAW_POST}, tag string")
+    if not paths:
+        return spark.createDataFrame([], f"file string, modified timestamp, place int, {RAW_POST}, tag string")
+    items = _raw_json(spark, sorted(paths), RAW_POST)
+    items = items.where(F.col("place") < most) if most else items
+    names = spark.createDataFrame([(Path(p).name, t) for p, t in paths.items()], "name string, tag string")
+    return items.withColumn("name", F.url_decode(F.substring_index("file", "/", -1))).join(F.broadcast(names), "name").drop("name")
 
 
 def shortcodes(raw: DataFrame) -> DataFrame:
@@ -123,9 +128,14 @@ def shortcodes(raw: DataFrame) -> DataFrame:
 
 
 def read_tags(spark: SparkSession, path: str) -> DataFrame:
-    """Tags, one to a line or in the column hashtag, tag or tags; lines that begin with # are remarks, and only what stands before a comma counts."""
-    text = F.regexp_replace("value", "^﻿", "")
+    """Tags, one to a line or in the column hashtag, tag or tags; lines that begin with # are remarks, and of several lines only what stands before a comma counts.
+    A file of a single line lists its tags between commas."""
+    text = F.regexp_replace("value", "^\ufeff", "")
     rows = spark.read.text(path).select(F.trim(text).alias("v"), F.monotonically_increasing_id().alias("o")).where("v <> '' and not startswith(v, '#')")
+    few = [x.v for x in rows.limit(2).collect()]
+    if len(few) == 1 and "," in few[0]:
+        listed = [t for t in dict.fromkeys(tags_of_line(few[0])) if t.lower() not in ("hashtag", "tag", "tags")]
+        return spark.createDataFrame([(t,) for t in listed], "tag string")
     tag = F.trim(F.split("v", ",")[0])
     rows = rows.select(F.regexp_replace(tag, '^"|"$', "").alias("tag"), "o").where("tag <> ''")
     return rows.where(~F.lower("tag").isin("hashtag", "tag", "tags")).groupBy("tag").agg(F.min("o").alias("o")).orderBy("o").select("tag")
