@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 from textloom.operators import filters, merge
-from textloom.plans import catalogue, ingest, publish
+from textloom.plans import catalogue, catalogue_more, commands, ingest, publish
 from textloom.plans.cli import options, parser
 from textloom.sources import payloads, sinks
 
@@ -71,11 +71,18 @@ def test_command_line_and_log():
     assert sinks.corpus_of(None, "/x/output", "/y/My Corpus") == "my_corpus" and sinks.corpus_of("A b", "", "") == "a_b"
 
 
+def test_entry_has_all_queries():
+    import __spark_entry__
+
+    assert set(catalogue.QUERIES) <= set(__spark_entry__.queries()) and "all_nodes" in catalogue_more.C.QUERIES
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_every_query_gives_rows(spark, sf_dir, name):
     df = catalogue.QUERIES[name](spark, sf_dir)
     assert len(set(df.columns)) == len(df.columns)
-    assert df.count() > 0 or name in ("co_actor_edges", "communities", "basket_pairs", "subgraph_min_degree", "pending_posts", "graphml")
+    assert df.count() > 0 or name in ("co_actor_edges", "communities", "basket_pairs", "subgraph_min_degree", "pending_posts", "graphml", "subgraph_without_communities")
 
 
 def test_oracles_agree(spark):
@@ -92,3 +99,33 @@ def test_oracles_agree(spark):
         cols = sorted(df.columns)
         assert cols == sorted(want.columns)
         assert sorted(str(tuple(x[k] for k in cols)) for x in df.collect()) == sorted(str(tuple(dict(zip(want.columns, x, strict=True))[k] for k in cols)) for x in want.fetchall())
+
+
+def test_commands(spark, tmp_path):
+    (tmp_path / "raw").mkdir()
+    items = [{"id": str(k), "shortcode": f"s{k}", "description": "#one #two #three", "owner": {"username": "@u"}, "likes": k, "comments": k, "source_search_hashtag": "One"} for k in range(5)]
+    (tmp_path / "raw" / "hashtag_one.json").write_text(json.dumps(items))
+    (tmp_path / "raw" / "hashtag_two_2024-01-01.json").write_text(json.dumps([{**items[0], "id": "9", "shortcode": "s9"}]))
+    (tmp_path / "tags.csv").write_text("one,two, three\n")
+    base = ["ingest", "--raw-dir", str(tmp_path / "raw"), "--output-dir", str(tmp_path / "out")]
+    a = commands.parser().parse_args([*base, "--hashtag-file", str(tmp_path / "tags.csv"), "--min-likes", "2", "--top-by", "likes", "--keep-top", "2", "--repair-posts"])
+    counts = commands.run_ingest(spark, a)
+    assert counts["posts_added"] == 2 and counts["repaired"] == 0
+    a = commands.parser().parse_args([*base, "--mode", "hashtag", "--query", "#two", "--resume"])
+    assert commands.run_ingest(spark, a)["posts_merged"] == 3
+    assert spark.read.option("header", True).csv(str(tmp_path / "out" / "posts.csv")).count() == 3
+    with pytest.raises(ValueError):
+        commands.run_ingest(spark, commands.parser().parse_args(base))
+    n = spark.createDataFrame([("hashtag:a", "hashtag", "#a"), ("hashtag:b", "hashtag", "#b"), ("hashtag:c", "hashtag", "#c")], "node_id string, node_type string, label string")
+    e = spark.createDataFrame([("hashtag:a", "hashtag:b", "hashtag_cooccurrence", 3.0, 0)], "source string, target string, edge_type string, weight double, ord int")
+    sinks.save_graphml(n, e, str(tmp_path / "graph_hashtags_x.graphml"))
+    path = commands.run_web(spark, commands.parser().parse_args(["web", "--input", str(tmp_path / "graph_hashtags_x.graphml"), "--output", str(tmp_path / "x.json"), "--min-degree", "4"]))
+    doc = json.loads(spark.read.text(path).first().value)
+    assert doc["corpus_id"] == "x" and doc["node_count"] == 3 and doc["community_count"] == 2 and doc["defaults"]["min_degree"] == 4
+    out = sinks.Outputs(spark, str(tmp_path / "analysis" / "first"), "first")
+    out.write("nodes", n)
+    out.write("edges_hashtag", e)
+    a = commands.parser().parse_args(["publish", "--analysis-dir", str(tmp_path / "analysis"), "--output-dir", str(tmp_path / "docs")])
+    assert [x["corpus_id"] for x in json.loads(commands.run_publish(spark, a))["datasets"]] == ["first"]
+    with pytest.raises(FileNotFoundError):
+        commands.run_publish(spark, commands.parser().parse_args(["publish", "--analysis-dir", str(tmp_path / "none")]))

@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import CountVectorizer, Normalizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from textloom.functions import text as T
+from textloom.sources.durable import written
 
 # Sizes of the vocabulary and of what is shown.
 FEATURES, MIN_DF, MAX_DF = 8000, 2, 0.85
 TERMS, REPRESENTATIVES, PROFILES, SHOWN = 12, 3, 5, 200
 SEED, STARTS, ROUNDS = 42, 10, 300
+#: Starts that run at once; places to which scores are compared, so that what is equal but for the order of a sum is a tie.
+PARALLEL, PLACES = 4, 12
 _ACCENTS = ("áàâãäåéèêëíìîïóòôõöúùûüñçý", "aaaaaaeeeeiiiiooooouuuuncy")
 
 
@@ -43,22 +50,41 @@ def terms(text: Column, stopwords: list[str]) -> Column:
     return F.transform(F.array(words), lambda w: F.concat(w, F.when(F.size(w) > 1, F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w)), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))))[0]
 
 
+def vocabulary_of(with_terms: DataFrame, n: int, features: int, min_df: float, max_df: float) -> list[tuple[str, int]]:
+    """The most frequent terms of `__terms` with their numbers of rows, `features` at most; of equally frequent ones those that sort first. One pass and one shuffle."""
+    each = lambda terms, rows, uses: F.transform(terms, lambda t: F.struct(t.alias("t"), F.lit(rows).alias("d"), F.lit(uses).alias("c")))
+    rows = with_terms.select(F.inline(F.concat(each(F.col("__terms"), 0, 1), each(F.array_distinct("__terms"), 1, 0))))
+    counts = rows.groupBy("t").agg(F.sum("d").alias("d"), F.sum("c").alias("c")).where((F.col("d") >= min_df) & (F.col("d") <= (max_df * n if max_df < 1 else n)))
+    return [(x.t, x.d) for x in counts.orderBy(F.desc("c"), "t").limit(features).collect()]
+
+
+def _vector(size: int, indices: Column, values: Column) -> Column:
+    """A sparse vector of sorted places and their values."""
+    parts = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), indices.cast("array<int>").alias("indices"), values.cast("array<double>").alias("values"))
+    return F.from_json(F.to_json(F.struct(parts.alias("v"))), StructType([StructField("v", VectorUDT())]))["v"]
+
+
 def tfidf(df: DataFrame, text_col: str, stopwords: list[str], features: int = FEATURES, min_df: float = MIN_DF, max_df: float = MAX_DF) -> tuple[DataFrame, list[str]]:
-    """df with `features`, unit vectors of (1 + ln tf) * (ln((n + 1) / (df + 1)) + 1), and the vocabulary, of `features` terms at most.
+    """df with `features`, sparse unit vectors of (1 + ln tf) * (ln((n + 1) / (df + 1)) + 1), and the vocabulary, of `features` terms at most.
 
-    max_df below 1 is a share of the rows; from 1 on no term is too frequent.
+    max_df below 1 is a share of the rows; from 1 on no term is too frequent. Rows are weighed where they stand, on their own terms alone.
     """
     with_terms = df.withColumn("__terms", terms(F.col(text_col), stopwords))
     n = with_terms.count()
-    counter = CountVectorizer(inputCol="__terms", outputCol="__tf", vocabSize=features, minDF=min_df, maxDF=max_df if max_df < 1 else 2.0**60).fit(with_terms)
-    vocabulary = counter.vocabulary
-    names = df.sparkSession.createDataFrame([(t, k) for k, t in enumerate(vocabulary)], "t string, k int")
-    seen = with_terms.select(F.explode(F.array_distinct("__terms")).alias("t")).join(F.broadcast(names), "t").groupBy("k").agg(F.count("*").alias("d"))
-    found = dict(seen.collect())  # of each vocabulary term one number
-    idf = F.array(*[F.lit(math.log((n + 1) / (found.get(k, 0) + 1)) + 1) for k in range(len(vocabulary))]).cast("array<double>")
-    weighed = F.zip_with(vector_to_array("__tf"), idf, lambda tf, w: F.when(tf > 0, (1 + F.ln(tf)) * w).otherwise(0.0))
-    weighted = counter.transform(with_terms).withColumn("__w", array_to_vector(weighed))
-    return Normalizer(inputCol="__w", outputCol="features").transform(weighted).drop("__terms", "__tf", "__w"), vocabulary
+    found = vocabulary_of(with_terms, n, features, min_df, max_df)
+    vocabulary = [t for t, _ in found]
+    if not found:
+        return with_terms.drop("__terms").withColumn("features", _vector(1, F.array(), F.array())), []
+    counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="__terms", outputCol="__tf")
+    idf = F.array(*[F.lit(math.log((n + 1) / (d + 1)) + 1) for _, d in found])
+    tf = F.unwrap_udt("__tf")
+    weight = F.zip_with(tf["indices"], tf["values"], lambda k, c: (1 + F.ln(c)) * F.element_at(idf, k + 1))
+    scaled = _let(weight, lambda w: _let(F.sqrt(F.aggregate(w, F.lit(0.0), lambda s, x: s + x * x)), lambda size: F.transform(w, lambda x: x / size)))
+    return counter.transform(with_terms).withColumn("features", _vector(len(found), tf["indices"], scaled)).drop("__terms", "__tf"), vocabulary
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    return F.transform(F.array(value), body)[0]
 
 
 @dataclass
@@ -78,9 +104,12 @@ def clustered(df: DataFrame, stopwords: list[str], n_clusters: int | None = None
     if n < k:
         k = max(2, n // 2 or 1)
     vectors, vocabulary = tfidf(rows, "__text", stopwords, features, min_df=min(MIN_DF, n))
-    vectors = vectors.persist()
-    models = [KMeans(k=k, seed=SEED + s, maxIter=rounds, tol=1e-4).fit(vectors) for s in range(starts)]
+    vectors = written(vectors, "vectors")
+    points = vectors.select("features").persist()
+    with ThreadPoolExecutor(PARALLEL) as pool:  # a start's rounds leave cores idle that another one can use
+        models = list(pool.map(lambda s: KMeans(k=k, seed=SEED + s, maxIter=rounds, tol=1e-4).fit(points), range(starts)))
     best = min(models, key=lambda m: m.summary.trainingCost)
+    points.unpersist()
     marked = best.transform(vectors).withColumn("cluster_id", F.col("prediction").cast("string")).drop("prediction", "__text")
     for name, value in (("narrative_label", F.concat(F.lit("narrativa_"), "cluster_id")), *((c, F.lit(v)) for c, v in (("discourse_category_id", ""), ("discourse_category_label", ""), ("discourse_source", "pending")) if c not in df.columns)):
         marked = marked.withColumn(name, value)
@@ -94,7 +123,7 @@ def top_terms(marked: DataFrame, vocabulary: list[str], stopwords: list[str], mo
     mean = marked.groupBy("cluster_id").agg(vector_to_array(Summarizer.mean(F.col("features"))).alias("m"))
     names = marked.sparkSession.createDataFrame([(k, t) for k, t in enumerate(vocabulary) if len(t) > 2 and not all(w in set(stopwords) for w in t.split())], "k int, term string")
     each = mean.select("cluster_id", F.posexplode("m").alias("k", "w")).where("w > 0").join(F.broadcast(names), "k")
-    return top_joined(each, "cluster_id", [F.desc("w"), F.col("term")], "term", most, "top_terms", "; ")
+    return top_joined(each, "cluster_id", [F.desc(F.round("w", PLACES)), F.col("term")], "term", most, "top_terms", "; ")
 
 
 def top_joined(df: DataFrame, key: str, order: list[Column], value: str, most: int, name: str, between: str) -> DataFrame:
@@ -109,9 +138,10 @@ def representatives(marked: DataFrame, key: str = "comment_id", text_col: str =
     from pyspark.ml.stat import Summarizer
 
     mean = marked.groupBy("cluster_id").agg(vector_to_array(Summarizer.mean(F.col("features"))).alias("__m"))
-    dot = F.aggregate(F.zip_with(vector_to_array("features"), "__m", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    own = F.unwrap_udt("features")  # sparse: only its own terms are looked up in the mean
+    dot = F.aggregate(F.zip_with(own["indices"], own["values"], lambda k, x: x * F.element_at("__m", k + 1)), F.lit(0.0), lambda s, x: s + x)
     each = marked.join(F.broadcast(mean), "cluster_id").select("cluster_id", key, dot.alias("__s"), F.substring(F.replace(text_col, F.lit("\n"), F.lit(" ")), 1, SHOWN).alias("__t"))
-    return top_joined(each, "cluster_id", [F.desc("__s"), F.col(key)], "__t", most, "representative_comments", " || ")
+    return top_joined(each, "cluster_id", [F.desc(F.round("__s", PLACES)), F.col(key)], "__t", most, "representative_comments", " || ")
 
 
 def top_profiles(marked: DataFrame, most: int = PROFILES) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,7 +74,7 @@ _SUMMARY = """count(*) AS n_comments, count_if(label = 'positive') AS positive,
 
 def _with_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = S.texts(spark, sf_dir, "doc_id", "lang", "source", "text").withColumnsRenamed({"lang": "language", "text": "comment_text"})
-    return sentiment.with_sentiment(docs, S.SENTIMENT, languages=S.LANGUAGES, compose=False)
+    return sentiment.with_sentiment(docs, S.SENTIMENT, languages=S.LANGUAGES)
 
 
 @query(f"WITH {_SENTIMENT} SELECT doc_id, label, polarity, positive, negative, signals FROM sentiments")
@@ -139,8 +138,8 @@ def profile_avg_stats(spark, sf_dir):
     return filters.profile_stats(_engagement(spark, sf_dir), ["like_count", "view_count"], 1.5)
 
 
-_OLD_NEW = "SELECT event_id // 3 AS k, event_type, value, event_id FROM events WHERE event_id % 5 < 3"
-_NEWER = "SELECT event_id // 3 + 100 AS k, event_type, value * 2 AS value, event_id FROM events WHERE event_id % 5 > 1"
+_OLD_NEW = "SELECT event_id // 3 AS k, event_type, value, event_id FROM events"
+_NEWER = "SELECT event_id // 3 + 100 AS k, event_type, value * 2 AS value, event_id FROM events"
 
 
 @query(f"""SELECT k, event_type, value, event_id FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY side DESC, event_id DESC) AS r
@@ -148,8 +147,8 @@ _NEWER = "SELECT event_id // 3 + 100 AS k, event_type, value * 2 AS value, event
 def upsert_keep_last(spark, sf_dir):
     e = S.table(spark, sf_dir, "events")
     third = F.floor(F.col("event_id") / 3)
-    old = e.where("event_id % 5 < 3").select(third.alias("k"), "event_type", "value", "event_id")
-    new = e.where("event_id % 5 > 1").select((third + 100).alias("k"), "event_type", (F.col("value") * 2).alias("value"), "event_id")
+    old = e.select(third.alias("k"), "event_type", "value", "event_id")
+    new = e.select((third + 100).alias("k"), "event_type", (F.col("value") * 2).alias("value"), "event_id")
     return merge.upsert(old, new, "k", order_col="event_id")
 
 
@@ -173,42 +172,29 @@ def tag_status(spark, sf_dir):
     return merge.tag_status(S.posts(spark, sf_dir), S.comments(spark, sf_dir))
 
 
-@query(f"SELECT comment_id, c.post_id, coalesce(profile_username, '') AS profile_username FROM ({S.COMMENTS}) c LEFT JOIN (SELECT * FROM ({S.POSTS}) WHERE CAST(post_id AS BIGINT) % 3 <> 0) p ON c.post_id = p.post_id")
+@query(f"SELECT comment_id, c.post_id, coalesce(profile_username, '') AS profile_username FROM ({S.COMMENTS}) c LEFT JOIN (SELECT * FROM ({S.POSTS}) WHERE CAST(comment_count AS BIGINT) > 15) p ON c.post_id = p.post_id")
 def profile_lookup(spark, sf_dir):
-    return merge.with_profile(S.comments(spark, sf_dir), S.posts(spark, sf_dir).where("cast(post_id as bigint) % 3 <> 0"), "post_id").select("comment_id", "post_id", "profile_username")
+    return merge.with_profile(S.comments(spark, sf_dir), S.posts(spark, sf_dir).where("cast(comment_count as bigint) > 15"), "post_id").select("comment_id", "post_id", "profile_username")
 
 
 _EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E0}-\x{1F1FF}\x{FE00}-\x{FE0F}\x{200D}]"
-_NORMAL = rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(text)), 'https?://\S+|www\.\S+', ' ', 'g'), '@([A-Za-z0-9._]{{2,30}})', ' ', 'g'), '#{W}+', ' ', 'g'), '{_EMOJI}+', ' ', 'g'), '\s+', ' ', 'g'))"
+def _normal_sql(source: str, *keys: str) -> str:
+    """keys and plain of the texts of a table. DuckDB has no NFKC, which leaves the driver's texts as they are; tests cover others. Runs of over three characters are cut
+    to two by each character's neighbours."""
+    k = ", ".join(keys)
+    strip = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(coalesce(text, ''))), 'https?://\S+|www\.\S+', ' ', 'g'), '@([A-Za-z0-9._]{{2,30}})', ' ', 'g'), '#{W}+', ' ', 'g'), '{_EMOJI}+', ' ', 'g')"
+    third = "i > 2 AND c = l[i - 1] AND c = l[i - 2] AND ((i > 3 AND c = l[i - 3]) OR c = l[i + 1])"
+    return rf"SELECT {k}, trim(regexp_replace(array_to_string(list_filter(l, lambda c, i: NOT coalesce({third}, FALSE)), ''), '\s+', ' ', 'g')) AS plain FROM (SELECT {k}, string_split({strip}, '') AS l FROM {source})"
 
 
-@query(f"SELECT doc_id, {_NORMAL} AS plain FROM documents")
+@query(_normal_sql("documents", "doc_id"))
 def text_normalized(spark, sf_dir):
-    """Runs of one character, which RE2 can't name, are left alone here; a test covers them."""
-    docs = S.texts(spark, sf_dir, "doc_id", "text")
-    plain = F.lower(V.stripped(F.col("text")))
-    for pattern in (T.URL, T.MENTION, T.HASHTAG, T.EMOJI + "+"):
-        plain = F.regexp_replace(plain, pattern, " ")
-    return docs.select("doc_id", T.collapsed(plain).alias("plain"))
-
-
-@query(rf"""SELECT doc_id, len(t) AS n_tokens, array_to_string(list_sort(list_distinct(t)), ' ') AS tokens FROM (SELECT doc_id, list_filter(regexp_extract_all(regexp_replace({_PLAIN}, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '{W}{{3,}}'), lambda w: NOT list_contains({_list(S.STOPWORDS)}, w) AND NOT regexp_matches(w, '^\p{{Nd}}+$')) AS t FROM conversations_text)""".replace("conversations_text", "(SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations WHERE NOT regexp_matches(text, '[@#]') AND NOT regexp_matches(lower(text), 'aaaa|bbbb|cccc|dddd|eeee|ffff|gggg|hhhh|iiii|kkkk|llll|mmmm|nnnn|oooo|pppp|rrrr|ssss|tttt|uuuu|\\.\\.\\.\\.|----|====|____|0000|1111|8888|9999'))"))
-def text_tokens(spark, sf_dir):
-    """On turns without the signs whose handling RE2 lacks; those go through a test."""
-    c = S.table(spark, sf_dir, "conversations").where(~F.col("text").rlike("[@#]") & ~F.lower("text").rlike(r"aaaa|bbbb|cccc|dddd|eeee|ffff|gggg|hhhh|iiii|kkkk|llll|mmmm|nnnn|oooo|pppp|rrrr|ssss|tttt|uuuu|\.\.\.\.|----|====|____|0000|1111|8888|9999"))
-    rows = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), T.tokens(F.col("text"), S.STOPWORDS, compose=False).alias("t"))
-    return rows.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.array_join(F.array_sort(F.array_distinct("t")), " ").alias("tokens"))
-
-
-@query()
-def text_normalized_whole(spark, sf_dir):
-    """The operator as it is, run-cutting and composing included; without SQL, as RE2 can't name runs."""
     return S.texts(spark, sf_dir, "doc_id", "text").select("doc_id", T.normalized(F.col("text")).alias("plain"))
 
 
-@query()
-def text_tokens_whole(spark, sf_dir):
-    """The operator as it is on all turns; without SQL."""
+@query(rf"""SELECT conv_id, turn, len(t) AS n_tokens, array_to_string(list_sort(list_distinct(t)), ' ') AS tokens FROM (SELECT conv_id, turn, list_filter(regexp_extract_all(regexp_replace(plain, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '{W}{{3,}}'),
+ lambda w: NOT list_contains({_list(S.STOPWORDS)}, w) AND NOT regexp_matches(w, '^\p{{Nd}}+$')) AS t FROM ({_normal_sql("conversations", "conv_id", "turn")}))""")
+def text_tokens(spark, sf_dir):
     rows = S.spread(S.table(spark, sf_dir, "conversations")).select("conv_id", "turn", T.tokens(F.col("text"), S.STOPWORDS).alias("t"))
     return rows.select("conv_id", "turn", F.size("t").cast("long").alias("n_tokens"), F.array_join(F.array_sort(F.array_distinct("t")), " ").alias("tokens"))
 
@@ -220,9 +206,20 @@ def hashtags_and_mentions(spark, sf_dir):
     return S.posts(spark, sf_dir).select("post_id", T.hashtags(F.col("caption")).alias("hashtags"), T.mentions(F.col("caption")).alias("mentions"), F.array_join(V.split_tags(F.col("hashtags")), ";").alias("tags"))
 
 
-@query(r"SELECT doc_id, regexp_matches(text, '(?i)(send me this post|please send me|this shot is really|great please|check out my profile|follow for follow|dm me|link in bio)') AS spam, FALSE AS emoji_only, length(trim(text)) >= 15 AS long_enough FROM documents")
+_LETTERS = "[a-zA-ZáéíóúüñãõâêôçÁÉÍÓÚÜÑÃÕÂÊÔÇ]"
+#: Texts as they are, and once more with emoji in the place of all letters, of vowels alone, or of nothing but the text.
+_FLAGGED = rf"""SELECT doc_id, 'text' AS form, text FROM documents UNION ALL SELECT doc_id, 'letters', regexp_replace(text, '\p{{L}}', '😀', 'g') FROM documents
+ UNION ALL SELECT doc_id, 'vowels', regexp_replace(text, '[aeiou]', '❤', 'g') FROM documents UNION ALL SELECT doc_id, 'signs', regexp_replace(text, '[\p{{L}}\p{{N}}]', '', 'g') FROM documents"""
+
+
+@query(rf"""SELECT doc_id, form, regexp_matches(text, '(?i)(send me this post|please send me|this shot is really|great please|check out my profile|follow for follow|dm me|link in bio)') AS spam,
+ trim(text) <> '' AND NOT regexp_matches(text, '{_LETTERS}') AND regexp_replace(regexp_replace(text, '{_EMOJI}+', '', 'g'), '[\s\d_]|[^\p{{L}}\p{{N}}_]', '', 'g') = '' AND regexp_matches(text, '{_EMOJI}') AS emoji_only,
+ length(trim(text)) >= 15 AS long_enough FROM ({_FLAGGED})""")
 def comment_flags(spark, sf_dir):
-    return S.table(spark, sf_dir, "documents").select("doc_id", T.spam(F.col("text")).alias("spam"), T.emoji_only(F.col("text")).alias("emoji_only"), (F.length(V.stripped(F.col("text"))) >= 15).alias("long_enough"))
+    d, t = S.texts(spark, sf_dir, "doc_id", "text"), F.col("text")
+    forms = [("text", t), ("letters", F.regexp_replace(t, r"\p{L}", "😀")), ("vowels", F.regexp_replace(t, "[aeiou]", "❤")), ("signs", F.regexp_replace(t, r"[\p{L}\p{N}]", ""))]
+    d = d.select("doc_id", F.inline(F.array(*[F.struct(F.lit(n).alias("form"), c.alias("text")) for n, c in forms])))
+    return d.select("doc_id", "form", T.spam(F.col("text")).alias("spam"), T.emoji_only(F.col("text")).alias("emoji_only"), (F.length(V.stripped(F.col("text"))) >= 15).alias("long_enough"))
 
 
 _SAMPLE = rf"lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{_EMOJI}+', ' ', 'g'), 'https?://\S+|www\.\S+', ' ', 'g'), '@{W}+', ' ', 'g'), '#{W}+', ' ', 'g'), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g')))"
@@ -241,7 +238,7 @@ def _rules():
 @query(f"WITH {_DETECTED} SELECT doc_id, language, confidence FROM found")
 def language_heuristic(spark, sf_dir):
     docs = S.texts(spark, sf_dir, "doc_id", "text")
-    d = docs.select("doc_id", language.detected(F.col("text"), None, _rules(), compose=False).alias("d"))
+    d = docs.select("doc_id", language.detected(F.col("text"), None, _rules()).alias("d"))
     return d.select("doc_id", "d.language", "d.confidence")
 
 
@@ -249,7 +246,7 @@ def language_heuristic(spark, sf_dir):
  WHEN ranked[1] - ranked[2] < 0.1 THEN 'ambiguous_language' END AS reason, language FROM found) SELECT coalesce(reason, 'kept') AS reason, language, count(*) AS n FROM reasons GROUP BY ALL""")
 def language_filter_reasons(spark, sf_dir):
     docs = S.texts(spark, sf_dir, "doc_id", "text").withColumnsRenamed({"doc_id": "comment_id", "text": "comment_text"})
-    kept, out = language.filtered(docs, ["en", "es"], min_confidence=0.3, min_margin=0.1, rules=_rules(), compose=False)
+    kept, out = language.filtered(docs, ["en", "es"], min_confidence=0.3, min_margin=0.1, rules=_rules())
     rows = kept.select(F.lit("kept").alias("reason"), "language").unionByName(out.select(F.col("exclusion_reason").alias("reason"), "language"))
     return rows.groupBy("reason", "language").agg(F.count("*").alias("n"))
 
@@ -374,7 +371,7 @@ def _discourse_sql() -> str:
 @query(f"""WITH {_discourse_sql()} SELECT doc_id, CASE WHEN t = '' THEN 'unlabeled' WHEN other IS NOT NULL THEN other WHEN fem > 0 AND opp > 0 THEN 'mixed' WHEN fem > 0 THEN 'feminist' WHEN opp > 0 THEN 'antifeminist' ELSE 'neutral' END AS label,
  coalesce(fem, 0)::DOUBLE AS fem, coalesce(opp, 0)::DOUBLE AS opp, coalesce(signals, '') AS signals FROM plain LEFT JOIN sums USING (doc_id)""")
 def discourse_match(spark, sf_dir):
-    d = S.texts(spark, sf_dir, "doc_id", "text").select("doc_id", discourse.discourse(F.col("text"), S.TAXONOMY, compose=False).alias("d"))
+    d = S.texts(spark, sf_dir, "doc_id", "text").select("doc_id", discourse.discourse(F.col("text"), S.TAXONOMY).alias("d"))
     return d.select("doc_id", "d.label", F.col("d.score_feminist").alias("fem"), F.col("d.score_antifeminist").alias("opp"), "d.signals")
 
 
@@ -400,27 +397,21 @@ def updated_cluster_summary(spark, sf_dir):
     return u.select("cluster_id", "n_comments", F.col("discourse_category_id").alias("category"), "narrative_label")
 
 
-@query("""WITH terms AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda w: NOT list_contains(%s, w))) AS term FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g') AS text FROM documents) WHERE NOT regexp_matches(text, '[_0-9]')),
- tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(DISTINCT doc_id) AS n FROM terms)
- SELECT doc_id, term, round((1 + ln(tf)) * (ln((n + 1.0) / (df + 1)) + 1), 5) AS weight FROM tf JOIN df USING (term), n WHERE df >= 2 AND df <= 0.85 * n""" % _list(S.STOPWORDS))
-def tfidf_weights(spark, sf_dir):
-    """The weights before scaling, on plain texts, in relational form: the vocabulary may be of any size."""
-    docs = S.table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", "_").alias("text")).where(~F.col("text").rlike("[_0-9]"))
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)), lambda w: ~w.isin(*S.STOPWORDS))
-    tf = docs.select("doc_id", F.explode(words).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.where(F.size(words) > 0).agg(F.count("*").alias("n"))
-    j = tf.join(df, "term").join(F.broadcast(n)).where((F.col("df") >= 2) & (F.col("df") <= 0.85 * F.col("n")))
-    return j.select("doc_id", "term", F.round((1 + F.ln("tf")) * (F.ln((F.col("n") + 1.0) / (F.col("df") + 1)) + 1), 5).alias("weight"))
+_TFIDF = rf"""words AS (SELECT doc_id, list_filter(regexp_extract_all(translate(lower(text), '{clusters._ACCENTS[0]}', '{clusters._ACCENTS[1]}'), '{W}{{3,}}'), lambda w: NOT list_contains({_list(S.STOPWORDS)}, w)) AS w FROM documents),
+ terms AS (SELECT doc_id, unnest(w) AS term FROM words UNION ALL SELECT doc_id, w[i] || ' ' || w[i + 1] FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM words)),
+ tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents),
+ vocabulary AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term HAVING df >= {clusters.MIN_DF} AND df <= {clusters.MAX_DF} * (SELECT n FROM n) ORDER BY cf DESC, term LIMIT {clusters.FEATURES}),
+ weights AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((n + 1) / (df + 1)) + 1) AS w FROM tf JOIN vocabulary USING (term), n)"""
 
 
-@query()
-def tfidf_weights_whole(spark, sf_dir):
-    """The operator on all documents and whole texts: word pairs, accents and scaling included; without SQL."""
+@query(f"WITH {_TFIDF} SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM weights")
+def tfidf_weights(spark, sf_dir):
+    """All documents and whole texts, with the operator's values."""
     rows, vocabulary = clusters.tfidf(S.texts(spark, sf_dir, "doc_id", "text"), "text", S.STOPWORDS)
+    own = F.unwrap_udt("features")
+    each = rows.select("doc_id", F.inline(F.arrays_zip(own["indices"].alias("k"), own["values"].alias("weight"))))
     names = spark.createDataFrame(list(enumerate(vocabulary)), "k int, term string")
-    each = rows.select("doc_id", F.posexplode(vector_to_array("features")).alias("k", "weight")).where("weight > 0")
-    return each.join(F.broadcast(names), "k").select("doc_id", "term", "weight")
+    return each.join(F.broadcast(names), "k").select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -483,13 +474,13 @@ def hourly_events(spark, sf_dir):
     return e.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), "event_type", "n")
 
 
-@query("""SELECT CAST(p_partkey AS VARCHAR) AS post_id, CASE WHEN p_size % 4 = 0 THEN 'https://x.example/p/k' || p_partkey || '/' WHEN p_partkey % 3 = 0 THEN 'https://www.instagram.com/p/code' || p_partkey || '/'
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS post_id, CASE WHEN p_size % 4 = 0 THEN 'https://x.example/p/k' || p_partkey || '/' WHEN p_size > 25 THEN 'https://www.instagram.com/p/code' || p_partkey || '/'
  WHEN p_size % 4 = 1 THEN 'https://www.instagram.com/p/t' || p_partkey || '/' ELSE 'https://cdn.example/' || p_partkey || '.jpg' END AS post_url FROM part""")
 def repaired_links(spark, sf_dir):
     p = S.table(spark, sf_dir, "part")
     key = F.col("p_partkey").cast("string")
     url = F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("https://x.example/p/k"), key, F.lit("/?igsh=1"))).when(F.col("p_size") % 4 == 1, F.concat(F.lit("https://www.instagram.com/tv/t"), key, F.lit("/"))).otherwise(F.concat(F.lit("https://cdn.example/"), key, F.lit(".jpg")))
-    codes = p.where("p_partkey % 3 = 0").select(key.alias("id"), F.concat(F.lit("code"), key).alias("shortcode"))
+    codes = p.where("p_size > 25").select(key.alias("id"), F.concat(F.lit("code"), key).alias("shortcode"))
     return merge.repaired_links(p.select(key.alias("post_id"), url.alias("post_url")), codes)
 
 
@@ -519,15 +510,15 @@ def lexicon_terms(spark, sf_dir):
 def posts_discourse(spark, sf_dir):
     p = S.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("post_id"), F.col("source").alias("profile_username"), F.lit("").alias("source_hashtag"), F.col("text").alias("caption"))
     c = S.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("post_id"), F.when(F.col("role") == "system", " ").otherwise(F.col("role")).alias("discourse_category_id"), F.col("role").alias("discourse_category_label"))
-    out = discourse.labelled_posts(p, c, S.TAXONOMY, compose=False)
+    out = discourse.labelled_posts(p, c, S.TAXONOMY)
     return out.select("post_id", F.col("caption_discourse_label").alias("caption_label"), F.col("dominant_comment_category_id").alias("comment_label"), F.col("n_labeled_comments").cast("long").alias("n_labeled"), F.col("post_discourse_label").alias("post_label"))
 
 
-@query("SELECT event_id AS id, event_type AS v FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, 'second' FROM events WHERE event_id % 2 = 0 AND event_id % 3 <> 0")
+@query("SELECT event_id AS id, event_type AS v FROM events WHERE event_type IN ('click', 'view') UNION ALL SELECT event_id, 'second' FROM events WHERE event_type NOT IN ('click', 'view')")
 def merged_feed(spark, sf_dir):
     e = S.table(spark, sf_dir, "events")
-    first = e.where("event_id % 3 = 0").select(F.col("event_id").alias("id"), F.col("event_type").alias("v"))
-    second = e.where("event_id % 2 = 0").select(F.col("event_id").alias("id"), F.lit("second").alias("v"))
+    first = e.where("event_type in ('click', 'view')").select(F.col("event_id").alias("id"), F.col("event_type").alias("v"))
+    second = e.select(F.col("event_id").alias("id"), F.lit("second").alias("v"))
     return normalize.merged_feed(first, second)
 
 
@@ -543,26 +534,11 @@ def posts_with_text(spark, sf_dir):
     return merge.have_text(c)
 
 
-@query()
-def betweenness(spark, sf_dir):
-    return metrics.betweenness(graph.tag_pairs(S.posts(spark, sf_dir)))
-
-
-@query()
-def eigenvector(spark, sf_dir):
-    return metrics.eigenvector(graph.tag_pairs(S.posts(spark, sf_dir)))
-
-
 @query()
 def communities(spark, sf_dir):
     return metrics.communities(graph.co_commenters(S.comments(spark, sf_dir), 2)).select("node", "community")
 
 
-@query()
-def label_propagation(spark, sf_dir):
-    return metrics.label_propagation(graph.mention_edges(S.posts(spark, sf_dir), S.comments(spark, sf_dir)))
-
-
 @query()
 def nfkc_text(spark, sf_dir):
     return S.table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.nfkc(F.col("text")), 256).alias("sha256"))
@@ -572,14 +548,28 @@ def nfkc_text(spark, sf_dir):
 def narrative_clusters(spark, sf_dir):
     """Clusters of the conversations' turns."""
     c = S.table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("comment_id"), F.col("role").alias("profile_username"), F.col("text").alias("comment_text"))
-    return clusters.clustered(c, S.STOPWORDS, n_clusters=6, compose=False).summary
+    return clusters.clustered(c, S.STOPWORDS, n_clusters=6).summary
 
 
-@query()
+_GRAMS = 3000
+_STATISTICAL = rf"""padded AS (SELECT doc_id, lang, source, ' ' || s || ' ' AS p FROM (SELECT doc_id, lang, source, {_SAMPLE} AS s FROM documents)),
+grams AS (SELECT doc_id, lang, source, substr(p, i, 3) AS gram, count(*) AS c FROM (SELECT *, unnest(range(1, length(p) - 1)) AS i FROM padded) GROUP BY ALL),
+learned AS (SELECT lang, gram, sum(c) AS n FROM grams WHERE lang IS NOT NULL AND source < 'src5' GROUP BY ALL), totals AS (SELECT lang, sum(n) AS t FROM learned GROUP BY lang),
+model AS (SELECT lang, gram, ln((n + 1.0) / (t + 2.0 * {_GRAMS})) AS logp FROM learned JOIN totals USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) <= {_GRAMS}),
+sums AS (SELECT doc_id, t.lang, sum(c * coalesce(logp, ln(1.0 / (t + 2.0 * {_GRAMS})))) AS s FROM grams g CROSS JOIN totals t LEFT JOIN model m ON m.lang = t.lang AND m.gram = g.gram GROUP BY ALL),
+tops AS (SELECT *, exp(s - max(s) OVER (PARTITION BY doc_id)) AS e FROM sums), probs AS (SELECT doc_id, lang, e / sum(e) OVER (PARTITION BY doc_id) AS p FROM tops),
+wide AS (SELECT doc_id, {", ".join(f"coalesce(max(CASE WHEN lang = '{g}' THEN p END), 0) AS m_{g}" for g in S.KEYWORDS)} FROM probs GROUP BY doc_id),
+mixed AS (SELECT doc_id, letters, {", ".join(f"{g} + CASE WHEN length(s) >= 30 THEN coalesce(m_{g}, 0) ELSE 0 END * 0.55 AS {g}" for g in S.KEYWORDS)} FROM shares JOIN samples USING (doc_id) LEFT JOIN wide USING (doc_id)),
+final AS (SELECT *, greatest({", ".join(S.KEYWORDS)}) AS top FROM mixed)"""
+
+
+@query(f"""WITH {_DETECTED}, {_STATISTICAL} SELECT doc_id, CASE WHEN letters < 10 OR top <= 0 THEN 'unknown' {" ".join(f"WHEN {g} = top THEN '{g}'" for g in S.KEYWORDS)} END AS language,
+ CASE WHEN letters < 10 OR top <= 0 THEN 0 ELSE round(top, 3) END AS confidence FROM final""")
 def statistical_language(spark, sf_dir):
-    docs = S.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    scored = language.with_statistics(docs, language.trigram_model(docs), "doc_id")
-    d = scored.select("doc_id", language.detected(F.col("text"), F.col("statistical"), _rules(), compose=False).alias("d"))
+    """Both halves of the detection on all documents; the trigrams are learned from some sources alone. No text has enough emoji to be damped."""
+    docs = S.texts(spark, sf_dir, "doc_id", "text", "lang", "source")
+    scored = language.with_statistics(docs, language.trigram_model(docs.where("source < 'src5'"), most=_GRAMS))
+    d = scored.select("doc_id", language.detected(F.col("text"), F.col("statistical"), _rules()).alias("d"))
     return d.select("doc_id", "d.language", "d.confidence")
 
 
