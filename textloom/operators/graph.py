@@ -17,26 +17,29 @@ def _edges(df: DataFrame, source: Column, target: Column, kind: Column | str, we
     return df.select(source.alias("source"), target.alias("target"), (F.lit(kind) if isinstance(kind, str) else kind).alias("edge_type"), weight.cast("double").alias("weight"))
 
 
-#: Members of a group that one task pairs with as many others; larger groups are dealt into blocks, and each two blocks meet apart.
+#: Members of a group whose pairs are made within one row; larger groups are dealt into blocks of so many, and each two blocks meet in a join.
 BLOCK = 2000
 
 
 def pairs(df: DataFrame, group: str, member: str, least: int = 1) -> DataFrame:
     """a < b and weight, the number of groups that hold both, from least on.
 
-    Members are 64-bit hashes within, so the join and the counts carry numbers; each pair is made once, and counted before the shuffle. With
-    least over 1, members of fewer groups go before the join. Groups over BLOCK members are paired block by block.
+    Members are 64-bit hashes within, so that numbers are shuffled and counted; each pair is made once, and counted before the shuffle. With
+    least over 1, members of fewer groups go before any pair is made.
     """
     rows = df.select(F.col(group).alias("g"), F.col(member).alias("m")).where(F.col("g").isNotNull() & F.col("m").isNotNull()).distinct()
     if least > 1:
         rows = rows.join(rows.groupBy("m").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("m"), "m", "left_semi")
     rows = rows.withColumn("x", F.xxhash64("m"))
     large = rows.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k")).where("k > 1")
-    dealt = rows.join(large, "g", "left").withColumns({"k": F.coalesce("k", F.lit(1)), "own": F.coalesce(F.pmod(F.shiftright("x", 32), F.col("k")).cast("int"), F.lit(0))})
+    one = rows.join(large, "g", "left_anti").groupBy("g").agg(F.array_sort(F.collect_list("x")).alias("xs")).where(F.size("xs") > 1)
+    within = one.select("xs", F.posexplode("xs").alias("i", "a")).select("a", F.explode(F.slice("xs", F.col("i") + 2, F.size("xs"))).alias("b"))
+    dealt = rows.join(large, "g").withColumn("own", F.pmod(F.shiftright("x", 32), F.col("k")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
-    a = dealt.select("g", F.col("own").alias("i"), others.alias("j"), F.col("x").alias("a"))
-    b = dealt.select("g", others.alias("i"), F.col("own").alias("j"), F.col("x").alias("b"))
-    counted = a.join(b, ["g", "i", "j"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("weight"))
+    left = dealt.select("g", F.col("own").alias("i"), others.alias("j"), F.col("x").alias("a"))
+    right = dealt.select("g", others.alias("i"), F.col("own").alias("j"), F.col("x").alias("b"))
+    across = left.join(right, ["g", "i", "j"]).where("a < b").select("a", "b")
+    counted = within.unionByName(across).groupBy("a", "b").agg(F.count("*").alias("weight"))
     counted = counted.where(F.col("weight") >= least) if least > 1 else counted
     names = rows.select("x", "m").distinct()
     named = counted.join(names.select(F.col("x").alias("a"), F.col("m").alias("ma")), "a").join(names.select(F.col("x").alias("b"), F.col("m").alias("mb")), "b")
