@@ -159,3 +159,81 @@ def test_quality_scores_match_plain_compression(spark):
         d, share = 10 * (good - bad) / both, both / max(2 * len(raw), 1)
         z = sum(w * x for w, x in zip(model.weights, (d, d * d, share, share * share, d * share, 4 / math.sqrt(len(raw) + 16), 1), strict=True))
         assert got[k] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-9)
+
+
+def test_toxicity_scores_match_a_plain_machine(spark):
+    """Each subsequence looked up by itself, the strongest window of the strongest token, and the logistic curve."""
+    from itertools import combinations
+
+    model = toxicity.trained([(f"plain words number {k} here. And more of them.", 0) for k in range(30)] + [(f"you idiot number {k}. A line.", 1) for k in range(30)])
+
+    def value(window):
+        c = toxicity._codes(window)
+        parts = [((c[i] * 64 + c[j]) * 64 + c[k], toxicity.DECAY ** (k - i + 1)) for i, j, k in combinations(range(len(c)), 3)]
+        size = math.sqrt(sum(w * w for _, w in parts))
+        return sum(float(model.weight[u]) * w for u, w in parts) / size if parts else 0.0
+
+    def strongest(token):
+        token = token.strip(toxicity._EDGE) or token
+        n = toxicity.LONGEST
+        windows = [token] if len(token) <= n else [token[k : k + n] for k in range(0, len(token) - n // 2, n // 2)]
+        return max(map(value, windows))
+
+    def brute(text):
+        found = (text or "").lower().split()
+        run, runs = [], []
+        for x in [*found, "  "]:
+            if len(x) == 1:
+                run.append(x)
+            else:
+                runs += ["".join(run)] if len(run) > 2 else []
+                run = []
+        best = max(map(strongest, [*found, *runs]), default=-1.0) + model.bias
+        return 1 / (1 + math.exp(-max(-30, min(30, model.slope * best + model.offset))))
+
+    texts = ["You IDIOT.", "i d i o t here", "plain words", "", None, "id.iot!", "a" * 21 + "idiot" + "b" * 40, "words of ünïcode 漢字 ß", "x"]
+    got = {x.doc_id: x for x in toxicity.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model).collect()}
+    for k, t in enumerate(texts):
+        assert got[k].score == pytest.approx(brute(t), abs=1e-4) and got[k].predicted == (got[k].score >= 0.5)
+
+
+def test_language_scores_match_plain_sums(spark):
+    """Posteriors from all segmentations of all words, and a round of expected counts from each segmentation's share."""
+    pieces = lang_id.loaded(lang_id.default_path())
+    rng = np.random.default_rng(3)
+    p = lang_id.probabilities(rng.random((pieces.size, 3)) ** 8)
+    place = {x: k for k, x in enumerate(pieces.names)}
+
+    def cuts(word):
+        if not word:
+            return [[]]
+        out = []
+        for j in range(1, min(len(word), pieces.longest) + 1):
+            k = place.get(word[:j], pieces.size - 1 if j == 1 else None)
+            if k is not None:
+                out += [[k, *rest] for rest in cuts(word[j:])]
+        return out
+
+    def whole(word, g):
+        return sum(math.prod(p[k, g] for k in c) for c in cuts("▁" + word))
+
+    texts = ["the words", "Haus und Hof", "über 12 x", "", None, "?!", "a² b³"]
+    langs, prior = ["aa", "bb", "cc"], np.log([0.5, 0.3, 0.2])
+    got = {x.doc_id: x for x in lang_id.identified(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), (langs, prior, p)).collect()}
+    for k, t in enumerate(texts):
+        words = ["".join(c for c in w if c.isalpha()) for w in lang_id._WORDS((t or "").lower())]
+        words = [w for w in words if w]
+        if not words:
+            assert (got[k].lang_pred, got[k].score) == ("und", 0)
+            continue
+        logs = [prior[g] + sum(math.log(whole(w, g)) for w in words) for g in range(3)]
+        top = max(range(3), key=logs.__getitem__)
+        assert got[k].lang_pred == langs[top] and got[k].score == pytest.approx(1 / sum(math.exp(x - logs[top]) for x in logs))
+    words, counts = ["the", "haus", "ꙮa"], rng.random((3, 3))
+    want = np.zeros((pieces.size, 3))
+    for w, n in zip(words, counts, strict=True):
+        for g in range(3):
+            for c in cuts("▁" + w):
+                for k in c:
+                    want[k, g] += n[g] * math.prod(p[j, g] for j in c) / whole(w, g)
+    assert np.allclose(lang_id.expected(pieces, p, words, counts), want)
