@@ -111,7 +111,7 @@ def detection_text(c: Column, compose: bool = True) -> Column:
 
 
 def letter_count(c: Column) -> Column:
-    return F.length(F.regexp_replace(c, LETTER.replace("[", "[^", 1) + "+", ""))
+    return F.length(c) - F.length(F.regexp_replace(c, LETTER + "+", ""))  # quicker than taking out all between the letters
 
 
 def emoji_share(c: Column) -> Column:
