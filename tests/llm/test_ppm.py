@@ -24,6 +24,8 @@ def brute(train, texts):
         for w, c in longest.items():
             trie[m][w[:-1]][w[-1]] = c
         longest = Counter(w[1:] for w in longest)
+    every = {m: [c for kids in x.values() for c in kids.values()] for m, x in trie.items()}
+    discount = {m: min(max(x.count(1) / max(len(x), 1), 0.05), 0.95) for m, x in every.items()}
 
     def score(window):
         shut, out = set(), 0.0
@@ -33,9 +35,9 @@ def brute(train, texts):
                 continue
             free = {b: c for b, c in kids.items() if b not in shut}
             if window[-1] in free:
-                return out + math.log10((free[window[-1]] - 0.5) / sum(free.values()))
+                return out + math.log10((free[window[-1]] - discount[m]) / sum(free.values()))
             if free:
-                out += math.log10(0.5 * len(free) / sum(free.values()))
+                out += math.log10(discount[m] * len(free) / sum(free.values()))
             shut |= set(kids)
         return out - math.log10(ppm.ALPHABET - len(shut))
 
@@ -94,7 +96,7 @@ def test_probabilities_sum_to_one(texts):
         for w, c in x.items():
             rows[m, w >> 8].append((w & 255, c, levels[m - 1][w & ((1 << (8 * m)) - 1)] if m else 0))
     table = [{"m": m, "context": c, "taken": sum(x[2] for x in nodes), "nodes": [{"s": s, "n": n} for s, n, _ in nodes]} for (m, c), nodes in rows.items()]
-    held = ppm.Frequent(pa.Table.from_pylist(table, pa.schema([("m", pa.int32()), ("context", pa.int64()), ("taken", pa.int64()), ("nodes", pa.list_(pa.struct([("s", pa.int32()), ("n", pa.int64())])))])), set())
+    held = ppm.Frequent(pa.Table.from_pylist(table, pa.schema([("m", pa.int32()), ("context", pa.int64()), ("taken", pa.int64()), ("nodes", pa.list_(pa.struct([("s", pa.int32()), ("n", pa.int64())])))])), set(), [0.3, 0.4, 0.5, 0.6, 0.2, 0.1])
     for context in (b"\n" * 5, b"an an", b"zzzzz", b"ionab"):
         w = np.array([int.from_bytes(context + bytes([b])) for b in range(256)])
         logp, lacking = held.score(w)
@@ -113,8 +115,8 @@ def test_empty_tables(spark):
 
 
 def test_held_out_texts(spark, sf_dir):
-    """With 181 training texts the base, which gives any unseen token the same whatever there is of them, is ahead by less than a tenth; with 917 it is just behind."""
-    for d, most in ((sf_dir, 1.1), (sf_dir.replace("0.001", "0.01"), 1.0)):
+    """With 181 training texts the base, which gives any unseen token the same whatever there is of them, is ahead by less than a tenth; with 917 it is behind."""
+    for d, most in ((sf_dir, 1.1), (sf_dir.replace("0.001", "0.01"), 0.995)):
         rows = ppm.op5_ppm(spark, d).where("held_out").collect()
         assert rows and all(x.score < 0 for x in rows)
         assert sum(x.score for x in rows) > most * sum(x.base_score for x in rows)

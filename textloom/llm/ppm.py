@@ -3,7 +3,8 @@
 A text is the sequence of its tokens: words, each closed by a space, then one end symbol, after ORDER start marks. The
 trie holds, for every byte of every training text, the contexts of the ORDER bytes before it and all shorter ones; contexts
 run on over spaces into the words before. A longest context counts how often each byte followed; a shorter one counts in how many
-contexts one byte longer it did (update exclusion). Of each count DISCOUNT goes to the escape (method D); after an escape the next
+contexts one byte longer it did (update exclusion). Of each count a discount goes to the escape; it is the share of an order's
+nodes that were counted once, so that an order escapes as often as its own counts, each left out in turn, would have done. After an escape the next
 shorter context leaves out the bytes that the longer one has seen (symbol exclusion); below the empty context all bytes
 are equally likely. The model is pretrained: it doesn't change while a text is read, so a byte's probability is a function
 of its window, the ORDER bytes before it and itself, and a text's score is a sum over its windows.
@@ -32,7 +33,8 @@ from textloom.llm import common
 
 #: Bytes of the longest context; a window is one longer and fits a long beside its order.
 ORDER = 5
-DISCOUNT = 0.5
+#: The least and the greatest discount.
+DISCOUNTS = 0.05, 0.95
 NODES, WORDS = 1 << 21, 1 << 20
 START, END, SPACE = b"\n", b"\r", b" "
 ALPHABET = 257
@@ -147,6 +149,10 @@ class Trie:
             if m:
                 counts = contexts.select(last_bytes(F.col("context"), m - 1).alias("c"), F.explode("nodes").alias("x")).select(F.shiftleft("c", 8).bitwiseOR(F.col("x.s").cast("long")).alias("w"), F.lit(1).cast("long").alias("n"))
 
+        once = F.sum(F.size(F.filter("nodes", lambda x: x.n == 1)))
+        found = {x.m: x.share for x in self.contexts().groupBy("m").agg((once / F.sum("kinds")).alias("share")).collect()}  # a number for each order
+        self.discounts = [min(max(found.get(m) or 0.0, DISCOUNTS[0]), DISCOUNTS[1]) for m in range(ORDER + 1)]
+
     def contexts(self) -> DataFrame:
         out = None
         for m, x in self.levels.items():
@@ -164,7 +170,7 @@ class Trie:
             if total > NODES:
                 least = s + 1
                 break
-        return Frequent(self.contexts().where(step >= least).select("m", "context", "taken", "nodes").toArrow(), {x.m for x in sizes if x.step < least})
+        return Frequent(self.contexts().where(step >= least).select("m", "context", "taken", "nodes").toArrow(), {x.m for x in sizes if x.step < least}, self.discounts)
 
     def scores(self, found: DataFrame) -> DataFrame:
         """w, logp of the distinct windows in found (w)."""
@@ -172,7 +178,7 @@ class Trie:
         here = "coalesce(get(filter(nodes, x -> x.s = s), 0).n, 0)"
         found = found.distinct().select("w", F.shiftright("w", 8).alias("context"), last_bytes(F.col("w"), 1).cast("int").alias("s"))
         top = common.written(found.join(self.levels[ORDER], "context", "left").select("w", F.expr(here).alias("n"), "whole"), "ppm-open")
-        seen = top.where("n > 0").select("w", F.log10((F.col("n") - DISCOUNT) / F.col("whole")).alias("logp"))
+        seen = top.where("n > 0").select("w", F.log10((F.col("n") - self.discounts[ORDER]) / F.col("whole")).alias("logp"))
         found = top.where("n = 0").select("w")  # these alone go on to shorter contexts
         keys = F.array(*(F.struct(F.lit(m).alias("m"), last_bytes(F.shiftright("w", 8), m).alias("context")) for m in orders))
         met = found.select("w", last_bytes(F.col("w"), 1).cast("int").alias("s"), F.inline(keys)).join(self.contexts(), ["m", "context"])
@@ -180,6 +186,8 @@ class Trie:
         names = [f"{x}{m}" for m in orders for x in ("n", "whole", "kinds", "taken")]
         wide = found.join(met.groupBy("w").agg(*(F.max(F.when(F.col("m") == int(x[-1]), F.col(x[:-1])).cast("double")).alias(x) for x in names)), "w", "left")
 
+        discounts = self.discounts
+
         def run(batches):
             for batch in batches:
                 col = {x: batch.column(x).to_numpy(zero_copy_only=False).astype(float) for x in names}  # a context that is not there: NaN
@@ -187,7 +195,7 @@ class Trie:
                 for m in reversed(orders):
                     there = np.flatnonzero(~np.isnan(col[f"whole{m}"][state.left]))
                     at = state.left[there]
-                    state.step(there, *(col[f"{x}{m}"][at] for x in ("n", "whole", "kinds", "taken")))
+                    state.step(discounts[m], there, *(col[f"{x}{m}"][at] for x in ("n", "whole", "kinds", "taken")))
                 yield pa.RecordBatch.from_arrays([batch.column("w"), pa.array(state.closed())], ["w", "logp"])
 
         return seen.unionByName(common.by_arrow(wide, run, "w bigint, logp double"))
@@ -200,12 +208,12 @@ class State:
         self.logp, self.taken, self.kinds = np.zeros(n), np.zeros(n), np.zeros(n)
         self.left = np.arange(n)
 
-    def step(self, there: np.ndarray, n: np.ndarray, whole: np.ndarray, kinds: np.ndarray, taken: np.ndarray) -> None:
+    def step(self, discount: float, there: np.ndarray, n: np.ndarray, whole: np.ndarray, kinds: np.ndarray, taken: np.ndarray) -> None:
         """Those of left at the places there have a context of this order, with these numbers; n = 0: not this byte."""
         at = self.left[there]
         mass, new = whole - self.taken[at], kinds - self.kinds[at]
         hit = n > 0
-        p = np.where(hit, n - DISCOUNT, DISCOUNT * new) / np.maximum(mass, 1)
+        p = np.where(hit, n - discount, discount * new) / np.maximum(mass, 1)
         p[new <= 0] = 1  # nothing that the longer context has not seen
         self.logp[at] += np.log10(p)
         self.taken[at], self.kinds[at] = taken, kinds
@@ -260,8 +268,8 @@ class Hashed:
 class Frequent:
     """The part of the trie that workers hold; partial names the orders of which it lacks contexts."""
 
-    def __init__(self, contexts: pa.Table, partial: set[int]) -> None:
-        self.orders, self.hashed = [], None
+    def __init__(self, contexts: pa.Table, partial: set[int], discounts: list[float]) -> None:
+        self.orders, self.hashed, self.discounts = [], None, discounts
         contexts = contexts.combine_chunks()
         order, context, taken = (contexts.column(x).to_numpy().astype(np.int64) for x in ("m", "context", "taken"))
         nodes = contexts.column("nodes").combine_chunks() if len(order) else pa.array([], pa.list_(pa.struct([("s", pa.int32()), ("n", pa.int64())])))
@@ -281,7 +289,7 @@ class Frequent:
         """log10 probabilities of windows, 0 for those that need contexts that are not here, and the places of those."""
         if self.hashed is None:
             _, own, count, c, whole, *_ = self.orders[ORDER]
-            self.hashed = Hashed(own, np.log10((count - DISCOUNT) / whole[np.searchsorted(c, own >> 8)]) if len(c) else count)
+            self.hashed = Hashed(own, np.log10((count - self.discounts[ORDER]) / whole[np.searchsorted(c, own >> 8)]) if len(c) else count)
             self.orders[ORDER] = (self.orders[ORDER][0], own[:0], count[:0], *self.orders[ORDER][3:])  # a byte that its longest context has is in the table
         logp, at = self.hashed(w)
         if not len(at):
@@ -311,7 +319,7 @@ class Frequent:
                 if len(own):
                     node = np.minimum(np.searchsorted(own, x), len(own) - 1)
                     n = np.where(own[node] == x, count[node], 0.0)
-                state.step(there, n, whole[at], kinds[at], taken[at])
+                state.step(self.discounts[m], there, n, whole[at], kinds[at], taken[at])
         return state.closed(), lacking
 
 
