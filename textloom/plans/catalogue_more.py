@@ -10,8 +10,8 @@ from textloom.functions import text as T
 from textloom.functions import values as V
 from textloom.functions.lexicons import SentimentLexicon
 from textloom.operators import clusters, discourse, filters, graph, language, merge, metrics, sentiment
+from textloom.plans import analysis, ingest
 from textloom.plans import catalogue as C
-from textloom.plans import ingest
 from textloom.plans import standins as S
 from textloom.sources import durable, normalize, sinks, tables
 
@@ -357,3 +357,64 @@ def _propagated(rounds: int) -> str:
 def label_propagation(spark, sf_dir):
     """In the graph of mentions; the SQL takes more rounds than it needs to settle."""
     return metrics.label_propagation(graph.mention_edges(S.posts(spark, sf_dir), S.comments(spark, sf_dir)))
+
+
+_KEPT = f"""{C._DETECTED}, {C._STATISTICAL}, judged AS (SELECT *, CASE WHEN letters < 10 OR top <= 0 THEN 'unknown' {" ".join(f"WHEN {g} = top THEN '{g}'" for g in S.KEYWORDS)} END AS language, CASE WHEN letters < 10 OR top <= 0 THEN 0 ELSE round(top, 3) END AS confidence,
+ list_sort([{", ".join(S.KEYWORDS)}], 'DESC') AS ranked FROM final), kept AS (SELECT doc_id, language, confidence FROM judged WHERE language IN ('es', 'fr') AND confidence >= 0.72 AND ranked[1] - ranked[2] >= 0.12)"""
+_WORDS = rf"list_filter(regexp_extract_all(regexp_replace(plain, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '{W}{{3,}}'), lambda w: NOT list_contains({C._list(S.STOPWORDS)}, w) AND NOT regexp_matches(w, '^\p{{Nd}}+$'))"
+
+
+@query(f"""WITH {_KEPT}, plain AS ({C._normal_sql("documents", "doc_id")}) SELECT doc_id AS comment_id, language, confidence AS language_confidence, length(plain) AS char_count, len({_WORDS}) AS token_count, '@' || lang AS profile_username
+ FROM kept JOIN plain USING (doc_id) JOIN documents USING (doc_id) WHERE length(plain) >= 15 AND len({_WORDS}) >= 3""")
+def enriched_documents(spark, sf_dir):
+    """The preparation of the analysis with its own bounds, documents as comments."""
+    docs = S.texts(spark, sf_dir, "doc_id", "text", "lang", "source")
+    comments = docs.select(F.col("doc_id").alias("comment_id"), F.col("lang").alias("post_id"), F.col("text").alias("comment_text"))
+    posts = docs.select(F.col("lang").alias("post_id"), F.concat(F.lit("@"), "lang").alias("profile_username")).distinct()
+    o = analysis.Options(languages=["es", "fr"], stopwords={"es": S.STOPWORDS, "fr": S.STOPWORDS}, rules=C._rules(), sentiment=S.SENTIMENT, taxonomy=S.TAXONOMY)
+    model = language.trigram_model(docs.where("source < 'src5'"), most=C._GRAMS)
+    return analysis.enriched(posts, comments, o, model)[0].select("comment_id", "language", "language_confidence", "char_count", "token_count", "profile_username")
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS post_id, lower(replace(p_brand, '#', '')) AS profile_username, p_name AS caption, 'https://www.instagram.com/p/s' || p_partkey || '/' AS post_url, CAST(p_size AS VARCHAR) AS like_count, lower(p_brand) AS source_hashtag FROM part""")
+def raw_json_posts(spark, sf_dir):
+    """Raw files with a list of items each, written and read again, as posts."""
+    p = S.table(spark, sf_dir, "part")
+    item = F.struct(F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("shortcode"), F.col("p_name").alias("description"), F.struct(F.lit("1").alias("id"), F.concat(F.lit("@"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("")))).alias("username")).alias("owner"), F.col("p_size").alias("likes"), F.concat(F.lit("#"), "p_brand").alias("source_search_hashtag"))
+    folder = _folder(spark, "raw")
+    p.groupBy(F.replace("p_brand", F.lit("#"), F.lit("-")).alias("tag")).agg(F.to_json(F.collect_list(item)).alias("value")).write.partitionBy("tag").text(folder)
+    return normalize.posts(tables.read_raw(spark, folder), "hashtags", NOW).select("post_id", "profile_username", "caption", "post_url", "like_count", "source_hashtag")
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS comment_id, 'u' || c_nationkey AS author_username, c_name || ', "' || c_mktsegment || '"' || chr(10) || 'end' AS comment_text FROM customer""")
+def raw_csv_comments(spark, sf_dir):
+    """A raw CSV file with dotted names, quotes, commas and line breaks."""
+    c = S.table(spark, sf_dir, "customer")
+    folder = _folder(spark, "raw") + ".csv"
+    text = F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"\nend'))
+    sinks.save_csv(c.select(F.col("c_custkey").alias("id"), F.concat(F.lit("@u"), F.col("c_nationkey").cast("string")).alias("owner.username"), text.alias("text")), folder)
+    rows = tables.first_filled(spark, folder.replace(".csv", ".json"), folder)
+    return normalize.comments(rows, NOW, post_id="p").select("comment_id", "author_username", "comment_text")
+
+
+@query("SELECT lower(p_brand) AS tag FROM part GROUP BY 1")
+def listed_tags(spark, sf_dir):
+    """A list of tags as people write it: remarks, a head, blanks, repeats, and more after a comma."""
+    p = S.table(spark, sf_dir, "part")
+    lines = p.select(F.concat(F.lit(' "'), F.lower("p_brand"), F.lit('" , '), F.col("p_size").cast("string")).alias("value")).unionByName(spark.createDataFrame([("# a remark",), ("hashtag",), (" ",)], "value string"))
+    folder = _folder(spark, "tags")
+    lines.coalesce(1).write.text(folder)
+    return tables.read_tags(spark, folder)
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS id, 'n' || s_nationkey AS "owner_name", '#a;#b' || s_nationkey AS tags FROM supplier""")
+def saved_items(spark, sf_dir):
+    """Raw items saved as JSON and as CSV; the CSV read again."""
+    s = S.table(spark, sf_dir, "supplier")
+    stem = _folder(spark, "items")
+    nation = F.col("s_nationkey").cast("string")
+    items = s.select(F.col("s_suppkey").cast("string").alias("id"), F.struct(nation.alias("id"), F.concat(F.lit("n"), nation).alias("username")).alias("owner"), F.array(F.lit("#a"), F.concat(F.lit("#b"), nation)).alias("hashtags"))
+    sinks.save_items(items, stem)
+    assert tables.exists(spark, f"{stem}.json")
+    rows = tables.read_raw(spark, f"{stem}.csv")
+    return rows.select("id", F.col("owner.username").alias("owner_name"), F.col("hashtags").alias("tags"))
