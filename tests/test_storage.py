@@ -56,6 +56,22 @@ def test_a_version_that_broke_off_does_not_count(spark, tmp_path):
     assert [x.k for x in table.read().collect()] == [9] and not (tmp_path / "t" / "v-000000000006").exists()
 
 
+def test_small_batches_are_kept_apart_and_then_merged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(upsert, "APART", 3)
+    table, want = upsert.VersionedTable(spark, str(tmp_path / "t")), {}
+    r = random.Random(3)
+    for k in range(8):
+        rows = [(f"k{r.randrange(6)}", f"{k}-{j}", j) for j in range(4)]
+        want |= {key: v for key, v, _ in rows}
+        upsert.merge_batch(table, spark.createDataFrame(rows, "id string, v string, o int"), k, "id", "o")
+        if k == 4:  # a batch that comes again, and one that broke off
+            upsert.merge_batch(table, spark.createDataFrame(rows, "id string, v string, o int"), k, "id", "o")
+            (tmp_path / "t" / "d-000000000099").mkdir()
+        assert {x.id: x.v for x in table.read().collect()} == want
+    names = os.listdir(tmp_path / "t")
+    assert sum(n.startswith("v-") for n in names) >= 2 and sum(n.startswith("d-") for n in names) < 9 and "d-000000000099" not in names
+
+
 def test_windows_leave_out_what_is_too_late(spark, tmp_path):
     (tmp_path / "in").mkdir()
     out = str(tmp_path / "out")
