@@ -177,15 +177,15 @@ def _trigrams(c: Column) -> Column:
 
 
 def with_statistics(df: DataFrame, model: DataFrame, text_col: str = "text", name: str = "statistical") -> DataFrame:
-    """df with a map of probabilities by language. The model has 3000 rows for each language and is broadcast; of a text only its hash and sums are shuffled, and equal
-    texts are one."""
+    """df with a map of probabilities by language. The model has 3000 rows for each language and is broadcast, so a text's trigrams meet it where they stand and are
+    summed up there: one row of sums for each text is shuffled. Equal texts are one."""
     key = F.xxhash64(text_col)
-    grams = df.select(key.alias("__k"), F.explode(F.array_append(_trigrams(F.col(text_col)), F.lit(""))).alias("gram")).groupBy("__k", "gram").agg(F.count("*").alias("c"))
+    grams = df.select(key.alias("__k"), F.explode(F.array_append(_trigrams(F.col(text_col)), F.lit(""))).alias("gram"))
     floors = dict(model.groupBy("lang").agg(F.min("none")).orderBy("lang").collect())  # a number for each language
     per = model.groupBy("gram").agg(*[F.max(F.when(F.col("lang") == x, F.col("logp"))).alias(f"__l{k}") for k, x in enumerate(floors)])
     scored = grams.join(F.broadcast(per), "gram", "left")
-    times = F.max(F.when(F.col("gram") == "", F.col("c")))  # the empty gram counts the rows that have this text
-    sums = scored.groupBy("__k").agg(*[(F.coalesce(F.sum(F.when(F.col("gram") != "", F.col("c") * F.coalesce(f"__l{k}", F.lit(floor)))), F.lit(0.0)) / times).alias(f"__s{k}") for k, floor in enumerate(floors.values())])
+    times = F.count_if(F.col("gram") == "")  # the empty gram counts the rows that have this text
+    sums = scored.groupBy("__k").agg(*[(F.sum(F.when(F.col("gram") != "", F.coalesce(f"__l{k}", F.lit(floor))).otherwise(0.0)) / times).alias(f"__s{k}") for k, floor in enumerate(floors.values())])
     values = F.array(*[F.col(f"__s{k}") for k in range(len(floors))])
     soft = _let(F.array_max(values), lambda top: F.transform(values, lambda v: F.exp(v - top)))
     shares = _let(soft, lambda e: _let(F.aggregate(e, F.lit(0.0), lambda t, x: t + x), lambda t: F.transform(e, lambda v: v / t)))
