@@ -34,6 +34,16 @@ def test_a_clear_sentence_passes_with_the_default_bounds(spark):
     assert {x.exclusion_reason for x in out.collect()} == {"not_es"} and all(x.confidence > 0.72 for x in kept.selectExpr("language_confidence as confidence").collect())
 
 
+def test_the_model_looks_at_so_many_comments_at_most(spark):
+    rows = [(str(k), f"{SPANISH[k % 4]} {k}") for k in range(400)]
+    df = spark.createDataFrame(rows, "comment_id string, comment_text string")
+    few, whole = (analysis.language_model(df, analysis.Options(model_rows=n)) for n in (40, 500))
+    n = [x.groupBy("lang").agg({"none": "min"}).where("lang = 'es'").first()[1] for x in (few, whole)]
+    assert n[0] > n[1]  # less text was counted
+    kept, _ = analysis.by_language(df, analysis.Options(languages=["es"], model_rows=40))
+    assert kept.count() == 400
+
+
 def test_the_whole_run_keeps_and_clusters_the_wanted_language(spark, tmp_path):
     _input(spark, str(tmp_path / "in"))
     out = sinks.Outputs(spark, str(tmp_path / "out"), "x")

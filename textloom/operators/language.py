@@ -156,7 +156,7 @@ def seed_rows(spark: SparkSession, sentences: dict[str, list[str]]) -> DataFrame
     return spark.createDataFrame([(x, lang) for lang, listed in sentences.items() for x in listed], "text string, lang string")
 
 
-def self_labelled(df: DataFrame, text_col: str = "comment_text", rules: LanguageRules = DEFAULT_RULES, least: float = 0.9, compose: bool = True) -> DataFrame:
+def self_labelled(df: DataFrame, text_col: str = "comment_text", rules: LanguageRules = DEFAULT_RULES, least: float = 2 / 3, compose: bool = True) -> DataFrame:
     """text, lang of the rows whose keywords alone name a language: long enough, and with the share `least` of all points."""
     found = df.select(F.col(text_col).alias("text"), F.explode(F.array(detected(F.col(text_col), None, rules, compose))).alias("d"))
     return found.where((F.col("d.confidence") >= least * KEYWORDS) & F.col("d.language").isin(*rules.keywords) & (F.length("text") >= STATISTICAL_LENGTH)).select("text", F.col("d.language").alias("lang"))

@@ -34,6 +34,7 @@ class Options:
     metrics: bool = False
     compose: bool = True
     overwrite_templates: bool = False
+    model_rows: int = 500_000
     stopwords: dict[str, list[str]] = field(default_factory=lambda: defaults.STOPWORDS)
     sentiment: SentimentLexicon = field(default_factory=lambda: defaults.SENTIMENT)
     taxonomy: Taxonomy = field(default_factory=Taxonomy)
@@ -46,7 +47,11 @@ class Options:
 
 
 def language_model(comments: DataFrame, o: Options) -> DataFrame:
-    """Trigrams of the sample sentences and of the comments whose keywords alone name their language."""
+    """Trigrams of the sample sentences and of the comments whose keywords alone name their language; of more than o.model_rows comments about so many are looked
+    at, by a hash of the text."""
+    n = comments.count()
+    if n > o.model_rows:
+        comments = comments.where(F.pmod(F.xxhash64("comment_text"), F.lit(1 << 40)) < int((1 << 40) * o.model_rows / n))
     known = language.self_labelled(comments, rules=o.rules, compose=o.compose)
     seeds = language.seed_rows(comments.sparkSession, o.sentences)
     return written(language.trigram_model(seeds.unionByName(known)), "trigrams")
