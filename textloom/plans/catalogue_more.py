@@ -86,7 +86,7 @@ def latest_rows(spark, sf_dir):
     return tables.latest(S.table(spark, sf_dir, "events").select(F.col("user_id").alias("user"), "event_id"), "user", "event_id")
 
 
-@query("""SELECT 'text' AS filter, count_if(l_linenumber % 3 <> 0) AS n FROM lineitem UNION ALL SELECT 'corpus', count_if(l_returnflag = 'R') FROM lineitem UNION ALL SELECT 'labelled', count_if(l_linestatus = 'O') FROM lineitem
+@query("""SELECT 'text' AS filter, count_if(l_linenumber % 3 <> 0)::BIGINT AS n FROM lineitem UNION ALL SELECT 'corpus', count_if(l_returnflag = 'R')::BIGINT FROM lineitem UNION ALL SELECT 'labelled', count_if(l_linestatus = 'O')::BIGINT FROM lineitem
  UNION ALL SELECT 'narrative', 3 UNION ALL SELECT 'cooccurrence', 2 UNION ALL SELECT 'all empty', 1 UNION ALL SELECT 'some empty', 0""")
 def row_filters(spark, sf_dir):
     """How many rows each of the plain filters keeps."""
@@ -159,7 +159,7 @@ def _summary(spark):
 @query(f"""SELECT CASE WHEN u IS NULL THEN 'profile:' || v ELSE 'profile:' || u END AS node_id, 'profile' AS node_type, n AS n FROM (SELECT DISTINCT ltrim(profile_username, '@') AS u FROM ({S.POSTS})) FULL OUTER JOIN
  (SELECT profile_username AS v, count(*) AS n FROM ({_ENRICHED}) GROUP BY 1) ON u = v UNION ALL SELECT 'user:' || lower(author_username), 'user', count(*) FROM ({_ENRICHED}) GROUP BY author_username
  UNION ALL SELECT 'narrative:' || coalesce(nullif(discourse_category_label, ''), 'narrativa_' || cluster_id), 'narrative', n_comments FROM {_SUMMARY}
- UNION ALL SELECT 'hashtag:' || t, 'hashtag', sum(u) FROM (SELECT t, 1 AS u FROM {C._TAGS} UNION ALL SELECT lower(trim(source_hashtag)), 0 FROM ({S.POSTS})) GROUP BY t""")
+ UNION ALL SELECT 'hashtag:' || t, 'hashtag', sum(u)::BIGINT FROM (SELECT t, 1 AS u FROM {C._TAGS} UNION ALL SELECT lower(trim(source_hashtag)), 0 FROM ({S.POSTS})) GROUP BY t""")
 def all_nodes(spark, sf_dir):
     n = graph.all_nodes(S.posts(spark, sf_dir), _enriched(spark, sf_dir), _summary(spark))
     size = F.when(F.col("node_type") == "profile", F.col("comment_volume_on_posts")).when(F.col("node_type") == "user", F.col("comment_count")).when(F.col("node_type") == "narrative", F.col("n_comments")).otherwise(F.col("post_count"))
@@ -288,8 +288,8 @@ def language_filter_defaults(spark, sf_dir):
     return rows.groupBy("reason", "language").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT doc_id, CASE WHEN s > 0.15 THEN 'positive' WHEN s < -0.15 THEN 'negative' ELSE 'neutral' END AS label, round(s, 3) AS polarity, round(p, 3) AS positive, round(n, 3) AS negative FROM
- (SELECT doc_id, p, n, CASE WHEN p + n = 0 THEN 0 ELSE (p - n) / (p + n) END AS s FROM (SELECT doc_id, 0.8 * (n_chars % 5) AS p, 0.8 * (n_chars % 3) AS n FROM documents))""")
+@query("""SELECT doc_id, CASE WHEN s > 0.15 THEN 'positive' WHEN s < -0.15 THEN 'negative' ELSE 'neutral' END AS label, round(s, 3) AS polarity, round(p, 3)::DOUBLE AS positive, round(n, 3)::DOUBLE AS negative FROM
+ (SELECT doc_id, p, n, CASE WHEN p + n = 0 THEN 0 ELSE (p - n) / (p + n) END AS s FROM (SELECT doc_id, 0.8::DOUBLE * (n_chars % 5) AS p, 0.8::DOUBLE * (n_chars % 3) AS n FROM documents))""")
 def emoji_sentiment(spark, sf_dir):
     """Texts of nothing but emoji and signs."""
     lexicon = SentimentLexicon(emoji_positive=["😀"], emoji_negative=["😡"])
@@ -373,7 +373,7 @@ def enriched_documents(spark, sf_dir):
     posts = docs.select(F.col("lang").alias("post_id"), F.concat(F.lit("@"), "lang").alias("profile_username")).distinct()
     o = analysis.Options(languages=["es", "fr"], stopwords={"es": S.STOPWORDS, "fr": S.STOPWORDS}, rules=C._rules(), sentiment=S.SENTIMENT, taxonomy=S.TAXONOMY)
     model = language.trigram_model(docs.where("source < 'src5'"), most=C._GRAMS)
-    return analysis.enriched(posts, comments, o, model)[0].select("comment_id", "language", "language_confidence", "char_count", "token_count", "profile_username")
+    return analysis.enriched(posts, comments, o, model)[0].select("comment_id", "language", "language_confidence", F.col("char_count").cast("long").alias("char_count"), F.col("token_count").cast("long").alias("token_count"), "profile_username")
 
 
 @query("""SELECT CAST(p_partkey AS VARCHAR) AS post_id, lower(replace(p_brand, '#', '')) AS profile_username, p_name AS caption, 'https://www.instagram.com/p/s' || p_partkey || '/' AS post_url, CAST(p_size AS VARCHAR) AS like_count, lower(p_brand) AS source_hashtag FROM part""")
