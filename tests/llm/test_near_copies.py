@@ -1,7 +1,8 @@
 import random
 
 import corpus_pipeline
-from textloom.llm import near_copies
+import numpy as np
+from textloom.llm import near_copies, simhash
 
 
 def brute(rows):
@@ -76,3 +77,61 @@ def test_large_buckets_are_dealt_into_parts(spark, monkeypatch):
     want = brute(rows)
     assert 1 < len(want) < 120
     assert sorted(x.doc_id for x in near_copies.deduplicated(df).collect()) == want
+
+
+def bits(x, y):
+    return sum(int(a ^ b).bit_count() for a, b in zip(x, y, strict=True))
+
+
+def test_bit_sliced_comparison_takes_a_wide_radius(monkeypatch):
+    r = np.random.default_rng(8)
+    fps = r.integers(0, 2**64, (300, near_copies.WORDS), np.uint64)
+    for k in range(1, 300):  # distances on both sides of the radius
+        fps[k] = fps[k - 1]
+        for at in r.choice(128, r.integers(30, 60), replace=False):
+            fps[k, at // 64] ^= np.uint64(1) << np.uint64(at % 64)
+    for radius in (0, 1, 31, 47, 63):
+        u = r.integers(0, 4, 300) * 64
+        got = near_copies.close(u, fps[u], fps, radius)
+        assert got.tolist() == [bits(fps[a], b) <= radius for a, b in zip(u, fps, strict=True)]
+    monkeypatch.setattr(near_copies, "PAIRS", 500)
+    sizes = np.array([1, 64, 65, 2, 168])
+    got = [(a, b) for x in near_copies.partners(fps, sizes) for a, b in zip(*x, strict=True)]
+    ends = np.cumsum(sizes)
+    assert got == [(a, b) for lo, hi in zip(ends - sizes, ends, strict=True) for a in range(lo, hi) for b in range(a + 1, hi) if bits(fps[a], fps[b]) <= 47]
+    assert 100 < len(got)
+
+
+def test_links_come_from_the_comparison_of_fingerprints(spark):
+    r = random.Random(11)
+    rows = []
+    for _ in range(12):
+        base = ["w%d" % r.randrange(500) for _ in range(150)]
+        for k in range(4):
+            copy = base[:]
+            copy[10 * k] = "x%d" % r.randrange(10**9)
+            rows.append((len(rows), " ".join(copy)))
+    sets = near_copies.shingle_sets([x for _, x in rows], near_copies.WordHashes())
+    fps = near_copies.prints_of(sets)
+    for s, fp in zip(sets, fps, strict=True):
+        hashes = [near_copies.decontam._mixed(s ^ seed).tolist() for seed in near_copies._SEEDS]
+        assert fp.tolist() == [sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) for hs in hashes]
+    near = [bits(fps[i], fps[j]) for i in range(48) for j in range(i) if i // 4 == j // 4]
+    assert 0 < min(near) and max(near) <= near_copies.RADIUS
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert len(brute(rows)) == 12
+    assert sorted(x.doc_id for x in near_copies.deduplicated(df).collect()) == brute(rows)
+    assert near_copies.deduplicated(df, radius=0).count() == 48  # all candidates are over that radius
+    # in a group the exact check sees only what is within the radius
+    alike = [sets[0], sets[0], sets[0]]
+    far = np.array([[0, 0], [2**64 - 1, 0], [2**47 - 1, 0]], np.uint64)
+    got = near_copies.united(alike, np.array([5, 6, 7]), far, np.array([3]))
+    assert [x.tolist() for x in got] == [[6, 7], [5, 5]] and bits(far[1], far[2]) == 17
+    got = near_copies.united(alike, np.array([5, 6, 7]), far[:, ::-1].copy(), np.array([2, 1]))
+    assert [x.tolist() for x in got] == [[], []]
+
+
+def test_op7_keeps_its_radius():
+    fps = np.array([[0, 1, 3, 7, 15] + [2**64 - 1] * 59], np.uint64)
+    row, found = simhash.within(simhash.slices(fps), np.array([0]), np.array([0], np.uint64), np.array([simhash.FULL]))
+    assert row.tolist() == [0] and found.tolist() == [0b111]

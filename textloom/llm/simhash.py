@@ -87,23 +87,28 @@ def slices(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(planes.view(np.uint64).reshape(len(fps), 64).T)
 
 
-def within(planes: np.ndarray, block: np.ndarray, query: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows (query, block) the lanes at RADIUS bits or fewer, as (row, word of lanes); lanes: those that count."""
-    row = np.arange(len(block))
-    ones, twos, over = (np.zeros(len(block), np.uint64) for _ in range(3))
-    for b in range(64):
-        x = planes[b][block] ^ (np.uint64(0) - ((query >> np.uint64(b)) & np.uint64(1)))
-        carry = ones & x
-        ones ^= x
-        over |= twos & carry
-        twos ^= carry
+def within(planes: np.ndarray, block: np.ndarray, query: np.ndarray, lanes: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """For rows (query, block) the lanes at the radius or fewer bits, as (row, word of lanes); lanes: those that count.
+
+    query: one word a row, or as many columns as planes have words. The counters start so far that a carry out of the last means over the radius.
+    """
+    row, query = np.arange(len(block)), query.reshape(len(block), -1)
+    digits = radius.bit_length()
+    start = (1 << digits) - 1 - radius
+    counters = [np.full(len(block), FULL if start >> k & 1 else np.uint64(0)) for k in range(digits)]
+    over = np.zeros(len(block), np.uint64)
+    for b in range(len(planes)):
+        carry = planes[b][block] ^ (np.uint64(0) - ((query[:, b >> 6] >> np.uint64(b & 63)) & np.uint64(1)))
+        for k, x in enumerate(counters):
+            counters[k], carry = x ^ carry, x & carry
+        over |= carry
         if b % 4 == 3:
-            left = ((over | (ones & twos)) | ~lanes) != FULL  # three or more set
+            left = (over | ~lanes) != FULL
             if not left.any():
                 return row[:0], lanes[:0]
             if left.mean() < 0.6:
-                row, block, query, lanes, ones, twos, over = (a[left] for a in (row, block, query, lanes, ones, twos, over))
-    found = ~(over | (ones & twos)) & lanes
+                row, block, query, lanes, over, *counters = (a[left] for a in (row, block, query, lanes, over, *counters))
+    found = ~over & lanes
     hit = found != 0
     return row[hit], found[hit]
 
