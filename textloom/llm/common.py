@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,8 +78,23 @@ def last_written() -> str:
     return _WRITTEN[-1]
 
 
-def by_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+def by_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df through f in Python workers; what a task has freed goes back to the system at its end, since a worker lives on through later stages."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: that of Arrow, and of the C library where it can (glibc)."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -154,4 +171,4 @@ def kept(df: DataFrame, start: Callable[[], object], keep: Callable[[object, lis
                 mask = keep(state, [x or "" for x in b.column(at).to_pylist()])
                 yield b.filter(pa.array(mask, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return by_arrow(df, run, df.schema)
