@@ -1,4 +1,6 @@
 import hashlib
+import random
+import sys
 
 import numpy as np
 import pytest
@@ -49,3 +51,26 @@ def test_rows(spark, library):
     full = bpe.encode(df.where("doc_id = 4")).first()
     assert full.ids == library.encode(ODD[4], add_special_tokens=False).ids and full.decoded == library.decode(full.ids, skip_special_tokens=False)
     assert bpe.digests(df.where("false")).count() == 0
+
+
+def test_many_words_are_merged_by_rank_not_by_place(library):
+    some, own = random.Random(7), bpe.PairIndexBPE(bpe.default_path())
+    pieces = ["the", "tion", "er", "aa", "aaa", "ing", "éa", "o", "wh", "xx", "st", "ou"]
+    words = sorted({"".join(some.choices(pieces, k=some.randint(1, 7))) for _ in range(20_000)})
+    lines = 0
+
+    def trace(frame, event, _):
+        nonlocal lines
+        lines += event == "line"
+        return trace if frame.f_code.co_filename == bpe.__file__ else None
+
+    before = sys.gettrace()
+    sys.settrace(trace)
+    try:
+        own.merge([x.encode() for x in words])
+    finally:
+        sys.settrace(before)
+    symbols = sum(len(x.encode()) for x in words)
+    assert lines < symbols, (lines, symbols)  # a loop over places takes several lines for each
+    texts = [" ".join(words[k::9]) for k in range(9)] + ["<|endoftext|>" + "".join(words[:50]) + "  <|endoftext|>"]
+    same(library, texts, own.encode_batch(texts))
