@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.functions.values import split_tags, stripped, user_name
+from textloom.sources.durable import parts, written
 
 EDGES = "source string, target string, edge_type string, weight double"
 
@@ -17,32 +18,41 @@ def _edges(df: DataFrame, source: Column, target: Column, kind: Column | str, we
     return df.select(source.alias("source"), target.alias("target"), (F.lit(kind) if isinstance(kind, str) else kind).alias("edge_type"), weight.cast("double").alias("weight"))
 
 
-#: Members of a group whose pairs are made within one row; larger groups are dealt into blocks of so many, and each two blocks meet in a join.
+#: Members of a group whose pairs are made within one row; larger groups are dealt into blocks of about so many, and blocks meet in a join.
 BLOCK = 2000
+#: Rows and pairs that a task is dealt on average, and members whose names are broadcast at most.
+ROWS, PAIRS, FEW = 500_000, 2_000_000, 500_000
 
 
 def pairs(df: DataFrame, group: str, member: str, least: int = 1) -> DataFrame:
     """a < b and weight, the number of groups that hold both, from least on.
 
-    Members are 64-bit hashes within, so that numbers are shuffled and counted; each pair is made once, and counted before the shuffle. With
-    least over 1, members of fewer groups go before any pair is made.
+    Members are 64-bit hashes within. Each member of a group sends those behind it as one list to the member's own task, where they are counted: what is shuffled is
+    a row for each member of a group, not for each pair. Tasks are as many as the pairs ask for. With least over 1, members of fewer groups go before any pair is made.
     """
-    rows = df.select(F.col(group).alias("g"), F.col(member).alias("m")).where(F.col("g").isNotNull() & F.col("m").isNotNull()).distinct()
+    spark = df.sparkSession
+    rows = df.select(F.col(group).alias("g"), F.col(member).alias("m")).where(F.col("g").isNotNull() & F.col("m").isNotNull()).withColumn("x", F.xxhash64("m"))
+    names = written(rows.select("x", "m").distinct(), "members")
+    near = F.broadcast if names.count() <= FEW else lambda d: d
+    each = written(rows.select("g", "x").repartition(parts(spark, rows.count(), ROWS), "g", "x").distinct(), "groups")
     if least > 1:
-        rows = rows.join(rows.groupBy("m").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("m"), "m", "left_semi")
-    rows = rows.withColumn("x", F.xxhash64("m"))
-    large = rows.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k")).where("k > 1")
-    one = rows.join(large, "g", "left_anti").groupBy("g").agg(F.array_sort(F.collect_list("x")).alias("xs")).where(F.size("xs") > 1)
-    within = one.select("xs", F.posexplode("xs").alias("i", "a")).select("a", F.explode(F.slice("xs", F.col("i") + 2, F.size("xs"))).alias("b"))
-    dealt = rows.join(large, "g").withColumn("own", F.pmod(F.shiftright("x", 32), F.col("k")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
-    left = dealt.select("g", F.col("own").alias("i"), others.alias("j"), F.col("x").alias("a"))
-    right = dealt.select("g", others.alias("i"), F.col("own").alias("j"), F.col("x").alias("b"))
-    across = left.join(right, ["g", "i", "j"]).where("a < b").select("a", "b")
-    counted = within.unionByName(across).groupBy("a", "b").agg(F.count("*").alias("weight"))
+        each = each.join(near(each.groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("x")), "x", "left_semi")
+    sizes = written(each.groupBy("g").agg(F.count("*").alias("c")), "sizes")
+    n, made, most = sizes.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.expr("c * (c - 1) div 2")), F.lit(0)), F.coalesce(F.max("c"), F.lit(0))).first()
+    large = sizes.where(F.col("c") > BLOCK).select("g", F.ceil(F.col("c") / BLOCK).cast("int").alias("k"))
+    small = each.join(large, "g", "left_anti") if most > BLOCK else each
+    one = small.repartition(parts(spark, n, ROWS), "g").groupBy("g").agg(F.array_sort(F.collect_list("x")).alias("xs")).where(F.size("xs") > 1)
+    lists = one.select("xs", F.posexplode("xs").alias("i", "a")).select("a", F.slice("xs", F.col("i") + 2, F.size("xs")).alias("bs")).where(F.size("bs") > 0)
+    if most > BLOCK:  # blocks in the order of the hashes: what is in a later one is behind
+        place = F.least(F.floor((F.col("x") / F.lit(2.0**64) + 0.5) * F.col("k")), F.col("k") - 1).cast("int")
+        dealt = each.join(large, "g").withColumn("own", place)
+        blocks = dealt.groupBy("g", F.col("own").alias("j")).agg(F.collect_list("x").alias("bs"))
+        left = dealt.select("g", F.col("x").alias("a"), "own", F.explode(F.sequence("own", F.col("k") - 1)).alias("j"))
+        behind = F.when(F.col("own") == F.col("j"), F.filter("bs", lambda b: b > F.col("a"))).otherwise(F.col("bs"))
+        lists = lists.unionByName(left.join(blocks, ["g", "j"]).select("a", behind.alias("bs")).where(F.size("bs") > 0))
+    counted = lists.repartition(parts(spark, made, PAIRS), "a").select("a", F.explode("bs").alias("b")).groupBy("a", "b").agg(F.count("*").alias("weight"))
     counted = counted.where(F.col("weight") >= least) if least > 1 else counted
-    names = rows.select("x", "m").distinct()
-    named = counted.join(names.select(F.col("x").alias("a"), F.col("m").alias("ma")), "a").join(names.select(F.col("x").alias("b"), F.col("m").alias("mb")), "b")
+    named = counted.join(near(names.select(F.col("x").alias("a"), F.col("m").alias("ma"))), "a").join(near(names.select(F.col("x").alias("b"), F.col("m").alias("mb"))), "b")
     return named.select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b"), "weight")
 
 

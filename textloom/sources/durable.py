@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import math
 import tempfile
 import uuid
 
@@ -32,6 +33,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parts(spark: SparkSession, n: int, per: int) -> int:
+    """Partitions for n rows, `per` of them in one on average, so that a task's memory stays as it is when a table grows."""
+    return max(1, min(spark.sparkContext.defaultParallelism, n // 20_000), math.ceil(n / per))
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session may have ended
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
