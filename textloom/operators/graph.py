@@ -174,8 +174,9 @@ def full_graph(posts: DataFrame, comments: DataFrame, enriched: DataFrame, summa
 
 
 def collapsed(edges: DataFrame, order_col: str = "ord") -> DataFrame:
-    """One undirected edge for each pair of ends: the last one, with its direction, type and weight."""
-    ends = edges.withColumns({"a": F.least("source", "target"), "b": F.greatest("source", "target")})
+    """One undirected edge for each pair of ends: the last one, with its direction, type and weight. Edges are made once, and dealt to as many tasks as they ask for."""
+    edges = written(edges, "edges")
+    ends = edges.withColumns({"a": F.least("source", "target"), "b": F.greatest("source", "target")}).repartition(parts(edges.sparkSession, edges.count(), ROWS), "a", "b")
     last = ends.groupBy("a", "b").agg(F.max_by(F.struct("source", "target", "edge_type", "weight"), F.struct(order_col, "edge_type", "source", "target", "weight")).alias("e"))
     return last.select("e.*")
 
