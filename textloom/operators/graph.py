@@ -165,10 +165,11 @@ def all_nodes(posts: DataFrame, enriched: DataFrame, summary: DataFrame) -> Data
 
 
 def full_graph(posts: DataFrame, comments: DataFrame, enriched: DataFrame, summary: DataFrame, least: int = 2) -> dict[str, DataFrame]:
-    """nodes, and the edge tables all, social, hashtag and user; `ord` says which set an edge came from, for collapsing."""
-    social = as_users(mention_edges(posts, comments).unionByName(co_commenters(comments, least)))
-    tags = tag_pairs(posts).unionByName(user_tags(posts, comments))
-    narrative = narrative_edges(enriched, summary)
+    """nodes, and the edge tables all, social, hashtag and user; `ord` says which set an edge came from, for collapsing. Each set is made once, into a table that all
+    that hold it read."""
+    social = written(as_users(mention_edges(posts, comments).unionByName(co_commenters(comments, least))), "social")
+    tags = written(tag_pairs(posts).unionByName(user_tags(posts, comments)), "tags")
+    narrative = written(narrative_edges(enriched, summary), "narrative")
     order = lambda sets: reduce(DataFrame.unionByName, [s.withColumn("ord", F.lit(k)) for k, s in enumerate(sets)])
     return {"nodes": all_nodes(posts, enriched, summary), "all": order([social, tags, narrative]), "social": order([social]), "hashtag": order([tags]), "user": order([social, narrative])}
 
