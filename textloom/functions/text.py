@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -22,10 +22,33 @@ SPAM = ("send me this post", "please send me", "this shot is really", "great ple
 RESERVED_NAMES = ("instagram", "facebook", "meta", "threads")
 
 
-@F.pandas_udf(StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    """Unicode compatibility composition, which Spark has no function for."""
-    return texts.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+@F.arrow_udf(StringType())
+def nfkc(texts: pa.Array) -> pa.Array:
+    """Unicode compatibility composition, which Spark has no function for. Few texts at a time are Python's."""
+    few = [texts.slice(k, 256).to_pylist() for k in range(0, len(texts), 256)]
+    return pa.concat_arrays([pa.array([], pa.string())] + [pa.array([x if x is None or x.isascii() else unicodedata.normalize("NFKC", x) for x in each], pa.string()) for each in few])
+
+
+def _settled() -> str:
+    """Characters, as ranges of a class, that composition leaves as they are whatever stands around them: of common alphabets, signs and emoji."""
+    out, last = [], -2
+    for low, high in ((0, 0x300), (0x370, 0x530), (0x2010, 0x2028), (0x20A0, 0x20C0), (0x2190, 0x2200), (0x2600, 0x27C0), (0x1F300, 0x1FB00)):
+        for k in range(low, high):
+            if unicodedata.normalize("NFKC", chr(k)) == chr(k) and not unicodedata.combining(chr(k)):
+                if k == last + 1:
+                    out[-1][1] = k
+                else:
+                    out.append([k, k])
+                last = k
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in out)
+
+
+#: A character for whose sake a text is composed; texts without one don't go to Python. Most are told by the first half; half of a pair, which a search may stop at, is none.
+UNSETTLED = f"[\\x{{80}}-\\x{{10FFFF}}&&[^\\x{{D800}}-\\x{{DFFF}}{_settled()}]]"
+
+
+def composed(c: Column) -> Column:
+    return F.coalesce(nfkc(F.when(c.rlike(UNSETTLED), c)), c)
 
 
 def collapsed(c: Column) -> Column:
@@ -33,7 +56,7 @@ def collapsed(c: Column) -> Column:
 
 
 def _composed(c: Column, compose: bool) -> Column:
-    return nfkc(c) if compose else c
+    return composed(c) if compose else c
 
 
 def plain_text(c: Column, compose: bool = True) -> Column:
