@@ -130,11 +130,12 @@ def rendered_scores(scores: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.map_entries(scores)), lambda e: F.concat(e.key, F.lit(":"), F.format_number(e.value, 3))), ";")
 
 
-def judged(df: DataFrame, text_col: str = "comment_text", statistical: Column | None = None, rules: LanguageRules = DEFAULT_RULES, compose: bool = True) -> DataFrame:
-    """Rows with text, with the struct `detection`; both sides of the filter come from this one frame."""
+def judged(df: DataFrame, text_col: str = "comment_text", statistical: Column | None = None, rules: LanguageRules = DEFAULT_RULES, compose: bool = True, blank: bool = False) -> DataFrame:
+    """Rows with text, with the struct `detection`; both sides of the filter come from this one frame. blank: rows without text stay too, of unknown language."""
     found = detected(F.col(text_col), statistical, rules, compose)
     # an exploded column is worked out once: neither filters nor projections above are merged with it
-    return df.where(stripped(F.col(text_col)) != "").select("*", F.explode(F.array(found)).alias("detection"))
+    rows = df if blank else df.where(stripped(F.col(text_col)) != "")
+    return rows.select("*", F.explode(F.array(found)).alias("detection"))
 
 
 def split(d: DataFrame, columns: list[str], wanted: list[str] | None, text_col: str = "comment_text", min_confidence: float = MIN_CONFIDENCE, min_margin: float = MIN_MARGIN, keep_unknown: bool = False) -> tuple[DataFrame, DataFrame]:
